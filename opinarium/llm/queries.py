@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, pieces, pii, quality, urls
+from . import media, packing, pieces, pii, quality, urls
 from .common import table
 
 # The rules of op3, and the hosts that its list blocks.
@@ -27,6 +27,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op8_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.MediaStore(table(spark, sf_dir, "documents")).verified()
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -35,7 +39,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_subword_transducer, op3_url_filter, op7_packing, op9_pii, op10_quality)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_subword_transducer, op3_url_filter, op7_packing, op8_media_chunks, op9_pii, op10_quality)}
 
 _FITS = "(p.host = split_part(r.key, '/', 1) or ends_with(p.host, '.' || split_part(r.key, '/', 1))) and starts_with(p.path, substr(r.key, strpos(r.key, '/')))"
 
