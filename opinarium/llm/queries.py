@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, packing, pieces, pii, quality, urls
+from . import hnsw, media, minhash, packing, pieces, pii, quality, urls
 from .common import table
 
 # The rules of op3, and the hosts that its list blocks.
@@ -14,6 +14,10 @@ RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/
 LISTED = [f"{name}.example.{top}/" for name in ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm") for top in ("com", "net", "org")]
 
 
+def op1_embedding_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.link_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op2_subword_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest(table(spark, sf_dir, "documents"))
 
@@ -23,6 +27,10 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages, urls.entries(spark, RULES, LISTED)).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -39,11 +47,26 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_subword_transducer, op3_url_filter, op7_packing, op8_media_chunks, op9_pii, op10_quality)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_embedding_graphs, op2_subword_transducer, op3_url_filter, op6_minhash, op7_packing, op8_media_chunks, op9_pii, op10_quality)}
 
 _FITS = "(p.host = split_part(r.key, '/', 1) or ends_with(p.host, '.' || split_part(r.key, '/', 1))) and starts_with(p.path, substr(r.key, strpos(r.key, '/')))"
 
 ORACLES: dict[str, str] = {
+    "op1_embedding_graphs": """
+with recursive v as (
+  select vec_id, label, cast(embedding as double[]) as e from embeddings
+  where vec_id is not null and label is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+near as (
+  select a.vec_id as a, b.vec_id as b from v a join v b
+  on a.label = b.label and len(a.e) = len(b.e) and a.vec_id <> b.vec_id
+  where list_cosine_similarity(a.e, b.e) >= 0.98),
+reach(node, other) as (
+  select vec_id, vec_id from embeddings union select r.node, near.b from reach r join near on near.a = r.other),
+counts as (select a, count(*) as n from near group by a),
+low as (select node, min(other) as component_id from reach group by node)
+select e.vec_id, coalesce(c.n, 0)::bigint as n_links, l.component_id, e.vec_id = l.component_id as kept
+from embeddings e join low l on l.node = e.vec_id left join counts c on c.a = e.vec_id""",
     "op3_url_filter": f"""
 with p as (
   select page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
@@ -55,4 +78,22 @@ select page_id, host, path,
   coalesce((select r.action from r where named and {_FITS} order by length(r.key) desc limit 1),
            (select 'block' from r where not named and {_FITS} limit 1), 'allow') as verdict
 from p""",
+    "op6_minhash": r"""
+with recursive t as (
+  select text, min(doc_id) as node,
+         list_filter(regexp_split_to_array(text, '[ \t\n\x0b\f\r]+'), lambda x: x <> '') as w
+  from (select doc_id, coalesce(text, '') as text from documents) group by text),
+s as (
+  select distinct node, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) as shingle
+  from t where len(w) > 0),
+n as (select node, count(*) as n from s group by node),
+links as (
+  select a.node as a, b.node as b, count(*) as c from s a join s b on a.shingle = b.shingle and a.node <> b.node group by a.node, b.node),
+near as (
+  select a, b from links join n x on x.node = a join n y on y.node = b where c >= 0.8 * (x.n + y.n - c)),
+reach(node, other) as (
+  select node, node from t union select r.node, near.b from reach r join near on near.a = r.other)
+select d.doc_id, min(r.other) as class_id, d.doc_id = min(r.other) as kept
+from documents d join t on t.text = coalesce(d.text, '') join reach r on r.node = t.node
+group by d.doc_id""",
 }
