@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hnsw, media, minhash, packing, pieces, pii, quality, urls
+from . import hnsw, media, minhash, packing, pieces, pii, quality, repeats, urls
 from .common import table
 
 # The rules of op3, and the hosts that its list blocks.
@@ -27,6 +27,10 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages, urls.entries(spark, RULES, LISTED)).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digest(table(spark, sf_dir, "documents"))
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_embedding_graphs, op2_subword_transducer, op3_url_filter, op6_minhash, op7_packing, op8_media_chunks, op9_pii, op10_quality)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_embedding_graphs, op2_subword_transducer, op3_url_filter, op4_suffix_arrays, op6_minhash, op7_packing, op8_media_chunks, op9_pii, op10_quality)}
 
 _FITS = "(p.host = split_part(r.key, '/', 1) or ends_with(p.host, '.' || split_part(r.key, '/', 1))) and starts_with(p.path, substr(r.key, strpos(r.key, '/')))"
 
