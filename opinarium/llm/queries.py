@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import hnsw, media, minhash, packing, pieces, pii, quality, repeats, urls
+from . import hnsw, media, minhash, packing, pieces, pii, quality, repeats, urls, wrappers
 from .common import table
 
 # The rules of op3, and the hosts that its list blocks.
@@ -31,6 +32,11 @@ def op4_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digest(table(spark, sf_dir, "documents"))
 
 
+def op5_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = wrappers.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -51,7 +57,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_embedding_graphs, op2_subword_transducer, op3_url_filter, op4_suffix_arrays, op6_minhash, op7_packing, op8_media_chunks, op9_pii, op10_quality)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_embedding_graphs, op2_subword_transducer, op3_url_filter, op4_suffix_arrays, op5_wrappers, op6_minhash, op7_packing, op8_media_chunks, op9_pii, op10_quality)}
 
 _FITS = "(p.host = split_part(r.key, '/', 1) or ends_with(p.host, '.' || split_part(r.key, '/', 1))) and starts_with(p.path, substr(r.key, strpos(r.key, '/')))"
 
