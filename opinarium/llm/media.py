@@ -180,13 +180,14 @@ class MediaStore:
     def read(self) -> DataFrame:
         """READ for each medium, from the stored chunks."""
         whole = self.chunks.where(F.size("chunks") == F.col("n_chunks"))
-        # The rest get every chunk they list, by digest.
-        own = self.owners.groupBy("key").agg(F.count("*").alias("n_owned"))
-        rest = self.media.join(own, "key", "left").withColumn("n_chunks", F.size("digests")).where(F.coalesce("n_owned", F.lit(0)) < F.col("n_chunks"))
-        rest = written(rest.select("key", "media_sha256", "n_chunks", "digests"), "shared-media")
-        wanted = rest.select("key", "media_sha256", "n_chunks", F.posexplode("digests").alias("ordinal", "digest"))
+        # The rest have their own chunks and, by digest, those that other media (or other places in them) own.
+        own = self.chunks.where(F.size("chunks") < F.col("n_chunks")).select("key", F.explode("chunks").alias("c")).select("key", "c.ordinal", "c.packed")
+        uses = self.media.select(F.col("key").alias("user"), F.posexplode("digests").alias("place", "digest"))
+        lent = uses.join(self.owners.where("uses > 1"), "digest").where("user <> key or place <> ordinal").select("digest", F.col("user").alias("key"), F.col("place").alias("ordinal"))
         offered = self.chunks.select(F.explode(F.filter("chunks", lambda c: c["shared"])).alias("c")).select("c.digest", "c.packed")
-        parts = wanted.join(offered, "digest").groupBy("key").agg(F.first("media_sha256").alias("media_sha256"), F.first("n_chunks").alias("n_chunks"), F.collect_list(F.struct("ordinal", "packed")).alias("chunks"))
+        parts = own.union(written(lent, "lent").join(offered, "digest").select("key", "ordinal", "packed"))
+        parts = parts.groupBy("key").agg(F.collect_list(F.struct("ordinal", "packed")).alias("chunks"))
+        parts = parts.join(self.media, "key").select("key", "media_sha256", F.size("digests").alias("n_chunks"), "chunks")
         return _read_back(whole.select("key", "media_sha256", "n_chunks", F.transform("chunks", lambda c: F.struct(c["ordinal"].alias("ordinal"), c["packed"].alias("packed"))).alias("chunks"))).union(_read_back(parts))
 
     def verified(self) -> DataFrame:
