@@ -1,6 +1,488 @@
-"""The registry of queries and their SQL oracles."""
+"""The registry of queries over the supplied tables, and their SQL oracles."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import answers, labels, prompts, spans, text, vectors
+from ..operators import batching, categories, merge, metrics, prototypes, relevance, retrieval, rules
+from ..operators.backends import AliasMatch, FirstToken, HashingEmbedder, embedded
+from ..sources.writers import details, preview
+from . import fixtures as fx
+from .config import PipelineConfig, SentimentConfig
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return put
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+def cyrillic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", F.translate("text", fx.LATIN, fx.CYRILLIC).alias("Текст"))
+
+
+# --- SQL pieces ---
+
+NL = "chr(10)"
+TOK = "'[A-Za-zА-Яа-яЁё0-9]+'"
+_PUNCT = "'«»“”\"''`´,()=><'"
+_SPACES = "'" + " " * 14 + "'"
+CYR = f"translate(text, '{fx.LATIN}', '{fx.CYRILLIC}')"
+
+
+def _list(items: list[str]) -> str:
+    return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in items) + "]"
+
+
+def sql_strip(e: str) -> str:
+    return f"trim({e}, ' ' || chr(10) || chr(13) || chr(9))"
+
+
+def sql_clean(e: str) -> str:
+    line = "trim(l)"
+    for pattern, to in ((r"\[([^\]|]+)\|([^\]]+)\]", r"\2"), (r"https?://\S+", " "), (r"#([\p{L}\p{N}_]+)", r"\1"), (r"@[\p{L}\p{N}_]+", " "), ("<[^>]+>", " ")):
+        line = f"regexp_replace({line}, '{pattern}', '{to}', 'g')"
+    line = rf"trim(regexp_replace(translate({line}, {_PUNCT}, {_SPACES}), '\s+', ' ', 'g'))"
+    return f"array_to_string(list_filter(list_transform(string_split(replace({e}, chr(13), {NL}), {NL}), lambda l: {line}), lambda l: l <> ''), {NL})"
+
+
+def sql_noise(e: str, brand: str, noise: str) -> str:
+    return sql_strip(f"array_to_string(list_filter(string_split({e}, {NL}), lambda l: regexp_matches(l, '(?i){brand}') or not regexp_matches(lower(l), '(?i){noise}')), {NL})")
+
+
+def sql_lettered(e: str) -> str:
+    return sql_strip(rf"array_to_string(list_filter(string_split({e}, {NL}), lambda l: regexp_matches(l, '\p{{L}}')), {NL})")
+
+
+def sql_tokens(e: str) -> str:
+    return f"regexp_extract_all(lower({e}), {TOK})"
+
+
+def sql_content(toks: str, stop: list[str]) -> str:
+    return f"list_filter({toks}, lambda t: not list_contains({_list(stop)}, t))"
+
+
+def sql_meaningful(e: str, brand: str, noise: str, stop: list[str]) -> str:
+    left = f"len({sql_content(sql_tokens(e), stop)})"
+    named = f"regexp_matches({e}, '(?i){brand}')"
+    return (
+        rf"case when {e} = '' then false when length(regexp_replace({e}, '[^\p{{L}}]', '', 'g')) < 3 and not {named} then false when len({sql_tokens(e)}) = 0 then false"
+        f" when {named} then true when {left} = 0 then false else not (regexp_matches(lower({e}), '(?i){noise}') and {left} <= 3) end"
+    )
+
+
+def sql_sentences(e: str) -> str:
+    return rf"list_filter(list_transform(regexp_split_to_array(regexp_replace({e}, '([.!?…])\s+', '\1' || chr(1), 'g'), '[\x01]|\n+'), lambda s: {sql_strip('s')}), lambda s: s <> '')"
+
+
+def sql_last(toks: str, n: int) -> str:
+    return f"array_to_string({toks}[greatest(len({toks}) - {n - 1}, 1):], ' ')"
+
+
+def sql_span(source: str, patterns: list[str], brand: str, most: int, stop: list[str], ahead: int = 1) -> str:
+    """doc_id and span of source (doc_id, t). ahead: places from a match's start to its first letter, and one."""
+    pieces = ", ".join(f"regexp_split_to_array(t, '(?i){p}') as g{k}, regexp_extract_all(t, '(?i){p}') as f{k}" for k, p in enumerate(patterns))
+    starts = " || ".join(f"list_transform(range(1, len(f{k}) + 1), lambda k: list_sum(list_transform(g{k}[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(f{k}[1:k - 1], lambda x: length(x))), 0))" for k in range(len(patterns)))
+    return f"""
+z as materialized (select doc_id, t, {sql_tokens('t')} as toks, {pieces} from {source}),
+a as materialized (select doc_id, t, toks, {starts} as starts, {sql_sentences('t')} as sents from z),
+b as materialized (select *, list_distinct(list_transform(starts, lambda p: greatest(len(regexp_extract_all(substr(t, 1, p::int + {ahead}), {TOK})) - 1, 0))) as centres,
+  list_position(list_transform(sents, lambda s: regexp_matches(s, '(?i){brand}')), true) as named from a),
+c as materialized (select *, list_transform(list_filter(range(0, len(toks)), lambda i: len(list_filter(centres, lambda x: abs(i - x) <= 100)) > 0), lambda i: toks[i + 1]) as kept,
+  case when named > 0 then sents[greatest(named - 1, 1):least(named + 1, len(sents))]
+    else list_transform(list_sort(list_transform(sents, lambda s: {{'n': len({sql_content(sql_tokens('s'), stop)}), 's': s}}), 'DESC')[1:5], lambda x: x.s) end as chosen from b),
+d as (select *, {sql_tokens("array_to_string(chosen, ' ')")} as words from c)
+select doc_id, case when len(toks) <= {most} then {sql_strip('t')} when len(centres) > 0 then {sql_last('kept', most)}
+  when len(sents) = 0 then array_to_string(toks[1:{most}], ' ') else {sql_last('words', most)} end as span from d"""
+
+
+def sql_first(patterns: list[tuple[str, str]], e: str, what: int) -> str:
+    return "case " + " ".join(f"when regexp_matches({e}, '(?i){p}') then '{(code, p)[what]}'" for code, p in patterns) + " end"
+
+
+_RULES = [(code, p) for code, ps in rules.rule_lists(fx.PROFILE) for p in ps if p != "("]
+_NOISE = "|".join(fx.LATIN_NOISE)
+_STOP_ALL = list(text.words.STOP_WORDS)
+
+# --- text projections ---
+
+
+@query(f"select doc_id, substr({sql_strip('text')}, 1, 800) as prepared from documents")
+def prepare_comment(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", text.prepare_comment(F.col("text")).alias("prepared"))
+
+
+@query(f"select doc_id, {sql_clean('text')} as cleaned from documents")
+def clean_basic(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", text.basic_clean(F.col("text"), entities=False).alias("cleaned"))
+
+
+_ENTITIES = "replace(replace(replace(replace(url || ' ' || html, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;', '&')"
+
+
+@query(f"with t as (select page_id, url || ' ' || html as h from pages where not regexp_matches(html, '&(amp?)?($|[^;a-z])')), u as (select page_id, {_ENTITIES.replace('url || ' + chr(39) + ' ' + chr(39) + ' || html', 'h')} as x from t) select page_id, {sql_clean('x')} as cleaned from u")
+def clean_markup(spark, sf_dir):
+    # Pages with a broken reference are left to the unit tests: SQL has no decoder.
+    pages = table(spark, sf_dir, "pages").where("not html rlike '&(amp?)?($|[^;a-z])'")
+    return pages.select("page_id", text.basic_clean(F.concat_ws(" ", "url", "html")).alias("cleaned"))
+
+
+@query(f"select doc_id, {sql_noise('text', fx.LATIN_BRAND, _NOISE)} as kept from documents")
+def strip_noise_lines(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", text.strip_noise(F.col("text"), fx.LATIN_BRAND, fx.LATIN_NOISE).alias("kept"))
+
+
+@query(f"select doc_id, {sql_lettered('text')} as kept from documents")
+def drop_nonalpha_lines(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", text.drop_lines_without_letters(F.col("text")).alias("kept"))
+
+
+@query(f"""
+with recursive chars as (select doc_id, unnest(string_split(text, '')) as c, generate_subscripts(string_split(text, ''), 1) as i from documents),
+runs as (select *, i - row_number() over (partition by doc_id, c order by i) as g from chars),
+kept as (select doc_id, c, i from (select *, row_number() over (partition by doc_id, c, g order by i) as n from runs) where n <= 3 or c = {NL}),
+again as (select doc_id, string_agg(c, '' order by i) as squashed from kept group by doc_id)
+select d.doc_id, coalesce(a.squashed, d.text) as squashed from documents d left join again a using (doc_id)""")
+def squash_repeats(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", text.squash_repeats(F.col("text")).alias("squashed"))
+
+
+@query(f"select doc_id, case when doc_id % 2 = 0 then {CYR} end as gated from documents")
+def script_gate(spark, sf_dir):
+    mixed = F.when(F.col("doc_id") % 2 == 0, F.translate("text", fx.LATIN, fx.CYRILLIC)).otherwise(F.col("text"))
+    return documents(spark, sf_dir).select("doc_id", text.script_gate(mixed).alias("gated"))
+
+
+@query(f"select doc_id, len({sql_tokens('text')}) as n_tokens, md5(array_to_string({sql_tokens('text')}, ' ')) as tokens_md5 from documents")
+def tokenize_counts(spark, sf_dir):
+    toks = text.tokens(F.col("text"))
+    return documents(spark, sf_dir).select("doc_id", F.size(toks).cast("long").alias("n_tokens"), F.md5(F.array_join(toks, " ")).alias("tokens_md5"))
+
+
+@query(f"select doc_id, {sql_meaningful('text', fx.LATIN_BRAND, _NOISE, fx.LATIN_STOP)} as meaningful from documents")
+def is_meaningful(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", text.is_meaningful(F.col("text"), fx.LATIN_BRAND, fx.LATIN_NOISE, fx.LATIN_STOP).alias("meaningful"))
+
+
+@query(f"with s as (select doc_id, text as t from documents), {sql_span('s', ['zzqx'], 'zzqx', 60, fx.LATIN_STOP).strip()}")
+def sentence_topk(spark, sf_dir):
+    col = F.col("text")
+    span = F.when(F.size(text.tokens(col)) <= 60, text.ustrip(col)).otherwise(spans.by_sentences(col, "zzqx", 60, fx.LATIN_STOP))
+    return documents(spark, sf_dir).select("doc_id", span.alias("span"))
+
+
+@query(f"with s as (select doc_id, lower(text) as t from documents), {sql_span('s', [fx.LATIN_BRAND], fx.LATIN_BRAND, 250, _STOP_ALL).strip()}")
+def brand_window_span(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", spans.relevant_span(F.lower("text"), fx.LATIN_BRAND, 250).alias("span"))
+
+
+@query(f"with s as (select doc_id, lower(text) as t from documents), {sql_span('s', [fx.LATIN_BRAND, '|'.join(fx.LATIN_TOPIC)], fx.LATIN_BRAND, 250, _STOP_ALL).strip()}")
+def keyword_window_span(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", spans.relevant_span(F.lower("text"), fx.LATIN_BRAND, 250, "topic", {"topic": fx.LATIN_TOPIC}).alias("span"))
+
+
+# --- rules and the relevance job ---
+
+_PREPARED = f"select doc_id, substr({sql_strip(CYR)}, 1, 800) as t from documents"
+
+
+@query(f"with p as ({_PREPARED}) select doc_id, {sql_first(_RULES, 't', 0)} as rule_code, {sql_first(_RULES, 't', 1)} as pattern, case when {sql_first(_RULES, 't', 0)} is null then 'No' else 'Yes' end as is_drop from p".replace("'(?i)(?i)", "'(?i)"))
+def rule_drop(spark, sf_dir):
+    ready = cyrillic(spark, sf_dir).select("doc_id", text.prepare_comment(F.col("Текст")).alias("t"))
+    return rules.with_rules(ready, "t", fx.PROFILE).drop("t")
+
+
+@query(f"with p as ({_PREPARED}), r as (select {sql_first(_RULES, 't', 0)} as code from p) select count(*) as rows, count(code) as rule_drops, ceil((count(*) - count(code)) / 6.0)::bigint as llm_calls from r".replace("'(?i)(?i)", "'(?i)"))
+def rule_stats(spark, sf_dir):
+    return metrics.rule_stats(rule_drop(spark, sf_dir))
+
+
+def _job(spark, sf_dir):
+    return relevance.classify(cyrillic(spark, sf_dir), "doc_id", fx.PROFILE, AliasMatch(fx.KEPT_WORDS), PipelineConfig(max_words=60))
+
+
+_CYR_STOP = list(text.words.STOP_WORDS)
+_CYR_BRAND = r"инге|тионтх"
+_NOISE_ALL = "|".join(text.words.NOISE_PHRASES)
+# Brand literals stand between non-word characters; the letters around them decide, as no underscores or digits touch words here.
+_LITERAL = r"(^|[^\p{L}\p{N}_])(инге|тионтх)($|[^\p{L}\p{N}_])"
+
+
+@query(f"""
+with p as ({_PREPARED}),
+r as (select doc_id, t, {sql_first(_RULES, 't', 0)} as code, {sql_lettered(sql_noise(sql_clean('t'), _LITERAL, _NOISE_ALL))} as x from p),
+m as (select *, x <> '' and regexp_matches(x, '[А-Яа-яЁё]') and {sql_meaningful('x', _LITERAL, _NOISE_ALL, _CYR_STOP)} as good from r),
+s as (select doc_id, regexp_replace(lower(x), '{_LITERAL}', '\\1⁂\\2\\3', 'g') as t from m where good),
+spans as (with {sql_span('s', ['⁂'], _LITERAL, 60, _CYR_STOP, 2).strip()})
+select m.doc_id, case when code is not null then 'drop' when regexp_matches(coalesce(nullif(replace(spans.span, '⁂', ''), ''), m.t), '(?i){'|'.join(fx.KEPT_WORDS)}') then 'keep' else 'drop' end as action, code is null as asked
+from m left join spans using (doc_id)""".replace("'(?i)(?i)", "'(?i)"))
+def relevance_job(spark, sf_dir):
+    return _job(spark, sf_dir).select("doc_id", "action", "asked")
+
+
+@query("select count(*) as rows, count_if(action = 'drop')::bigint as drops, count_if(action <> 'drop')::bigint as keeps from (" + ORACLES["relevance_job"] + ")")
+def relevance_summary(spark, sf_dir):
+    return metrics.drop_counts(_job(spark, sf_dir))
+
+
+# --- batches, prompts, answers ---
+
+_TURNS = "select conv_id * 1000 + turn as row_id, text, role from conversations where role = 'user'"
+
+
+def _turns(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").where("role = 'user'")
+    return rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"), "text")
+
+
+@query(f"select row_id, floor((row_number() over (order by row_id) - 1) / 6)::bigint as batch_id from ({_TURNS})")
+def relevance_batches(spark, sf_dir):
+    return batching.numbered_batches(_turns(spark, sf_dir).select("row_id"), "row_id", 6)
+
+
+@query(f"""
+with b as (select row_id, replace(text, {NL}, ' ') as txt, floor((row_number() over (order by row_id) - 1) / 6)::bigint as batch_id from ({_TURNS}))
+select batch_id, '{prompts.RELEVANCE_HEAD[0]}' || {NL} || '{prompts.RELEVANCE_HEAD[1]}' || {NL} || string_agg(row_id || ': ' || txt, {NL} order by row_id) || {NL} || '{prompts.RELEVANCE_TAIL}' as prompt
+from b group by batch_id""")
+def relevance_prompt(spark, sf_dir):
+    rows = _turns(spark, sf_dir).withColumn("txt", F.replace(F.col("text"), F.lit("\n"), F.lit(" ")))
+    items = batching.gathered(batching.numbered_batches(rows, "row_id", 6), "batch_id", "row_id", "txt")
+    return items.select("batch_id", prompts.line_prompt(F.col("items")).alias("prompt"))
+
+
+_ANSWERS = "select doc_id as row_id, doc_id as pos, case when doc_id % 5 = 0 then 'drop' else 'keep' end as action from documents where doc_id % 3 <> 0 union all select doc_id, doc_id + 1000000000, 'drop' from documents where doc_id % 7 = 0 union all select doc_id + 500000000, 1, 'drop' from documents"
+
+
+@query(f"""
+with a as ({_ANSWERS}), last as (select row_id, arg_max(action, pos) as action from a group by row_id)
+select doc_id as row_id, doc_id % 4 <> 0 as asked, case when doc_id % 4 = 0 then 'drop' else coalesce(l.action, 'keep') end as action from documents d left join last l on l.row_id = d.doc_id""")
+def merge_llm_actions(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"))
+    answer = lambda c: F.when(c, "drop").otherwise("keep")
+    given = docs.where("row_id % 3 <> 0").select("row_id", F.col("row_id").alias("pos"), answer(F.col("row_id") % 5 == 0).alias("action"))
+    late = docs.where("row_id % 7 = 0").select("row_id", (F.col("row_id") + 1000000000).alias("pos"), F.lit("drop").alias("action"))
+    stray = docs.select((F.col("row_id") + 500000000).alias("row_id"), F.lit(1).alias("pos"), F.lit("drop").alias("action"))
+    return merge.merge_actions(docs.withColumn("asked", F.col("row_id") % 4 != 0), given.union(late).union(stray))
+
+
+@query("select event_id, json_extract_string(props, '$.k')::int as k, event_id % 10 <> 3 as valid from events where event_id % 10 <> 3 union all select event_id, null, false from events where event_id % 10 = 3")
+def json_extract(spark, sf_dir):
+    told = F.concat(F.lit("Вот ответ:\n"), F.when(F.col("event_id") % 10 == 3, F.lit("{bad")).otherwise(F.concat(F.lit("{\"results\": [{\"global_idx\": "), F.get_json_object("props", "$.k"), F.lit(", \"category\": \"x\"}]}"))), F.lit("\nконец"))
+    rows = answers.results(told, answers.CATEGORY)
+    return table(spark, sf_dir, "events").select("event_id", F.get(rows, 0)["global_idx"].alias("k"), rows.isNotNull().alias("valid"))
+
+
+# --- labels and categories ---
+
+
+@query(f"select event_id, case lower(event_type) when 'signup' then 2 when 'error' then 0 when 'view' then 1 else null end as y, case when user_id % 7 in (0, 1, 2) then (user_id % 7)::int end as y_int from events")
+def parse_label(spark, sf_dir):
+    spelt = F.element_at(F.create_map(*map(F.lit, ["signup", " Позитив ", "error", "BAD", "view", "okay", "click", "1.0"])), F.col("event_type"))
+    events = table(spark, sf_dir, "events").select("event_id", spelt.alias("s"), (F.col("user_id") % 7).cast("int").alias("i"))
+    return events.select("event_id", labels.parse_label(F.col("s"), "string").alias("y"), labels.parse_label(F.col("i"), "int").alias("y_int"))
+
+
+_SKIP = "case when lower(trim(coalesce(d, ''))) = 'yes' then 'skip_drop' when t = '' then 'skip_empty' else 'rag_llm' end"
+
+
+@query(f'with x as (select doc_id, case when toxic = 1 then \' YES\' when toxic = 0 then \'No\' end as d, case when doc_id % 11 = 0 then \'\' else text end as t from documents left join labels using (doc_id)) select doc_id, {_SKIP} as "{categories.SOURCE}" from x')
+def category_skip_sources(spark, sf_dir):
+    flags = table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("toxic") == 1, " YES").when(F.col("toxic") == 0, "No").alias("is_drop"))
+    docs = documents(spark, sf_dir).withColumn("text", F.when(F.col("doc_id") % 11 == 0, " \n ").otherwise(F.col("text")))
+    return categories.sources(docs.join(flags, "doc_id", "left"), "text", True).select("doc_id", categories.SOURCE)
+
+
+@query(f'select count(*) as rows, count_if("{categories.SOURCE}" = \'rag_llm\')::bigint as classified, count_if("{categories.SOURCE}" = \'skip_drop\')::bigint as skipped_drop, true as use_rag, 5 as top_k from ({ORACLES["category_skip_sources"]})')
+def category_stats(spark, sf_dir):
+    return metrics.category_stats(category_skip_sources(spark, sf_dir), categories.SOURCE, True, 5)
+
+
+@query("select distinct p_type as category from part where trim(p_type) <> '' order by 1")
+def category_list(spark, sf_dir):
+    return retrieval.categories(table(spark, sf_dir, "part"), "p_type")
+
+
+@query(r"select p_partkey, trim(regexp_replace(regexp_replace(lower(replace('« ' || p_brand || ' — ' || p_name || 'ё»', 'ё', 'е')), '[^0-9a-zа-я\s]+', ' ', 'g'), '\s+', ' ', 'g')) as name from part")
+def norm_category(spark, sf_dir):
+    raw = F.concat(F.lit("« "), F.col("p_brand"), F.lit(" — "), F.col("p_name"), F.lit("ё»"))
+    return table(spark, sf_dir, "part").select("p_partkey", text.norm_label(raw).alias("name"))
+
+
+ALLOWED = ["Economy class", "Medium", "Prom", "Standard parts", "LARGE", "Small"]
+
+
+@query("select p_partkey, case when p_type = 'LARGE' then 'LARGE' when lower(p_type) = 'economy' then 'Economy class' when lower(p_type) = 'medium' then 'Medium' when lower(p_type) = 'promo' then 'Prom' when lower(p_type) = 'standard' then 'Standard parts' when lower(p_type) = 'small' then 'Small' end as category from part")
+def label_map_exact_prefix(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", labels.exact_or_prefix(F.col("p_type"), ALLOWED).alias("category"))
+
+
+@query()
+def label_map_fuzzy(spark, sf_dir):
+    return labels.best_allowed(table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_name", ["red widgets", "blue bold", "small rings", "green gear"], "category")
+
+
+# --- vectors ---
+
+_CLASSES = "e as (select vec_id, label, cast(embedding as double[]) as v from embeddings), u as (select vec_id, label, list_transform(v, lambda x: x / (sqrt(list_sum(list_transform(v, lambda y: y * y))) + 1e-12)) as x from e)"
+_CENTROIDS = f"{_CLASSES}, parts as (select label as class_id, unnest(x) as v, generate_subscripts(x, 1) - 1 as pos from u where label < 3), means as (select class_id, pos, avg(v) as v from parts group by all), sizes as (select class_id, sqrt(sum(v * v)) + 1e-12 as n from means group by 1), cents as (select class_id, list(v / n order by pos) as c from means join sizes using (class_id) group by 1)"
+_SCORES = f"{_CENTROIDS}, s as (select vec_id, label, max(list_sum(list_transform(range(1, len(x) + 1), lambda i: x[i] * c[i]))) filter (class_id = 0) as s0, max(list_sum(list_transform(range(1, len(x) + 1), lambda i: x[i] * c[i]))) filter (class_id = 1) as s1, max(list_sum(list_transform(range(1, len(x) + 1), lambda i: x[i] * c[i]))) filter (class_id = 2) as s2 from u cross join cents group by all), p as (select *, case when s0 >= s1 and s0 >= s2 then 0 when s1 >= s2 then 1 else 2 end as pred, greatest(s0, s1, s2) as sim from s)"
+THRESHOLDS = {0: 0.35, 1: 0.3, 2: 0.25}
+
+
+def _vectors(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings")
+
+
+def _fitted(spark, sf_dir):
+    return prototypes.fit(_vectors(spark, sf_dir), "embedding", "label", SentimentConfig(k_per_class=1))
+
+
+def _scored(spark, sf_dir):
+    return prototypes.apply_thresholds(prototypes.predict(_vectors(spark, sf_dir), "embedding", _fitted(spark, sf_dir)), THRESHOLDS)
+
+
+@query("select t.label, count(e.label) as n from (values (0), (1), (2)) t(label) left join embeddings e using (label) group by 1")
+def class_counts(spark, sf_dir):
+    return metrics.class_counts(_vectors(spark, sf_dir), "label")
+
+
+@query(f"with {_CLASSES} select vec_id, round(x[1], 6) as first, round(x[64], 6) as last, round(list_sum(list_transform(x, lambda y: y * y)), 6) as size from u")
+def l2_normalize(spark, sf_dir):
+    unit = _vectors(spark, sf_dir).select("vec_id", vectors.l2_normalize(F.col("embedding")).alias("x"))
+    return unit.select("vec_id", F.round(F.get("x", 0), 6).alias("first"), F.round(F.get("x", 63), 6).alias("last"), F.round(vectors.dot(F.col("x"), F.col("x")), 6).alias("size"))
+
+
+@query(f"with {_CENTROIDS} select class_id, (unnest(range(0, len(c))))::int as pos, round(unnest(c), 6) as v from cents")
+def class_centroids_k1(spark, sf_dir):
+    rows = _vectors(spark, sf_dir).where("label < 3")
+    return prototypes.centroids(rows, "embedding", "label").select("class_id", F.posexplode("centroid").alias("pos", "v")).withColumn("v", F.round("v", 6))
+
+
+@query(f"with {_SCORES} select vec_id, round(s0, 6) as s_negative, round(s1, 6) as s_neutral, round(s2, 6) as s_positive, pred, round(sim, 6) as sim from p")
+def prototype_predict(spark, sf_dir):
+    found = prototypes.predict(_vectors(spark, sf_dir), "embedding", _fitted(spark, sf_dir))
+    return found.select("vec_id", *(F.round(c, 6).alias(c) for c in ("s_negative", "s_neutral", "s_positive")), "pred", F.round("sim", 6).alias("sim"))
+
+
+@query(f"with {_SCORES} select vec_id, sim >= [0.35, 0.3, 0.25][pred + 1] as passed, case when sim >= [0.35, 0.3, 0.25][pred + 1] then pred else 3 end as pred4, ['negative', 'neutral', 'positive'][pred + 1] as pred_label, case when sim >= [0.35, 0.3, 0.25][pred + 1] then 'prototype' else 'llm' end as pred_source from p")
+def threshold_apply(spark, sf_dir):
+    return prototypes.with_labels(_scored(spark, sf_dir)).select("vec_id", "passed", "pred4", "pred_label", "pred_source")
+
+
+@query(f"with {_SCORES} select count_if(pred = 2)::bigint as positive, count_if(pred = 0)::bigint as negative, count_if(pred = 1)::bigint as neutral from p")
+def sentiment_summary(spark, sf_dir):
+    return metrics.sentiment_counts(prototypes.with_labels(_scored(spark, sf_dir)), "pred_label")
+
+
+@query(f"with {_SCORES} select coalesce(avg((label = pred)::int), 0.0) as accuracy, coalesce(avg((sim >= [0.35, 0.3, 0.25][pred + 1])::int), 0.0) as coverage from p where label < 3")
+def accuracy_coverage(spark, sf_dir):
+    return metrics.accuracy_coverage(_scored(spark, sf_dir).where("label < 3"), "label", "pred", "passed")
+
+
+@query()
+def kmeans_prototypes(spark, sf_dir):
+    found = prototypes.fit(_vectors(spark, sf_dir), "embedding", "label", SentimentConfig(k_per_class=3))
+    return found.select("proto_id", "class_id", F.size("centroid").alias("width"), F.round(vectors.norm(F.col("centroid")), 6).alias("size"))
+
+
+_KNN = f"{_CLASSES}, pairs as (select q.vec_id as query_id, r.vec_id as ref_id, list_sum(list_transform(range(1, len(q.x) + 1), lambda i: q.x[i] * r.x[i])) as sim from u q join u r on q.vec_id % 10 = 0 and r.vec_id % 10 <> 0), ranked as (select *, row_number() over (partition by query_id order by sim desc, ref_id) as rank from pairs)"
+
+
+def _index(spark, sf_dir):
+    """The references (those whose id 10 doesn't divide) and the queries (the others)."""
+    v = _vectors(spark, sf_dir).withColumn("text", F.concat(F.lit("ref "), "vec_id")).withColumn("category", F.concat(F.lit("cat"), "label"))
+    return v.where("vec_id % 10 = 0"), retrieval.build_index(v.where("vec_id % 10 <> 0"), "vec_id", "text", "category", "embedding")
+
+
+@query(f"with {_KNN} select query_id, ref_id, round(sim, 6) as sim, rank from ranked where rank <= 5")
+def knn_topk(spark, sf_dir):
+    asked, index = _index(spark, sf_dir)
+    return retrieval.top_k(asked, index, "vec_id", "embedding", 5).withColumns({"sim": F.round("sim", 6), "rank": F.col("rank").cast("long")})
+
+
+@query(f"""
+with {_KNN},
+near as (select query_id, string_agg('[пример ' || rank || '] Категория: cat' || r.label || ' | Текст: ref ' || ref_id, {NL} order by rank) as told from ranked join embeddings r on r.vec_id = ref_id where rank <= 3 group by 1),
+d as (select doc_id, trim(replace(text, {NL}, ' ')) as t from documents where doc_id in (select query_id from near))
+select doc_id, '[ITEM ' || doc_id || ']' || {NL} || 'Текст:' || {NL} || '\"\"\"' || case when length(t) > 700 then substr(t, 1, 700) || '...' else t end || '\"\"\"' || {NL} || '{prompts.EXAMPLES_HEAD.strip()}' || {NL} || told || {NL} as block
+from d join near on query_id = doc_id""")
+def category_prompt(spark, sf_dir):
+    asked, index = _index(spark, sf_dir)
+    near = retrieval.neighbours(asked, index, "vec_id", "embedding", 3).withColumnRenamed("query_id", "doc_id")
+    return documents(spark, sf_dir).join(near, "doc_id").select("doc_id", prompts.category_item(F.col("doc_id"), F.col("text"), F.col("neighbours")).alias("block"))
+
+
+@query(f"""
+with {_KNN}, top as (select query_id, rank, 'cat' || r.label as category from ranked join embeddings r on r.vec_id = ref_id where rank <= 5),
+votes as (select query_id, category, count(*) as n, min(rank) as first from top group by all)
+select query_id, arg_max(category, n * 100 - first) as category from votes group by 1""")
+def category_vote(spark, sf_dir):
+    asked, index = _index(spark, sf_dir)
+    return retrieval.neighbours(asked, index, "vec_id", "embedding", 5).select("query_id", categories.vote(F.col("neighbours")).alias("category"))
+
+
+_HASHED = "list_transform(range(0, 16), lambda b: len(list_filter(regexp_extract_all(lower(text), '[A-Za-zА-Яа-яЁё0-9]+'), lambda t: ('0x' || substr(md5(t), 1, 8))::bigint % 16 = b)))"
+
+
+@query(f"with h as (select doc_id, {_HASHED} as v from documents) select doc_id, unnest(range(0, 16))::int as pos, unnest(v)::double as v from h")
+def hashing_embedding(spark, sf_dir):
+    return embedded(documents(spark, sf_dir), "doc_id", "text", HashingEmbedder(16)).select(F.col("row_id").alias("doc_id"), F.posexplode("vector").alias("pos", "v")).withColumn("v", F.col("v").cast("double"))
+
+
+@query()
+def sentiment_texts(spark, sf_dir):
+    from ..operators.sentiment import predict_texts
+
+    docs = cyrillic(spark, sf_dir)
+    labelled = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") + F.col("toxic")).alias("y"))
+    embedder = HashingEmbedder(32)
+    given = embedded(docs, "doc_id", "Текст", embedder).withColumnRenamed("row_id", "doc_id").join(labelled, "doc_id")
+    protos = prototypes.fit(given, "vector", "y", SentimentConfig(k_per_class=1))
+    out = predict_texts(docs, "doc_id", "Текст", protos, embedder, fx.PROFILE, SentimentConfig(k_per_class=1), FirstToken(list(labels.SENTIMENTS)))
+    return out.select("doc_id", "pred_label", "pred_source", F.round("sim_pred", 4).alias("sim_pred"))
+
+
+# --- output ---
+
+
+@query(f"select doc_id, n_chars from documents order by doc_id limit 30")
+def preview_head(spark, sf_dir):
+    return preview(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
+
+
+@query("select vec_id, '{\"relevance\":{\"results\":[{\"global_idx\":' || vec_id || ',\"action\":\"' || case when label % 2 = 0 then 'keep' else 'drop' end || '\"}]}}' as details from embeddings")
+def details_json(spark, sf_dir):
+    one = F.struct(F.col("vec_id").alias("global_idx"), F.when(F.col("label") % 2 == 0, "keep").otherwise("drop").alias("action"))
+    return _vectors(spark, sf_dir).select("vec_id", details(one).alias("details"))
+
+
+@query("select event_id, case event_type when 'signup' then 'green' when 'error' then 'red' else 'gray' end as colour from events")
+def sentiment_badges(spark, sf_dir):
+    label = F.element_at(F.create_map(*map(F.lit, ["signup", " Positive", "error", "NEGATIVE ", "view", "neutral", "click", "?"])), F.col("event_type"))
+    return table(spark, sf_dir, "events").select("event_id", labels.badge(label)["colour"].alias("colour"))
+
+
+@query("select date_trunc('month', ts)::date as month, event_type as source, count(*) as rows, count_if(user_id % 2 = 0)::bigint as drops, count_if(value > 20)::bigint as positive, count_if(value < 5)::bigint as negative, count_if(value between 5 and 20)::bigint as neutral from events group by all")
+def counts_by_month_and_source(spark, sf_dir):
+    label = F.when(F.col("value") > 20, "positive").when(F.col("value") < 5, "negative").otherwise("neutral")
+    rows = table(spark, sf_dir, "events").select("event_type", "ts", label.alias("sentiment"), F.when(F.col("user_id") % 2 == 0, "Yes").otherwise("No").alias("is_drop"))
+    return metrics.by_group(rows, F.trunc("ts", "month").alias("month"), F.col("event_type").alias("source"))
