@@ -40,7 +40,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     jvm = spark.sparkContext._jvm
     hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
     hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
@@ -144,8 +144,10 @@ def shingle_hashes(data: bytes, width: int = 5) -> np.ndarray:
 
 
 def importable(spark: SparkSession) -> None:
-    """Workers find this package where the driver found it."""
+    """Workers find this package where the driver found it, and give memory back that they no longer use."""
     env = spark.sparkContext.environment
+    for name, value in (("ARROW_DEFAULT_MEMORY_POOL", "system"), ("MALLOC_ARENA_MAX", "1"), ("MALLOC_TRIM_THRESHOLD_", "4194304"), ("MALLOC_MMAP_THRESHOLD_", "1048576")):
+        env.setdefault(name, value)
     if ROOT not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
 
@@ -161,7 +163,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
         start = stop
 
 
-def add_columns(df: DataFrame, made: T.StructType, make: Callable, inputs: list[str], sliced: str | None = None) -> DataFrame:
+def add_columns(df: DataFrame, made: T.StructType, make: Callable, inputs: list[str], sliced: str | None = None, most: int = 4 << 20) -> DataFrame:
     """df with the columns that make returns; they replace columns of the same names.
 
     make takes a list (of Python values) for each input and returns a list
@@ -174,7 +176,7 @@ def add_columns(df: DataFrame, made: T.StructType, make: Callable, inputs: list[
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, sliced) if sliced else [batch]:
+            for part in slices(batch, sliced, most) if sliced else [batch]:
                 given = [part.column(x).to_pylist() for x in inputs]
                 new = [x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x, f.type) for x, f in zip(make(*given), types, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(f.name) for f in keep] + new, names=schema.names)

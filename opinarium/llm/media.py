@@ -9,7 +9,8 @@ the others get theirs by a join on digests. Each is verified against its
 SHA-256 before features are computed.
 
 Bytes are shuffled compressed: once to bring the copies of a text together,
-and again only for chunks that several media share.
+and again only the chunks of media that share some. The store's own
+compression (zstd pages) spans chunks.
 
 Null texts count as empty (64 zero samples); equal texts share one medium;
 repeated rows get equal results; an empty table gives an empty table; columns
@@ -91,12 +92,12 @@ def features(samples: bytes) -> str:
     return f"mean={x.mean():.4f};rms={np.sqrt((x * x).mean()):.4f};crossings={int(((x[1:] < 0) != (x[:-1] < 0)).sum())}"
 
 
-MANIFEST = T.StructType([T.StructField("key", T.BinaryType()), T.StructField("n_bytes", T.LongType()), T.StructField("media_sha256", T.StringType()), T.StructField("digests", T.ArrayType(T.BinaryType()))])
-CHUNK = T.StructType([T.StructField("ordinal", T.IntegerType()), T.StructField("digest", T.BinaryType()), T.StructField("shared", T.BooleanType()), T.StructField("packed", T.BinaryType())])
+MANIFEST = T.StructType([T.StructField("key", T.BinaryType()), T.StructField("n_bytes", T.LongType()), T.StructField("media_sha256", T.BinaryType()), T.StructField("digests", T.ArrayType(T.BinaryType()))])
+CHUNK = T.StructType([T.StructField("ordinal", T.IntegerType()), T.StructField("digest", T.BinaryType()), T.StructField("shared", T.BooleanType()), T.StructField("data", T.BinaryType())])
 READ = T.StructType(
     [
-        T.StructField("key", T.BinaryType()), T.StructField("payload_bytes", T.LongType()), T.StructField("payload_sha256", T.StringType()), T.StructField("tail_crc32", T.LongType()),
-        T.StructField("media_bytes", T.LongType()), T.StructField("media_sha256", T.StringType()), T.StructField("feature", T.StringType()),
+        T.StructField("key", T.BinaryType()), T.StructField("payload_bytes", T.LongType()), T.StructField("payload_sha256", T.BinaryType()), T.StructField("tail_crc32", T.LongType()),
+        T.StructField("media_bytes", T.LongType()), T.StructField("media_sha256", T.BinaryType()), T.StructField("feature", T.StringType()),
     ]
 )
 
@@ -106,7 +107,7 @@ def _manifest(texts: list[str]) -> list[list]:
     for text in texts:
         medium = wav(payload_of(text))
         raw = text.encode("utf-8", "surrogatepass")
-        rows.append((digest16(raw), len(raw), hashlib.sha256(medium).hexdigest(), [digest16(c) for c in chunks(medium)]))
+        rows.append((digest16(raw), len(raw), hashlib.sha256(medium).digest(), [digest16(c) for c in chunks(medium)]))
     return [list(x) for x in zip(*rows)] if rows else [[], [], [], []]
 
 
@@ -122,38 +123,35 @@ def _owned(packed: list[bytes], owned: list[list[dict]]) -> list[list]:
     """Of each packed text: its medium's digest and number of chunks, and the owned chunks."""
     import zstandard
 
-    pack, unpack = zstandard.ZstdCompressor(level=7).compress, zstandard.ZstdDecompressor().decompress
+    unpack = zstandard.ZstdDecompressor().decompress
     out = []
     for z, mine in zip(packed, owned):
         shared = {x["ordinal"]: x["shared"] for x in mine}
         text = unpack(z).decode("utf-8", "surrogatepass")
         medium = wav(payload_of(text))
         parts = chunks(medium)
-        out.append((hashlib.sha256(medium).hexdigest(), len(parts), [{"ordinal": i, "digest": digest16(parts[i]), "shared": shared[i], "packed": pack(parts[i])} for i in sorted(shared)]))
+        out.append((hashlib.sha256(medium).digest(), len(parts), [{"ordinal": i, "digest": digest16(parts[i]), "shared": shared[i], "data": parts[i]} for i in sorted(shared)]))
     return [list(x) for x in zip(*out)] if out else [[], [], []]
 
 
 def _read_back(df: DataFrame) -> DataFrame:
-    """READ for rows key, media_sha256, n_chunks, chunks (ordinal, packed)."""
+    """READ for rows key, media_sha256, n_chunks, chunks (ordinal, data)."""
     importable(df.sparkSession)
     types = to_arrow_schema(READ)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
-
-        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 rows = []
                 for row in batch.slice(start, 256).to_pylist():
-                    parts = sorted((c["ordinal"], c["packed"]) for c in row["chunks"])
+                    parts = sorted((c["ordinal"], c["data"]) for c in row["chunks"])
                     if [p[0] for p in parts] != list(range(row["n_chunks"])):
-                        raise ValueError(f"chunks of {row['media_sha256']} are missing")
-                    medium = b"".join(unpack(p[1]) for p in parts)
-                    if (sha := hashlib.sha256(medium).hexdigest()) != row["media_sha256"]:
-                        raise ValueError(f"the chunks of {row['media_sha256']} make {sha}")
+                        raise ValueError(f"chunks of {row['media_sha256'].hex()} are missing")
+                    medium = b"".join(p[1] for p in parts)
+                    if (sha := hashlib.sha256(medium).digest()) != row["media_sha256"]:
+                        raise ValueError(f"the chunks of {row['media_sha256'].hex()} make {sha.hex()}")
                     samples = samples_of(medium)
-                    rows.append((row["key"], len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-UNIT:]), len(medium), sha, features(samples)))
+                    rows.append((row["key"], len(samples), hashlib.sha256(samples).digest(), zlib.crc32(samples[-UNIT:]), len(medium), sha, features(samples)))
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), types)], schema=types)
 
     return df.mapInArrow(run, READ)
@@ -173,7 +171,7 @@ class MediaStore:
         owned = self.owners.groupBy("key").agg(F.collect_list(F.struct("ordinal", (F.col("uses") > 1).alias("shared"))).alias("owned"))
         made = T.StructType([T.StructField("key", T.BinaryType()), T.StructField("packed", T.BinaryType())])
         texts = add_columns(docs.select("text"), made, _packed, ["text"], sliced="text").select("key", "packed").groupBy("key").agg(F.first("packed").alias("packed"))
-        row = T.StructType([T.StructField("media_sha256", T.StringType()), T.StructField("n_chunks", T.IntegerType()), T.StructField("chunks", T.ArrayType(CHUNK))])
+        row = T.StructType([T.StructField("media_sha256", T.BinaryType()), T.StructField("n_chunks", T.IntegerType()), T.StructField("chunks", T.ArrayType(CHUNK))])
         stored = add_columns(texts.join(owned, "key"), row, _owned, ["packed", "owned"], sliced="packed")
         self.chunks = written(stored.select("key", *row.names), "chunks")
 
@@ -181,16 +179,17 @@ class MediaStore:
         """READ for each medium, from the stored chunks."""
         whole = self.chunks.where(F.size("chunks") == F.col("n_chunks"))
         # The rest have their own chunks and, by digest, those that other media (or other places in them) own.
-        own = self.chunks.where(F.size("chunks") < F.col("n_chunks")).select("key", F.explode("chunks").alias("c")).select("key", "c.ordinal", "c.packed")
+        own = self.chunks.where(F.size("chunks") < F.col("n_chunks")).select("key", F.explode("chunks").alias("c")).select("key", "c.ordinal", "c.data")
         uses = self.media.select(F.col("key").alias("user"), F.posexplode("digests").alias("place", "digest"))
         lent = uses.join(self.owners.where("uses > 1"), "digest").where("user <> key or place <> ordinal").select("digest", F.col("user").alias("key"), F.col("place").alias("ordinal"))
-        offered = self.chunks.select(F.explode(F.filter("chunks", lambda c: c["shared"])).alias("c")).select("c.digest", "c.packed")
-        parts = own.union(written(lent, "lent").join(offered, "digest").select("key", "ordinal", "packed"))
-        parts = parts.groupBy("key").agg(F.collect_list(F.struct("ordinal", "packed")).alias("chunks"))
+        offered = self.chunks.select(F.explode(F.filter("chunks", lambda c: c["shared"])).alias("c")).select("c.digest", "c.data")
+        parts = own.union(written(lent, "lent").join(offered, "digest").select("key", "ordinal", "data"))
+        parts = parts.groupBy("key").agg(F.collect_list(F.struct("ordinal", "data")).alias("chunks"))
         parts = parts.join(self.media, "key").select("key", "media_sha256", F.size("digests").alias("n_chunks"), "chunks")
-        return _read_back(whole.select("key", "media_sha256", "n_chunks", F.transform("chunks", lambda c: F.struct(c["ordinal"].alias("ordinal"), c["packed"].alias("packed"))).alias("chunks"))).union(_read_back(parts))
+        return _read_back(whole.select("key", "media_sha256", "n_chunks", F.transform("chunks", lambda c: F.struct(c["ordinal"].alias("ordinal"), c["data"].alias("data"))).alias("chunks"))).union(_read_back(parts))
 
     def verified(self) -> DataFrame:
         """doc_id, n_bytes and the fields of READ for each document."""
-        seen = written(self.read(), "read-back")
-        return self.documents.join(seen, "key").select("doc_id", "n_bytes", *READ.names[1:])
+        hexed = lambda c: F.lower(F.hex(c)).alias(c)
+        fields = [hexed(f.name) if isinstance(f.dataType, T.BinaryType) else F.col(f.name) for f in READ.fields[1:]]
+        return self.documents.join(self.read(), "key").select("doc_id", "n_bytes", *fields)
