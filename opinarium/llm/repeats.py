@@ -13,9 +13,9 @@ else in the texts, judged on the input. Strings never cross texts.
    suffixes (Larsson-Sadakane refinement in numpy). Kasai's common prefixes
    give the groups of equal windows.
 4. An anchor with very many contexts is dealt out to several shards. Each
-   hands on the digest of one window for each group of equal windows, sorted;
-   shards of one range of digests are merged by binary search, and windows
-   found in several go back to their shards.
+   hands on sorted runs of digests, one of a window for each group of equal
+   windows, a run for each range of digests; the runs of a range are merged
+   by binary search, and windows found in several go back to their contexts.
 
 Null texts count as empty; texts under WINDOW bytes keep everything; copies
 of a text remove each other; each row of a repeated doc_id counts as a text
@@ -38,7 +38,7 @@ from .common import add_columns, importable, mix, slices, text_column, written
 
 WINDOW, SEED = 400, 64
 #: Bytes of contexts in one suffix array, and distinct contexts of an anchor beyond which it is dealt out.
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 CONTEXTS = 256
 
 
@@ -269,11 +269,13 @@ def _cut_out(texts: DataFrame, window: int, most: int) -> DataFrame:
     return texts.select("packed", "wanted").mapInArrow(run, SHARDED)
 
 
-FOUND = "d1 long, d2 long, runs array<int>, digest binary, shard int, single int"
+FOUND = "d1 long, d2 long, runs array<int>, anchor long, shard int, range int, digests binary, singles binary"
+#: Of a sorted run: the context and start of each window that its shard has once (start -1: more than once).
+SINGLE = np.dtype([("d1", "<i8"), ("d2", "<i8"), ("start", "<i4")])
 
 
 def _search(sharded: DataFrame, window: int) -> DataFrame:
-    """Of SHARDED rows: runs of starts of repeated windows in a context; for dealt-out anchors a digest for each distinct window (single: the start of a window that its shard has once, else -1)."""
+    """Of SHARDED rows: runs of starts of repeated windows in a context; for dealt-out anchors sorted runs of window digests."""
     importable(sharded.sparkSession)
 
     def sort(rows: list[dict]) -> pa.RecordBatch:
@@ -287,15 +289,22 @@ def _search(sharded: DataFrame, window: int) -> DataFrame:
             flags = np.zeros(len(row["bytes"]) - window + 1, bool)
             flags[start[mine]] = many[mine] > 1
             if flags.any():
-                out.append((row["d1"], row["d2"], runs(flags), None, None, None))
-        _, once = np.unique(group, return_index=True)
-        for p, s, m in zip(part[once].tolist(), start[once].tolist(), many[once].tolist()):
-            row = rows[p]
-            if row["shards"] > 1:
-                digest = hashlib.blake2b(row["bytes"][s : s + window], digest_size=16).digest()
-                out.append((row["d1"], row["d2"], None, digest, row["shard"], s if m == 1 else -1))
-        kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.binary(), pa.int32(), pa.int32())
-        return pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*out) if out else [[]] * 6, kinds)], names=["d1", "d2", "runs", "digest", "shard", "single"])
+                out.append((row["d1"], row["d2"], runs(flags), None, None, None, None, None))
+        shards = rows[0]["shards"]
+        if shards > 1:  # one shard of one anchor
+            _, once = np.unique(group, return_index=True)
+            digests = np.array([hashlib.blake2b(rows[p]["bytes"][s : s + window], digest_size=16).digest() for p, s in zip(part[once].tolist(), start[once].tolist())], "S16")
+            singles = np.array([(rows[p]["d1"], rows[p]["d2"], s if m == 1 else -1) for p, s, m in zip(part[once].tolist(), start[once].tolist(), many[once].tolist())], SINGLE)
+            order = np.argsort(digests, kind="stable")
+            digests, singles = digests[order], singles[order]
+            first = digests.view(np.uint8).reshape(-1, 16)[:, 0].astype(np.int64)
+            edge = np.searchsorted(first * shards >> 8, np.arange(shards + 1))
+            for k in range(shards):
+                a, b = edge[k], edge[k + 1]
+                if b > a:
+                    out.append((None, None, None, rows[0]["anchor"], rows[0]["shard"], k, digests[a:b].tobytes(), singles[a:b].tobytes()))
+        kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*out) if out else [[]] * 8, kinds)], names=["d1", "d2", "runs", "anchor", "shard", "range", "digests", "singles"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []  # of whole shards of anchors
@@ -324,34 +333,45 @@ def _search(sharded: DataFrame, window: int) -> DataFrame:
     return sharded.repartition("anchor", "shard").sortWithinPartitions("anchor", "shard").mapInArrow(run, FOUND)
 
 
-def _merge(windows: DataFrame) -> DataFrame:
-    """(d1, d2, runs) of windows that their shard has once and another has, too: merged by binary search within ranges of digests."""
-    importable(windows.sparkSession)
+def _merge(found: DataFrame) -> DataFrame:
+    """(d1, d2, runs) of windows that their shard has once and another has, too: the sorted runs of a range merged by binary search."""
+    importable(found.sparkSession)
+    dealt = found.select("anchor", "range", "shard", "digests", "singles").repartition("anchor", "range").sortWithinPartitions("anchor", "range", "shard")
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [b for b in batches if b.num_rows]
-        if not parts:
-            return
-        table = pa.Table.from_batches(parts)
-        digest = np.frombuffer(b"".join(table["digest"].to_pylist()), "S16")
-        shard, single = table["shard"].to_numpy(), table["single"].to_numpy()
-        d1, d2 = table["d1"].to_numpy(), table["d2"].to_numpy()
-        seen, where = digest[:0], np.zeros(0, np.int64)
-        again = np.zeros(len(digest), bool)
-        for s in np.unique(shard):
-            mine = np.flatnonzero(shard == s)
-            mine = mine[np.argsort(digest[mine], kind="stable")]
-            at = np.searchsorted(seen, digest[mine])
+    def merged(group: list[dict]) -> pa.RecordBatch:
+        digests = [np.frombuffer(r["digests"], "S16") for r in group]
+        singles = np.concatenate([np.frombuffer(r["singles"], SINGLE) for r in group])
+        again = np.zeros(len(singles), bool)
+        seen, where, base = digests[0][:0], np.zeros(0, np.int64), 0
+        for own in digests:
+            mine = base + np.arange(len(own))
+            at = np.searchsorted(seen, own)
             both = at < len(seen)
-            both[both] = seen[at[both]] == digest[mine[both]]
+            both[both] = seen[at[both]] == own[both]
             again[mine[both]] = True
             again[where[at[both]]] = True
             new = ~both
-            seen, where = np.insert(seen, at[new], digest[mine[new]]), np.insert(where, at[new], mine[new])
-        hit = np.flatnonzero(again & (single >= 0))
-        yield pa.RecordBatch.from_arrays([pa.array(d1[hit]), pa.array(d2[hit]), pa.array([[x, x] for x in single[hit].tolist()], pa.list_(pa.int32()))], names=["d1", "d2", "runs"])
+            seen, where = np.insert(seen, at[new], own[new]), np.insert(where, at[new], mine[new])
+            base += len(own)
+        hit = singles[again & (singles["start"] >= 0)]
+        hit = hit[np.lexsort((hit["start"], hit["d2"], hit["d1"]))]
+        edge = np.flatnonzero(np.concatenate([[True], (hit["d1"][1:] != hit["d1"][:-1]) | (hit["d2"][1:] != hit["d2"][:-1])])) if len(hit) else np.zeros(0, np.int64)
+        starts = [np.repeat(x, 2).tolist() for x in np.split(hit["start"], edge[1:])] if len(hit) else []
+        return pa.RecordBatch.from_arrays([pa.array(hit["d1"][edge]), pa.array(hit["d2"][edge]), pa.array(starts, pa.list_(pa.int32()))], names=["d1", "d2", "runs"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, group = None, []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if (at := (row["anchor"], row["range"])) != key:
+                    if group:
+                        yield merged(group)
+                    key, group = at, []
+                group.append(row)
+        if group:
+            yield merged(group)
 
-    return windows.select("digest", "shard", "single", "d1", "d2").repartitionByRange("digest").mapInArrow(run, "d1 long, d2 long, runs array<int>")
+    return dealt.mapInArrow(run, "d1 long, d2 long, runs array<int>")
 
 
 def keyed(df: DataFrame, text: str = "text") -> DataFrame:
@@ -371,7 +391,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, most: int = CONTEXTS)
     seen = written(seen.groupBy("key").agg(F.count("*").alias("copies"), F.first("contexts").alias("contexts")), "contexts")
     every = seen.select("key", F.inline("contexts"))
     anchors = written(every.groupBy("anchor").agg(F.count("*").alias("n"), F.max("again").alias("again")).where("n > 1 or again").select("anchor"), "anchors")
-    uses = written(every.join(anchors, "anchor"), "uses")
+    uses = written(every.join(anchors.hint("merge"), "anchor"), "uses")
     distinct = uses.groupBy("d1", "d2").agg(F.count("*").alias("n"), F.min("anchor").alias("anchor"), F.max("again").alias("again"), F.min(F.struct("key", "first", "last")).alias("held"))
     distinct = written(distinct.select("d1", "d2", "n", "anchor", "again", "held.*"), "distinct-contexts")
 
@@ -379,7 +399,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, most: int = CONTEXTS)
     wanted = distinct.join(several, "anchor").groupBy("key").agg(F.collect_list(F.struct("anchor", "contexts", "d1", "d2", "first", "last")).alias("wanted"))
     found = written(_search(_cut_out(texts.join(wanted, "key"), window, most), window), "equal-windows")
     local = found.where("runs is not null").select("d1", "d2", "runs")
-    marks = local.union(_merge(found.where("digest is not null")))
+    marks = local.union(_merge(found.where("digests is not null")))
     # Contexts that occur once have the marks of their windows; others are repeated throughout.
     once = uses.join(distinct.where("n = 1").select("d1", "d2"), ["d1", "d2"]).join(marks.groupBy("d1", "d2").agg(F.flatten(F.collect_list("runs")).alias("runs")), ["d1", "d2"])
     once = once.select("key", F.transform("runs", lambda x: x + F.col("first")).alias("starts"))
@@ -416,7 +436,7 @@ def clean(df: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
     """df with repeated bytes taken out of text; characters that lose some of their bytes go whole. Nulls stay."""
     name = "_starts_of_text"
     starts, _ = repeated_spans(keyed(df.select(text_column(text).alias("text")), "text"), window)
-    joined = keyed(df, text).join(starts.withColumnRenamed("starts", name), "key", "left")
+    joined = keyed(df, text).join(starts.withColumnRenamed("starts", name).hint("merge"), "key", "left")
 
     def make(texts, lists):
         return [[t if not at else removed(t.encode("utf-8", "surrogatepass"), _spans(at, window))[0].decode("utf-8", "ignore") for t, at in zip(texts, lists)]]
