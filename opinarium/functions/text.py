@@ -9,8 +9,11 @@ from __future__ import annotations
 import html
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..session import importable
 
 from . import words
 from .regexes import NOT_SPACE, SPACE, alternatives, java, let, matches, ustrip
@@ -30,13 +33,15 @@ def prepare_comment(col: Column, truncate: int = 800) -> Column:
     return F.substring(out, 1, truncate) if truncate else out
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _unescape(texts: pd.Series) -> pd.Series:
     return texts.map(html.unescape, na_action="ignore")
 
 
 def unescape(col: Column) -> Column:
     """Character references decoded, all of HTML5's, in one pass."""
+    if spark := SparkSession.getActiveSession():
+        importable(spark)
     return F.coalesce(_unescape(F.when(col.contains("&"), col)), col)
 
 

@@ -17,6 +17,8 @@ from typing import Protocol
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..session import importable
+
 TOKEN = re.compile("[A-Za-zА-Яа-яЁё0-9]+")
 
 
@@ -133,6 +135,7 @@ def classified(df: DataFrame, row_id: str, text: str, backend: Classifier, batch
 
     Only row_id and text reach Python. Answers for ids outside their batch are dropped.
     """
+    importable(df.sparkSession)
     schema = "row_id long, batch long, pos int, answer string, latency_s double"
     names = [x.split()[0] for x in schema.split(", ")]
 
@@ -169,6 +172,7 @@ def classified(df: DataFrame, row_id: str, text: str, backend: Classifier, batch
 
 def embedded(df: DataFrame, row_id: str, text: str, backend: Embedder, batch_size: int = 128) -> DataFrame:
     """(row_id, vector) for the rows of df."""
+    importable(df.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from ..functions.regexes import ustrip
 from ..functions.text import given
 from ..functions.vectors import l2_normalize
+from ..session import importable
 
 #: References in a block, and queries that meet it in one task.
 BLOCK, QUERIES = 16_384, 65_536
@@ -37,6 +38,7 @@ def categories(refs: DataFrame, category: str) -> DataFrame:
 
 def top_k(queries: DataFrame, index: DataFrame, query_id: str, vector: str, k: int = 5) -> DataFrame:
     """query_id, ref_id, sim and rank (from 1) of the k nearest references; ties go to the smaller ref_id."""
+    importable(queries.sparkSession)
     k = max(1, int(k))
     asked = queries.where(F.col(vector).isNotNull()).select(F.col(query_id).alias("query_id"), l2_normalize(F.col(vector)).alias("vector"))
     n_refs, n_queries = index.count(), asked.count()

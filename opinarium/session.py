@@ -2,8 +2,19 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
+ROOT = str(Path(__file__).resolve().parents[1])
+
+
+def importable(spark: SparkSession) -> None:
+    """Python workers find this package where the driver found it."""
+    env = spark.sparkContext.environment
+    if ROOT not in env.get("PYTHONPATH", "").split(":"):
+        env["PYTHONPATH"] = ":".join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
+
 
 def session(master: str | None = None, partitions: int | None = None, **conf: str) -> SparkSession:
     """Adaptive execution, Arrow and UTC; a cluster's own master and partition counts stay unless given."""
