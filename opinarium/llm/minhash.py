@@ -37,10 +37,12 @@ from .common import add_columns, connected_components, importable, mix, shingle_
 WIDTH, SIMILARITY = 5, 0.8
 ROWS, BANDS = 4, 20
 REGISTERS = ROWS * BANDS
-#: Pairs of the second comparison are verified if this share of registers agrees: 0.8 less 4.5 standard deviations.
-AGREE = 0.6
-#: Rows in a block of the second comparison.
-BLOCK = 512
+#: The second comparison has longer sketches; its pairs are verified if this share of registers agrees: 0.8 less 4.5 standard deviations.
+FINE, AGREE = 512, 0.72
+#: Rows on a side of a block of the second comparison.
+BLOCK = 256
+#: Bytes of text that are sketched at once.
+SLICE = 1 << 20
 
 
 def sketches(rows: list[tuple[np.ndarray, np.ndarray]], registers: int = REGISTERS) -> np.ndarray:
@@ -52,6 +54,7 @@ def sketches(rows: list[tuple[np.ndarray, np.ndarray]], registers: int = REGISTE
     arrival = np.zeros(len(element))
     first = np.full(n * registers, np.inf)
     out = np.zeros(n * registers, np.uint32)
+    whole, place = out.reshape(n, registers), np.arange(n)
     turn = 0
     with np.errstate(over="ignore"):
         while len(element):
@@ -65,7 +68,13 @@ def sketches(rows: list[tuple[np.ndarray, np.ndarray]], registers: int = REGISTE
             out[slot[won]] = (mix(element[won]) >> np.uint64(32)).astype(np.uint32)
             live = arrival < first.reshape(n, registers).max(1)[owner]
             element, weight, owner, arrival = element[live], weight[live], owner[live], arrival[live]
-    return out.reshape(n, registers)
+            still = np.unique(owner)
+            if 2 * len(still) < n:  # finished rows leave
+                whole[place] = out.reshape(n, registers)
+                place, first, out = place[still], first.reshape(n, registers)[still].ravel(), out.reshape(n, registers)[still].ravel()
+                owner, n = np.searchsorted(still, owner), len(still)
+    whole[place] = out.reshape(n, registers)
+    return whole
 
 
 def weighted(text: bytes, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -83,6 +92,12 @@ def _sketch(texts: list[str]) -> list[list]:
     return [[hashlib.blake2b(r, digest_size=16).digest() for r in raws], out]
 
 
+def _fine(texts: list[str]) -> list[list]:
+    """16 bits of each of FINE registers, and the sorted distinct shingles, for texts with words."""
+    rows = [weighted(t.encode("utf-8", "surrogatepass")) for t in texts]
+    return [[s.astype("<u2").tobytes() for s in sketches(rows, FINE)] if rows else [], [h.astype("<u8").tobytes() for h, _ in rows]]
+
+
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     """Of two sorted arrays of distinct hashes."""
     both = len(np.intersect1d(a, b, assume_unique=True))
@@ -110,52 +125,70 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return add_columns(ends, T.StructType([T.StructField("similarity", T.DoubleType())]), make, ["text_a", "text_b"], sliced="text_b").select("a", "b", "similarity")
 
 
-def _apart(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes of other components whose sketches agree well enough.
+def _apart(rows: DataFrame, similarity: float) -> DataFrame:
+    """Links (src, dst) between nodes of other components: in each block a spanning forest of those verified.
 
-    rows: block key columns bucket, i, j, then left (whether on the left), node, component, sketch.
+    rows: block key columns bucket, i, j, then left (whether on the left),
+    node, component, bands (the node's buckets in order), sketch and shingles.
+    A pair is compared in the first bucket that it shares.
     """
     importable(rows.sparkSession)
-    dealt = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    dealt = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "left", "node")
 
-    def pairs(group: list[dict]) -> Iterator[tuple[int, int]]:
+    def links(bucket: int, group: list[dict]) -> Iterator[tuple[int, int]]:
         left = [r for r in group if r["left"]]
         right = [r for r in group if not r["left"]]
         if not left or not right:
             return
-        x, y = (np.frombuffer(b"".join(r["sketch"] for r in side), "<u4").reshape(len(side), -1) for side in (left, right))
-        p, q = (np.array([r["component"] for r in side]) for side in (left, right))
-        u, v = (np.array([r["node"] for r in side]) for side in (left, right))
-        for i in range(len(left)):
-            near = np.flatnonzero(((y == x[i]).mean(1) >= AGREE) & (q != p[i]))
-            yield from ((min(int(u[i]), w), max(int(u[i]), w)) for w in v[near].tolist())
+        y = np.frombuffer(b"".join(r["sketch"] for r in right), "<u2").reshape(len(right), -1)
+        bands = np.array([r["bands"] for r in right])
+        component = np.array([r["component"] for r in right])
+        shingles = [np.frombuffer(r["shingles"], "<u8") for r in right]
+        parent: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while parent.get(c, c) != c:
+                c = parent[c]
+            return c
+
+        for r in left:
+            mine, own = np.frombuffer(r["sketch"], "<u2"), np.frombuffer(r["shingles"], "<u8")
+            near = np.flatnonzero((y == mine).sum(1) >= AGREE * FINE)
+            near = near[component[near] != r["component"]]
+            same = bands[near] == np.array(r["bands"])
+            for k in near[np.array(r["bands"])[same.argmax(1)] == bucket].tolist():
+                p, q = root(r["component"]), root(int(component[k]))
+                if p != q and jaccard(own, shingles[k]) >= similarity:
+                    parent[max(p, q)] = min(p, q)
+                    yield r["node"], right[k]["node"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, group = None, []
 
-        def told(found):
-            found = sorted(set(found))
-            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        def told():
+            found = list(links(key[0], group))
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["src", "dst"])
 
         for batch in batches:
-            for row in batch.to_pylist():
-                at = (row["bucket"], row["i"], row["j"])
-                if at != key:
-                    if group:
-                        yield told(pairs(group))
-                    key, group = at, []
-                group.append(row)
+            for start in range(0, batch.num_rows, 256):
+                for row in batch.slice(start, 256).to_pylist():
+                    at = (row["bucket"], row["i"], row["j"])
+                    if at != key:
+                        if group:
+                            yield told()
+                        key, group = at, []
+                    group.append(row)
         if group:
-            yield told(pairs(group))
+            yield told()
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, "src long, dst long")
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id and kept (whether doc_id names its class) for each row of df."""
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), text_column(text).alias("text"))
     made = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("sketch", T.BinaryType())])
-    seen = written(add_columns(docs, made, _sketch, ["text"], sliced="text").drop("text"), "sketches")
+    seen = written(add_columns(docs, made, _sketch, ["text"], sliced="text", most=SLICE).drop("text"), "sketches")
     named = seen.where("doc_id is not null")
     nodes = written(named.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("sketch").alias("sketch")), "nodes")
 
@@ -168,7 +201,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
 
     # Only texts in some bucket with another are read again.
     wanted = members.select(F.col("node").alias("doc_id")).distinct()
-    texts = docs.join(wanted, "doc_id").groupBy(F.col("doc_id").alias("node")).agg(F.first("text").alias("text"))
+    texts = docs.join(wanted.hint("merge"), "doc_id").groupBy(F.col("doc_id").alias("node")).agg(F.first("text").alias("text"))
     texts = written(texts, "texts")
     links = written(_verify(stars, texts).where(F.col("similarity") >= similarity).select(F.col("a").alias("src"), F.col("b").alias("dst")), "links")
     found = connected_components(links)
@@ -185,10 +218,11 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
         left = rows.where("component <> main").withColumn("i", own("rest")).withColumn("j", F.explode(F.sequence(F.lit(0), blocks("all") - 1))).withColumn("left", F.lit(True))
         right = rows.withColumn("j", own("all")).withColumn("i", F.explode(F.sequence(F.lit(0), blocks("rest") - 1))).withColumn("left", F.lit(False))
         columns = ["bucket", "i", "j", "left", "node", "component"]
-        sided = left.select(columns).union(right.select(columns)).join(nodes.select("node", "sketch"), "node")
-        more = written(_apart(sided).join(stars, ["a", "b"], "left_anti"), "apart")
-        fresh = _verify(more, texts).where(F.col("similarity") >= similarity).select(F.col("a").alias("src"), F.col("b").alias("dst"))
-        fresh = written(fresh, "more-links")
+        made = T.StructType([T.StructField("sketch", T.BinaryType()), T.StructField("shingles", T.BinaryType())])
+        fine = add_columns(texts.join(rows.select("node").distinct(), "node"), made, _fine, ["text"], sliced="text", most=SLICE).select("node", "sketch", "shingles")
+        fine = written(fine.join(nodes.select("node", keys.alias("bands")), "node"), "fine-sketches")
+        sided = left.select(columns).union(right.select(columns)).join(fine, "node")
+        fresh = written(_apart(sided, similarity), "more-links")
         if not fresh.isEmpty():
             found = connected_components(links.union(fresh))
 
@@ -200,4 +234,4 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
 def first_of_each(df: DataFrame) -> DataFrame:
     """The rows of df whose doc_id names their class, with df's columns."""
     kept = near_duplicates(df).where("not kept").select("doc_id").distinct()
-    return df.join(written(kept, "dropped"), "doc_id", "left_anti").select(df.columns)
+    return df.join(written(kept, "dropped").hint("merge"), "doc_id", "left_anti").select(df.columns)
