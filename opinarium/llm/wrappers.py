@@ -50,12 +50,13 @@ NOT_ARTICLE_ROLES = frozenset("navigation banner contentinfo complementary searc
 ARTICLE_NAMES = frozenset("article articlebody content post entry story main text".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 CLOSED_BY_NEXT = {"li": ("ul", "ol", "menu"), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "dt": ("dl",), "dd": ("dl",), "option": ("select",)}
+PEERS = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th")}
 
 TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW.replace(' ', '|')})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|([^<]+|<)", re.S | re.I)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+))?""", re.I)
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
-#: A text is the template's if at least so many pages of a host have it in a slot, and none has another there.
+#: A text (no heading) is the template's if at least so many pages of a host have it in a slot, none has another there, and they differ in another slot.
 TEMPLATE_PAGES = 5
 
 
@@ -139,7 +140,7 @@ def blocks(html: str) -> tuple[list[Block], dict[tuple[str, ...], int]]:
                         break
             if tag in CLOSED_BY_NEXT:
                 for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == tag:
+                    if stack[i][0] in PEERS.get(tag, (tag,)):
                         del stack[i:]
                         break
                     if stack[i][0] in CLOSED_BY_NEXT[tag]:
@@ -256,17 +257,19 @@ def region(wrapper: list) -> tuple[list[list[str]], list[list]]:
     template: list[list] = []
     varied = False
 
-    def walk(node: list, path: tuple[str, ...], inside: list[tuple[str, ...]], out: bool) -> None:
+    def walk(node: list, path: tuple[str, ...], inside: list[tuple[str, ...]], out: bool, repeated: bool) -> None:
         nonlocal varied
         for child in node[CHILDREN]:
+            again = repeated or child[REPEATED]
             if child[LABEL] == SLOT:
                 if child[OUT]:
                     continue
                 weight = child[CHARS] - child[LINKED]
                 for p in inside:
                     regions[p][1] += weight
-                varied |= child[TEXT] is None and child[PAGES] >= TEMPLATE_PAGES
-                if child[TEXT] is not None and child[PAGES] >= TEMPLATE_PAGES:
+                # Pages that differ in no slot of their own are copies, not a template's.
+                varied |= not again and child[TEXT] is None and child[PAGES] >= TEMPLATE_PAGES
+                if child[TEXT] is not None and child[PAGES] >= TEMPLATE_PAGES and not re.match(r"h[1-6]\b", path[-1] if path else ""):
                     template.append([list(path), child[TEXT]])
             else:
                 at = path + (child[LABEL],)
@@ -274,9 +277,9 @@ def region(wrapper: list) -> tuple[list[list[str]], list[list]]:
                 if child[RANK] >= 0:
                     regions.setdefault(at, [child[RANK], 0])
                     here = inside + [at]
-                walk(child, at, here, out or child[OUT])
+                walk(child, at, here, out or child[OUT], again)
 
-    walk(wrapper, (), [], False)
+    walk(wrapper, (), [], False, False)
     template = template if varied else []
     for rank in (0, 1):
         told = {p: w for p, (r, w) in regions.items() if r == rank and w > 0}
