@@ -34,7 +34,8 @@ from .common import add_columns
 
 MARK = "▁"
 NORMAL, BYTE = 1, 6
-CACHE = 300_000
+CACHE = 500_000
+PAIR = (2,)
 
 
 def fields(data: bytes):
@@ -89,12 +90,20 @@ class Transducer:
             raise ValueError("the model has no byte pieces")
         self.kinds = kinds
         self.pairs = {name[i : i + 2] for name in self.rank for i in range(len(name) - 1)}
+        self.known = {name: i.to_bytes(4, "little") for name, i in self.ids.items()}
         self.longest = max(map(len, self.rank))
+        # The pieces of several characters that merging makes, and the lengths, descending, of those that may end with three characters (two: for any).
+        self.live = {name for name in self.rank if len(name) > 1 and name[1] != MARK and self.merged(name) == [name]}
+        lengths: dict[str, set[int]] = {}
+        for name in self.live:
+            lengths.setdefault(name[-3:], {2}).add(len(name))
+        self.sizes = {tail: tuple(sorted(found, reverse=True)) for tail, found in lengths.items()}
         self.runs = {n: self.ids[MARK * n] for n in range(1, self.longest + 1) if MARK * n in self.ids}
+        self.order = {name: -score for name, score in self.rank.items()}
+        self.split: dict[str, tuple[str, str]] = {}
         self.fits: dict[tuple[str, str], bool] = {}
-        self.whole: dict[str, bool] = {}
-        self.parts: dict[str, tuple[int, ...]] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.parts: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
     def merged(self, text: str) -> list[str]:
         """The segmentation of a short text by its definition: best pair first, leftmost of equals."""
@@ -106,49 +115,78 @@ class Transducer:
             out[-at : -at + 2] = [out[-at] + out[-at + 1]]
         return out
 
+    def halves(self, piece: str) -> tuple[str, str]:
+        """The two pieces that the last merge makes a piece of."""
+        found = self.split.get(piece)
+        if found is None:
+            out, rank = list(piece), self.rank
+            while len(out) > 2:
+                best, at = max(((rank.get(out[i] + out[i + 1], -np.inf), -i) for i in range(len(out) - 1)))
+                out[-at : -at + 2] = [out[-at] + out[-at + 1]]
+            found = self.split[piece] = (out[0], out[1])
+        return found
+
     def compatible(self, left: str, right: str) -> bool:
-        """Whether the acceptor has an arc of weight 0 from left to right."""
+        """Whether the acceptor has an arc of weight 0 from left to right.
+
+        Merges are undone from the latest on, on either side of the boundary;
+        the arc is missing if what then meets there would have merged earlier.
+        """
         key = (left, right)
         found = self.fits.get(key)
         if found is None:
             if len(self.fits) > 2 * CACHE:
                 self.fits.clear()
-            found = self.fits[key] = (left[-1] + right[0]) not in self.pairs or self.merged(left + right) == [left, right]
-        return found
-
-    def stands(self, piece: str) -> bool:
-        """Whether merging ever makes the piece from its own characters."""
-        found = self.whole.get(piece)
-        if found is None:
-            found = self.whole[piece] = self.merged(piece) == [piece]
+            order, limit, found = self.order, np.inf, True
+            while (left[-1] + right[0]) in self.pairs:
+                joined = order.get(left + right)
+                if joined is not None and joined < limit:
+                    found = False
+                    break
+                a, b = order[left] if len(left) > 1 else -1, order[right] if len(right) > 1 else -1
+                if a == b == -1:
+                    break
+                # Of merges of one rank the left one comes first.
+                if a > b:
+                    left, limit = self.halves(left)[1], a
+                else:
+                    right, limit = self.halves(right)[0], b + 0.5
+            self.fits[key] = found
         return found
 
-    def path(self, text: str) -> tuple[int, ...]:
+    def path(self, text: str) -> bytes:
         """Ids on the shortest path through a part that has no white space after its first character."""
-        n, rank = len(text), self.rank
-        back: list[str | None] = [None] * (n + 1)  # the last piece of the one finite path to each position
+        n, live, sizes, fits, compatible = len(text), self.live, self.sizes, self.fits, self.compatible
+        back: list[str] = [""] * (n + 1)  # the last piece of the one finite path to each position
         for end in range(1, n + 1):
-            for size in range(1, min(end, self.longest) + 1):
+            # At most one arc into a position has a finite weight.
+            for size in sizes.get(text[max(0, end - 3) : end], PAIR):
+                if size > end:
+                    continue
                 piece = text[end - size : end]
-                if piece not in rank:
-                    if size == 1:
-                        back[end] = piece  # byte arcs; no merge crosses them
+                if piece in live:
+                    if end == size:
+                        back[end] = piece
                         break
-                    continue
-                before = back[end - size]
-                if (size == 1 or self.stands(piece)) and (end == size or (before is not None and self.compatible(before, piece))):
-                    back[end] = piece
-                    break
+                    before = back[end - size]
+                    found = fits.get((before, piece))
+                    if found or (found is None and compatible(before, piece)):
+                        back[end] = piece
+                        break
+            else:
+                back[end] = text[end - 1]  # a single character, by its piece or its bytes
         out, at = [], n
         while at:
-            piece = back[at]
-            if piece is None:
-                raise ValueError(f"no path for {text!r}")
-            out.append(piece)
-            at -= len(piece)
-        return tuple(i for piece in reversed(out) for i in ((self.ids[piece],) if piece in self.ids else [self.byte[b] for b in piece.encode("utf-8", "surrogatepass")]))
-
-    def part(self, text: str) -> tuple[int, ...]:
+            out.append(back[at])
+            at -= len(back[at])
+        known = self.known
+        return b"".join([known[p] if p in known else self.spelt(p) for p in reversed(out)])
+
+    def spelt(self, character: str) -> bytes:
+        """The byte arcs of a character without a piece."""
+        return b"".join(self.byte[b].to_bytes(4, "little") for b in character.encode("utf-8", "surrogatepass"))
+
+    def part(self, text: str) -> bytes:
         found = self.parts.get(text)
         if found is None:
             if len(self.parts) > CACHE:
@@ -156,57 +194,60 @@ class Transducer:
             found = self.parts[text] = self.path(text)
         return found
 
-    def word(self, text: str) -> tuple[int, ...]:
-        """A word with the mark in front, if any."""
-        out, start, pairs = [], 0, self.pairs
-        for i in range(1, len(text)):
-            if text[i - 1 : i + 1] not in pairs:
-                out += self.part(text[start:i])
-                start = i
-        out += self.part(text[start:])
-        return tuple(out)
-
-    def run(self, n: int) -> list[int]:
+    def word(self, text: str) -> bytes:
+        """Ids of a word with the mark in front, if any: the parts between cuts."""
+        pairs = self.pairs
+        cuts = [i for i in range(1, len(text)) if text[i - 1 : i + 1] not in pairs]
+        return b"".join([self.part(text[a:b]) for a, b in zip([0, *cuts], [*cuts, len(text)])]) if cuts else self.part(text)
+
+    def marked(self, word: str) -> bytes:
+        """word() of a word after a mark, kept for its next use."""
+        found = self.words.get(word)
+        if found is None:
+            if len(self.words) > CACHE:
+                self.words.clear()
+            found = self.words[word] = self.word(MARK + word)
+        return found
+
+    def run(self, n: int) -> bytes:
         """Ids of n marks in a row: the fewest arcs, longest first."""
         out = []
         while n:
             size = max(k for k in self.runs if k <= n)
             out.append(self.runs[size])
             n -= size
-        return out
+        return np.array(out, "<u4").tobytes()
 
-    def encode(self, text: str) -> list[int]:
+    def encoded(self, text: str) -> bytes:
+        """The ids of a text, four bytes each, little-endian."""
         if not text:
-            return []
+            return b""
         text = text.replace(" ", MARK)
         if self.prefix:
             text = MARK + text
-        out: list[int] = []
-        words = self.words
         first, *rest = text.split(MARK)
-        if first:
-            out += self.word(first)
+        out = [self.word(first)] if first else []
+        if "" not in rest:
+            known = list(map(self.words.get, rest))
+            if None in known:
+                known = [k if k is not None else self.marked(w) for k, w in zip(known, rest)]
+            return b"".join(out + known)
+        alone = np.uint32(self.runs[1]).tobytes()
         spare = 0  # marks before the one that goes with the next word
         for word in rest:
             if not word:
                 spare += 1
                 continue
-            found = words.get(word)
-            if found is None:
-                if len(words) > CACHE:
-                    words.clear()
-                found = words[word] = self.word(MARK + word)
-            if spare:
-                if found[0] == self.runs[1]:
-                    out += self.run(spare + 1)
-                    out += found[1:]
-                else:
-                    out += self.run(spare)
-                    out += found
-                spare = 0
+            found = self.marked(word)
+            if spare and found[:4] == alone:
+                out += [self.run(spare + 1), found[4:]]
             else:
-                out += found
-        return out + self.run(spare)
+                out += [self.run(spare), found]
+            spare = 0
+        return b"".join(out) + self.run(spare)
+
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.encoded(text), "<u4").tolist()
 
     def decode(self, ids) -> str:
         """The inverse: pieces and bytes in order, marks to spaces, less the mark in front."""
@@ -269,9 +310,9 @@ def digest(df: DataFrame, text: str = "text", model: str | None = None) -> DataF
         t = transducer(path)
         out: list[tuple] = []
         for x in texts:
-            ids = t.encode(x or "")
-            decoded = t.decode(ids)
-            out.append((len(ids), zlib.crc32(np.array(ids, "<u4")), sha256(decoded.encode()).hexdigest(), decoded == (x or "")))
+            ids = t.encoded(x or "")
+            decoded = t.decode(np.frombuffer(ids, "<u4").tolist())
+            out.append((len(ids) // 4, zlib.crc32(ids), sha256(decoded.encode()).hexdigest(), decoded == (x or "")))
         return list(zip(*out)) if out else [[], [], [], []]
 
     return add_columns(df.select("doc_id", text), made, make, [text], sliced=text).select("doc_id", *made.names)
