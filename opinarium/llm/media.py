@@ -34,7 +34,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from .common import add_columns, importable, mix, slices, text_column, written
 
 UNIT = 64
-MIN_CHUNK, MASK_BITS, MAX_CHUNK = 1024, 12, 16384
+MIN_CHUNK, MASK_BITS, MAX_CHUNK = 2048, 13, 32768
 #: 8 kHz, one channel, 8 bits: the header of a WAV file.
 RATE = 8000
 
@@ -114,7 +114,7 @@ def _manifest(texts: list[str]) -> list[list]:
 def _packed(texts: list[str]) -> list[list]:
     import zstandard
 
-    pack = zstandard.ZstdCompressor(level=7).compress
+    pack = zstandard.ZstdCompressor(level=12).compress
     raws = [t.encode("utf-8", "surrogatepass") for t in texts]
     return [[digest16(r) for r in raws], [pack(r) for r in raws]]
 
@@ -173,7 +173,7 @@ class MediaStore:
         texts = add_columns(docs.select("text"), made, _packed, ["text"], sliced="text").select("key", "packed").groupBy("key").agg(F.first("packed").alias("packed"))
         row = T.StructType([T.StructField("media_sha256", T.BinaryType()), T.StructField("n_chunks", T.IntegerType()), T.StructField("chunks", T.ArrayType(CHUNK))])
         stored = add_columns(texts.join(owned, "key"), row, _owned, ["packed", "owned"], sliced="packed")
-        self.chunks = written(stored.select("key", *row.names), "chunks")
+        self.chunks = written(stored.select("key", *row.names), "chunks", 9)
 
     def read(self) -> DataFrame:
         """READ for each medium, from the stored chunks."""
