@@ -74,7 +74,7 @@ def basic_clean(col: Column, entities: bool = True) -> Column:
 def strip_noise(col: Column, brand: str, noise: list[str] = words.NOISE_PHRASES) -> Column:
     """Lines without noise phrases; a line that names the brand stays."""
     pattern = alternatives(noise)
-    keep = lambda line: matches(line, brand) | ~matches(F.lower(line), pattern)
+    keep = lambda line: ~matches(F.lower(line), pattern) | matches(line, brand)
     return ustrip(joined(F.filter(lines(given(col)), keep)))
 
 
@@ -89,7 +89,7 @@ def squash_repeats(col: Column, most: int = 3) -> Column:
 
 def script_gate(col: Column, script: str | None = CYRILLIC) -> Column:
     """Null for a text without the script; no script: no gate."""
-    return F.when(col.rlike(script), col) if script else col
+    return let(col, lambda x: F.when(x.rlike(script), x)) if script else col
 
 
 def tokens(col: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.regexes import valid
+from ..functions.regexes import let, valid
 from ..functions.text import ordered_matches
 from ..plans.config import BrandProfile
 
@@ -21,14 +21,17 @@ def sure_drop(col: Column, profile: BrandProfile) -> Column:
 
     Patterns that don't compile are skipped on the driver.
     """
-    out = []
-    for code, patterns in rule_lists(profile):
-        if patterns := valid(patterns):
-            hit = ordered_matches(col, patterns)
-            out.append(F.when(hit.isNotNull(), F.struct(F.lit(code).alias("rule_code"), hit.alias("pattern"))))
-    if not out:
+    lists = [(code, kept) for code, patterns in rule_lists(profile) if (kept := valid(patterns))]
+    if not lists:
         return F.lit(None).cast("struct<rule_code: string, pattern: string>")
-    return F.when(col != "", F.coalesce(*out))
+
+    def named(code: str):
+        return lambda hit: F.when(hit.isNotNull(), F.struct(F.lit(code).alias("rule_code"), hit.alias("pattern")))
+
+    def first(text: Column) -> Column:
+        return F.when(text != "", F.coalesce(*(let(ordered_matches(text, kept), named(code)) for code, kept in lists)))
+
+    return let(col, first)
 
 
 def with_rules(df: DataFrame, text: str, profile: BrandProfile) -> DataFrame:

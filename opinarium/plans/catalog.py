@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import answers, labels, prompts, spans, text, vectors
 from ..operators import batching, categories, merge, metrics, prototypes, relevance, retrieval, rules
 from ..operators.backends import AliasMatch, FirstToken, HashingEmbedder, embedded
+from ..sources.readers import scan
 from ..sources.writers import details, preview
 from . import fixtures as fx
 from .config import PipelineConfig, SentimentConfig
@@ -33,7 +34,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return scan(spark, f"{sf_dir}/documents.parquet", "doc_id", "text")
 
 
 def cyrillic(spark: SparkSession, sf_dir: str) -> DataFrame:

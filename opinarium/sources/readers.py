@@ -12,6 +12,25 @@ SNIFFED = 64 << 10
 SEPARATORS = ",;\t|"
 
 
+#: Scans of at least so many bytes in fewer splits than cores are dealt out; row-wise work then uses all cores.
+SPREAD_BYTES = 4 << 20
+
+
+def scan(spark: SparkSession, path: str, *columns: str) -> DataFrame:
+    """A Parquet table, or columns of it.
+
+    A file whose few row groups would keep cores idle is dealt out once;
+    tables with a split for each core or more are read as they lie.
+    """
+    df = spark.read.parquet(path)
+    df = df.select(*columns) if columns else df
+    plan = df._jdf.queryExecution()
+    cores = spark.sparkContext.defaultParallelism
+    if int(str(plan.optimizedPlan().stats().sizeInBytes())) >= SPREAD_BYTES and plan.toRdd().getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
+
+
 def _head(spark: SparkSession, path: str) -> str:
     """The first characters of a file, through Spark's file systems."""
     jvm = spark.sparkContext._jvm
