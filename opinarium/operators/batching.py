@@ -7,38 +7,40 @@ batches for any partitioning, through ranks within ranges of ids.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def _numbered(df: DataFrame, to: str) -> DataFrame:
+    """df with consecutive numbers in the order of its partitions.
+
+    Numbers within a partition start at the sum of the partitions before it.
+    That sum is a window over counts, one row a partition, not over rows.
+    """
+    placed = df.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)})
+    counts = placed.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select("_part", F.coalesce(before, F.lit(0)).alias("_base"))
+    return placed.join(F.broadcast(offsets), "_part").withColumn(to, (F.col("_base") + F.col("_at")).cast("long")).drop("_part", "_at", "_base")
+
+
 def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
-    """df with consecutive row ids from 0 in the order of its partitions: one narrow count a partition, no shuffle of rows."""
-    placed = df.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()})
-    sizes = {r["_part"]: r["n"] for r in placed.groupBy("_part").agg(F.count("*").alias("n")).collect()}
-    start, base = 0, {}
-    for part in sorted(sizes):
-        base[part] = start
-        start += sizes[part]
-    offsets = F.lit(0).cast("long")
-    if base:
-        told = F.create_map(*(F.lit(x) for kv in base.items() for x in kv))
-        offsets = F.element_at(told, F.col("_part"))
-    return placed.withColumn(name, (offsets + F.col("_at").bitwiseAND((1 << 33) - 1)).cast("long")).drop("_part", "_at")
+    """df with consecutive row ids from 0 in the order of its partitions.
+
+    Partitions are counted first, so they must come out alike twice, as those of a scan do.
+    """
+    return _numbered(df, name)
 
 
 def dense_rank_by_range(df: DataFrame, key: str, to: str) -> DataFrame:
-    """df with the place of each row (from 0) in the order of the distinct key, by range partitions.
+    """df with the place of each row (from 0) in the order of key, by range partitions: no task sees the whole table.
 
-    Rows are ranked within each range; the ranges' counts (one row a
-    partition) give the offsets. No single task sees the whole table.
+    The ranges come from a sample, so the ranged rows are kept: counts and rows then see the same ones.
     """
-    ranged = df.repartitionByRange(F.col(key)).sortWithinPartitions(key)
-    placed = ranged.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)})
-    counts = placed.groupBy("_part").agg(F.count("*").alias("_n"))
-    # One row a partition: this window is over partition counts, not rows.
-    offsets = counts.withColumn("_base", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_base")
-    return placed.join(F.broadcast(offsets), "_part").withColumn(to, (F.col("_base") + F.col("_at")).cast("long")).drop("_part", "_at", "_base")
+    ranged = df.repartitionByRange(F.col(key)).sortWithinPartitions(key).persist(StorageLevel.MEMORY_AND_DISK)
+    return _numbered(ranged, to)
 
 
 def numbered_batches(df: DataFrame, key: str, size: int, to: str = "batch_id") -> DataFrame:
