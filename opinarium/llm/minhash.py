@@ -18,7 +18,8 @@ one shingle; null texts and texts without words link with nothing but count
 as copies of equal texts. Copies share a class. A class is named by its smallest doc_id;
 rows with a null doc_id are classes of their own (null, kept). Repeated rows
 share a class and are all returned. An empty table gives an empty table;
-columns other than doc_id and text are not read.
+columns other than doc_id and text are not read. doc_id is the key: texts
+that share one are one node.
 """
 
 from __future__ import annotations

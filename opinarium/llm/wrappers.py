@@ -88,7 +88,7 @@ def blocks(html: str) -> tuple[list[Block], dict[tuple[str, ...], int]]:
     found: list[Block] = []
     named: dict[tuple[str, ...], int] = {}
     parts: list[str] = []
-    links = linked = 0
+    links = linked = 0  # open links, characters in them
 
     def flush():
         nonlocal linked
@@ -108,8 +108,6 @@ def blocks(html: str) -> tuple[list[Block], dict[tuple[str, ...], int]]:
                 linked += len(text)
             continue
         if not tag:
-            if m[1] and m[1].lower() == "title":
-                pass
             continue
         tag = tag.lower()
         if m[2]:

@@ -240,7 +240,7 @@ def test_wrappers(spark):
 
 def test_wrapper_expressions():
     a, b = (wrappers.tree(f"<article><h1>t{k}</h1>{'<p>x</p>' * n}{tail}</article>") for k, n, tail in ((1, 3, ""), (2, 1, "<ul><li>z</ul>")))
-    assert wrappers.expression(wrappers.merged(a, b)) == '<article><h1>#</h1>(<p>#</p>)+(<ul><li>"z"</li></ul>)?</article>'.replace('(<ul><li>"z"</li></ul>)?', '(<ul><li>"z"</li></ul>)?')
+    assert wrappers.expression(wrappers.merged(a, b)) == '<article><h1>#</h1>(<p>#</p>)+(<ul><li>"z"</li></ul>)?</article>'
     pairs = wrappers.tree("<dl><dt>a<dd>b<dt>c<dd>d<dt>e<dd>f</dl>")
     assert wrappers.expression(pairs) == "<dl>(<dt>#</dt>)+(<dd>#</dd>)+</dl>"
 
