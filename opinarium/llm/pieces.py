@@ -34,7 +34,8 @@ from .common import add_columns
 
 MARK = "▁"
 NORMAL, BYTE = 1, 6
-CACHE = 500_000
+#: Paths that are kept, of parts and words up to KEPT characters.
+CACHE, KEPT = 500_000, 48
 PAIR = (2,)
 
 
@@ -189,9 +190,11 @@ class Transducer:
     def part(self, text: str) -> bytes:
         found = self.parts.get(text)
         if found is None:
-            if len(self.parts) > CACHE:
-                self.parts.clear()
-            found = self.parts[text] = self.path(text)
+            found = self.path(text)
+            if len(text) <= KEPT:
+                if len(self.parts) > CACHE:
+                    self.parts.clear()
+                self.parts[text] = found
         return found
 
     def word(self, text: str) -> bytes:
@@ -204,9 +207,11 @@ class Transducer:
         """word() of a word after a mark, kept for its next use."""
         found = self.words.get(word)
         if found is None:
-            if len(self.words) > CACHE:
-                self.words.clear()
-            found = self.words[word] = self.word(MARK + word)
+            found = self.word(MARK + word)
+            if len(word) <= KEPT:
+                if len(self.words) > CACHE:
+                    self.words.clear()
+                self.words[word] = found
         return found
 
     def run(self, n: int) -> bytes:

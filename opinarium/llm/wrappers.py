@@ -58,6 +58,8 @@ NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 #: A text (no heading) is the template's if at least so many pages of a host have it in a slot, none has another there, and they differ in another slot.
 TEMPLATE_PAGES = 5
+#: Siblings in a wrapper beyond which those of one label are taken together.
+SIBLINGS = 64
 
 
 def _label(tag: str, attributes: str, within: bool) -> tuple[str, bool, bool]:
@@ -207,10 +209,24 @@ def fold(node: list) -> list:
                 out.append(children[i])
                 i += 1
         children = out
-    node[CHILDREN] = children
+    node[CHILDREN] = few(children)
     return node
 
 
+def few(children: list) -> list:
+    """Of very many siblings those of one label become one repeat, so that wrappers stay small."""
+    if len(children) <= SIBLINGS:
+        return children
+    out: dict[str, list] = {}
+    for c in children:
+        if c[LABEL] in out:
+            out[c[LABEL]] = merged(out[c[LABEL]], c, again=True)
+            out[c[LABEL]][REPEATED] = True
+        else:
+            out[c[LABEL]] = c
+    return list(out.values())
+
+
 def merged(a: list, b: list, again: bool = False) -> list:
     """The alignment of two wrappers of one label. again: both are parts of one page."""
     same = a[TEXT] is not None and a[TEXT] == b[TEXT] and not again
@@ -239,7 +255,7 @@ def aligned(a: list, b: list, again: bool = False) -> list:
             folded[-1][REPEATED] = True
         else:
             folded.append(n)
-    return folded
+    return few(folded)
 
 
 def expression(node: list) -> str:

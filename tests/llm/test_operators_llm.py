@@ -118,6 +118,8 @@ def test_pieces(spark):
         ids = t.encode(text)
         assert ids == reference.encode(text)
         assert "▁" in text or t.decode(ids) == text
+    long = "ab,cd" * 5000 + "é" * 3000
+    assert t.encode(long) == reference.encode(long) and long not in t.words
     out = by_id(pieces.digest(odd(spark)), "n_tokens", "ids_crc32", "lossless")
     for i, text in enumerate(ODD):
         ids = reference.encode(text or "")
@@ -241,6 +243,8 @@ def test_wrappers(spark):
 def test_wrapper_expressions():
     a, b = (wrappers.tree(f"<article><h1>t{k}</h1>{'<p>x</p>' * n}{tail}</article>") for k, n, tail in ((1, 3, ""), (2, 1, "<ul><li>z</ul>")))
     assert wrappers.expression(wrappers.merged(a, b)) == '<article><h1>#</h1>(<p>#</p>)+(<ul><li>"z"</li></ul>)?</article>'
+    many = wrappers.tree("<article>" + "".join(f"<p>x</p><h{1 + k % 5}>y</h{1 + k % 5}><div class='{'abcdefg'[k % 7]}'>z</div>" for k in range(60)) + "</article>")
+    assert len(many[wrappers.CHILDREN][0][wrappers.CHILDREN]) <= wrappers.SIBLINGS
     pairs = wrappers.tree("<dl><dt>a<dd>b<dt>c<dd>d<dt>e<dd>f</dl>")
     assert wrappers.expression(pairs) == "<dl>(<dt>#</dt>)+(<dd>#</dd>)+</dl>"
 
