@@ -50,13 +50,13 @@ def written(df: DataFrame, name: str, level: int = 3) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def remove(df: DataFrame) -> None:
-    """Deletes the files of a table that written() made, once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for file in df.inputFiles()[:1]:
-        folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+def remove(*tables: DataFrame) -> None:
+    """Deletes the files of tables that written() made, once no plan reads them any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for file in df.inputFiles()[:1]:
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def text_column(name: str = "text"):
@@ -81,8 +81,10 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
         after = nearer.join(jump, "offer", "left").select("node", F.least("offer", F.coalesce("further", "offer")).alias("component"), F.col("component").alias("was"))
         after = written(after, name)
         done = after.where("component <> was").isEmpty()
+        remove(labels)
         labels = after.select("node", "component")
         if done:
+            remove(both)
             return labels
 
 

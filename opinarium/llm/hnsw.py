@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, importable, written
+from .common import connected_components, importable, remove, written
 
 COSINE = 0.98
 SHARD = 8192
@@ -295,5 +295,6 @@ def link_vectors(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding
     components = connected_components(found.where("other is not null").select(F.col("node").alias("src"), F.col("other").alias("dst")), "vectors")
     told = nodes.select("digest", "node", "copies").join(counts, "node", "left").join(components, "node", "left")
     told = written(told.select("digest", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id")), "told")
+    remove(nodes, found, components)
     out = rows.select("vec_id", "digest").join(told, "digest", "left")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"), (F.coalesce("component_id", "vec_id").eqNullSafe(F.col("vec_id"))).alias("kept"))

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, connected_components, importable, mix, shingle_hashes, text_column, written
+from .common import add_columns, connected_components, importable, mix, remove, shingle_hashes, text_column, written
 
 WIDTH, SIMILARITY = 5, 0.8
 ROWS, BANDS = 4, 20
@@ -225,9 +225,12 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
         sided = left.select(columns).union(right.select(columns)).join(fine, "node")
         fresh = written(_apart(sided, similarity), "more-links")
         if not fresh.isEmpty():
+            remove(found)
             found = connected_components(links.union(fresh))
+        remove(fine, fresh)
 
     classes = written(nodes.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("class_id")), "classes")
+    remove(nodes, buckets, members, stars, texts, links, mixed, found)
     joined = named.select("doc_id", "digest").join(classes, "digest").select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
     return joined.union(seen.where("doc_id is null").select("doc_id", F.lit(None).cast("long"), F.lit(True)))
 

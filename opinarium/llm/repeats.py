@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, importable, mix, slices, text_column, written
+from .common import add_columns, importable, mix, remove, slices, text_column, written
 
 WINDOW, SEED = 400, 64
 #: Bytes of contexts in one suffix array, and distinct contexts of an anchor beyond which it is dealt out.
@@ -403,10 +403,13 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, most: int = CONTEXTS)
     # Contexts that occur once have the marks of their windows; others are repeated throughout.
     once = uses.join(distinct.where("n = 1").select("d1", "d2"), ["d1", "d2"]).join(marks.groupBy("d1", "d2").agg(F.flatten(F.collect_list("runs")).alias("runs")), ["d1", "d2"])
     once = once.select("key", F.transform("runs", lambda x: x + F.col("first")).alias("starts"))
-    often = uses.join(written(distinct.where("n > 1").select("d1", "d2"), "repeated-contexts"), ["d1", "d2"]).select("key", F.array("first", "last").alias("starts"))
+    repeated = written(distinct.where("n > 1").select("d1", "d2"), "repeated-contexts")
+    often = uses.join(repeated, ["d1", "d2"]).select("key", F.array("first", "last").alias("starts"))
     copied = seen.where("copies > 1").select("key", F.array(F.array_min("contexts.first"), F.array_max("contexts.last")).alias("starts"))
     starts = once.union(often).union(copied).groupBy("key").agg(F.flatten(F.collect_list("starts")).alias("starts"))
-    return written(starts, "starts"), texts
+    starts = written(starts, "starts")
+    remove(seen, anchors, uses, distinct, several, found, repeated)
+    return starts, texts
 
 
 def _spans(starts: list[int], window: int) -> list[tuple[int, int]]:
