@@ -1,10 +1,12 @@
 """Near-duplicates by ProbMinHash sketches, banding and exact verification.
 
-Every text's five-word shingles, weighted by 1 + ln(count), arrive at the
-registers of its sketch as Poisson processes whose rates are the weights; a
-shingle stops once its next arrival comes after the latest first arrival of
-all registers. Two sketches agree in a register with the probability Jaccard
-similarity of the weighted shingles. Bands of registers name buckets.
+Every text's weighted five-word shingles arrive at the registers of its sketch
+as Poisson processes whose rates are the weights; a shingle stops once its
+next arrival comes after the latest first arrival of all registers. Two
+sketches agree in a register with the probability Jaccard similarity of the
+weighted shingles. Each distinct shingle has the weight 1 here, however often
+it stands in its text, as then that is about the Jaccard similarity of the
+sets, by which links are judged. Bands of registers name buckets.
 
 Links are pairs of texts that share a bucket and whose sets of shingles have
 a Jaccard similarity of 0.8 or more, verified on the whole texts. In each
@@ -79,8 +81,8 @@ def sketches(rows: list[tuple[np.ndarray, np.ndarray]], registers: int = REGISTE
 
 
 def weighted(text: bytes, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
-    distinct, count = np.unique(shingle_hashes(text, width), return_counts=True)
-    return distinct, 1 + np.log(count)
+    distinct = np.unique(shingle_hashes(text, width))
+    return distinct, np.ones(len(distinct))
 
 
 def _sketch(texts: list[str]) -> list[list]:

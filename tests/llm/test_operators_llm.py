@@ -290,6 +290,23 @@ def test_near_duplicates(spark):
     assert minhash.near_duplicates(df.where("1 = 0")).count() == 0
 
 
+def test_near_duplicates_with_unequal_counts(spark):
+    """Copies whose shared lines stand once more in one and 20 times more in the other."""
+    rng = random.Random(12)
+    pairs = []
+    for k in range(80):
+        line, rest = [[f"{k}x{rng.randrange(10**6)}" for _ in range(n)] for n in (25, 67)]
+        other = list(rest)
+        if k % 2:
+            other[20] = other[40] = "changed"
+        pairs.append((" ".join(rest + 2 * line), " ".join(other + 21 * line)))
+    assert all(len(shingle_set(a) & shingle_set(b)) >= 0.8 * len(shingle_set(a) | shingle_set(b)) for a, b in pairs)
+    same = list(pairs[0])
+    assert len(set(minhash._sketch(same)[-1])) == 1 and len(set(minhash._fine(same)[0])) == 1
+    df = spark.createDataFrame([(2 * k + i, t) for k, pair in enumerate(pairs) for i, t in enumerate(pair)], DOCS)
+    assert by_id(minhash.near_duplicates(df), "class_id") == {i: (i - i % 2,) for i in range(160)}
+
+
 def test_sketches_estimate_probability_jaccard():
     rng = np.random.default_rng(10)
     for _ in range(5):
