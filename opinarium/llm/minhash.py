@@ -26,7 +26,6 @@ that share one are one node.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -86,13 +85,12 @@ def weighted(text: bytes, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sketch(texts: list[str]) -> list[list]:
-    raws = [t.encode("utf-8", "surrogatepass") for t in texts]
-    rows = [weighted(r) for r in raws]
+    rows = [weighted(t.encode("utf-8", "surrogatepass")) for t in texts]
     some = [i for i, (h, _) in enumerate(rows) if len(h)]
     out: list[bytes | None] = [None] * len(texts)
     for i, s in zip(some, sketches([rows[i] for i in some]) if some else ()):
         out[i] = s.astype("<u4").tobytes()
-    return [[hashlib.blake2b(r, digest_size=16).digest() for r in raws], out]
+    return [out]
 
 
 def _fine(texts: list[str]) -> list[list]:
@@ -187,14 +185,26 @@ def _apart(rows: DataFrame, similarity: float) -> DataFrame:
     return dealt.mapInArrow(run, "src long, dst long")
 
 
-def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, class_id and kept (whether doc_id names its class) for each row of df."""
+def _rows(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), text_column(text).alias("text"))
-    made = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("sketch", T.BinaryType())])
-    seen = written(add_columns(docs, made, _sketch, ["text"], sliced="text", most=SLICE).drop("text"), "sketches")
-    named = seen.where("doc_id is not null")
-    nodes = written(named.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("sketch").alias("sketch")), "nodes")
+    return docs.withColumn("digest", _digest("text"))
+
+
+def _digest(text: str):
+    return F.unhex(F.sha2(text_column(text).cast("binary"), 256))
+
+
+def _sketched(docs: DataFrame) -> DataFrame:
+    """(doc_id, digest, sketch) for each row of docs (doc_id, text, digest)."""
+    made = T.StructType([T.StructField("sketch", T.BinaryType())])
+    return written(add_columns(docs, made, _sketch, ["text"], sliced="text", most=SLICE).drop("text"), "sketches")
+
 
+def _classes(docs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """(digest, id, class_id), the least node of each text's component.
+
+    nodes: (digest, id, node, sketch), written: for each distinct text its number and the doc_id of a row of docs (doc_id, text, digest) that has it.
+    """
     size = 4 * ROWS
     keys = F.array(*(F.xxhash64(F.lit(k), F.substring("sketch", 1 + size * k, size)) for k in range(BANDS)))
     banded = nodes.where("sketch is not null").select("node", F.explode(keys).alias("bucket"))
@@ -203,8 +213,8 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     stars = written(members.where("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct(), "stars")
 
     # Only texts in some bucket with another are read again.
-    wanted = members.select(F.col("node").alias("doc_id")).distinct()
-    texts = docs.join(wanted.hint("merge"), "doc_id").groupBy(F.col("doc_id").alias("node")).agg(F.first("text").alias("text"))
+    wanted = nodes.join(members.select("node").distinct(), "node").select("node", "id", F.col("digest").alias("of"))
+    texts = docs.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("of"))).groupBy("node").agg(F.first("text").alias("text"))
     texts = written(texts, "texts")
     links = written(_verify(stars, texts).where(F.col("similarity") >= similarity).select(F.col("a").alias("src"), F.col("b").alias("dst")), "links")
     found = connected_components(links)
@@ -231,13 +241,43 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
             found = connected_components(links.union(fresh))
         remove(fine, fresh)
 
-    classes = written(nodes.join(found, "node", "left").select("digest", F.coalesce("component", "node").alias("class_id")), "classes")
+    classes = written(nodes.join(found, "node", "left").select("digest", "id", F.coalesce("component", "node").alias("class_id")), "classes")
     remove(nodes, buckets, members, stars, texts, links, mixed, found)
+    return classes
+
+
+def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, class_id and kept (whether doc_id names its class) for each row of df."""
+    docs = _rows(df, doc_id, text)
+    seen = _sketched(docs)
+    named = seen.where("doc_id is not null")
+    nodes = named.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("sketch").alias("sketch")).withColumn("node", F.col("id"))
+    classes = _classes(docs, written(nodes, "nodes"), similarity).drop("id")
     joined = named.select("doc_id", "digest").join(classes, "digest").select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
     return joined.union(seen.where("doc_id is null").select("doc_id", F.lit(None).cast("long"), F.lit(True)))
 
 
 def first_of_each(df: DataFrame) -> DataFrame:
-    """The rows of df whose doc_id names their class, with df's columns."""
-    kept = near_duplicates(df).where("not kept").select("doc_id").distinct()
-    return df.join(written(kept, "dropped").hint("merge"), "doc_id", "left_anti").select(df.columns)
+    """One row of df for each class of texts, with df's columns: of the least doc_id, or of none where all are null.
+
+    Rows are told apart by doc_id and text, so a text stays or goes whatever
+    other texts have its doc_id; of rows equal in both any one stays.
+    """
+    docs = _rows(df, "doc_id", "text")
+    seen = _sketched(docs)
+    # min() passes over nulls: a text's id is null only if no row of it has one.
+    nodes = seen.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("sketch").alias("sketch")).withColumn("node", F.monotonically_increasing_id())
+    classes = _classes(docs, written(nodes, "nodes"), SIMILARITY)
+    chosen = classes.groupBy("class_id").agg(F.min(F.struct(F.col("id").isNull().alias("nameless"), "id", "digest")).alias("row"))
+    chosen = written(chosen.select(F.col("row.id").alias("_id_kept"), F.col("row.digest").alias("_digest_kept")), "chosen")
+    same = F.col("_id").eqNullSafe(F.col("_id_kept")) & (F.col("_digest") == F.col("_digest_kept"))
+    several = seen.groupBy(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).agg(F.count("*").alias("n")).where("n > 1")
+    several = written(several.join(chosen, same, "left_semi").select(F.col("_id").alias("_id_kept"), F.col("_digest").alias("_digest_kept")), "several")
+    remove(seen, classes)
+
+    marked = df.withColumns({"_id": F.col("doc_id").cast("long"), "_digest": _digest("text")})
+    kept = marked.join(chosen.hint("merge"), same, "left_semi")
+    if several.isEmpty():
+        return kept.select(df.columns)
+    repeated = marked.join(several.hint("merge"), same, "left_semi").groupBy("_id", "_digest").agg(F.first(F.struct(*df.columns)).alias("_row")).select("_row.*")
+    return kept.join(several.hint("merge"), same, "left_anti").select(df.columns).union(repeated)

@@ -307,6 +307,23 @@ def test_near_duplicates_with_unequal_counts(spark):
     assert by_id(minhash.near_duplicates(df), "class_id") == {i: (i - i % 2,) for i in range(160)}
 
 
+def test_one_row_of_each_class_stays(spark):
+    rng = random.Random(13)
+    base = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(80)) for _ in range(6)]
+    near = lambda t: t + " more"
+    rows = [(7, base[0]), (7, base[0]), (7, base[0])]  # a repeated row
+    rows += [(None, base[1]), (None, base[1]), (None, near(base[1]))]  # nothing but null ids
+    rows += [(None, base[2]), (8, near(base[2]))]  # a null id and another
+    rows += [(1, base[3]), (9, base[3]), (9, base[4])]  # a copy's id on a text of its own
+    rows += [(None, None), (None, "")]
+    df = spark.createDataFrame(rows, DOCS).repartition(5)
+    got = [(r["doc_id"], r["text"]) for r in minhash.first_of_each(df).collect()]
+    nameless = [t for i, t in got if i is None]
+    assert len(nameless) == 2 and sum(not t for t in nameless) == 1 and {t for t in nameless if t} <= {base[1], near(base[1])}
+    assert sorted((i, t) for i, t in got if i is not None) == sorted([(7, base[0]), (8, near(base[2])), (1, base[3]), (9, base[4])])
+    assert minhash.first_of_each(df.where("1 = 0")).count() == 0
+
+
 def test_sketches_estimate_probability_jaccard():
     rng = np.random.default_rng(10)
     for _ in range(5):
