@@ -104,6 +104,16 @@ def test_graph_recall():
     assert hnsw.Graph(x[:1]).within(x[:1], 0.9, 4)[0].tolist() == [0]
 
 
+def test_audit_of_sparse_links():
+    """The first queries have no links, each of the later ones has one."""
+    rng = np.random.default_rng(14)
+    x = rng.normal(size=(4000, 64))
+    shard = hnsw._Shard([{"node": i, "copies": 1, "vector": v} for i, v in enumerate(x.tolist())], 0.98)
+    ask = lambda first, vectors: {n: (other, links) for n, other, links in shard.ask([{"node": first + i, "vector": v} for i, v in enumerate(vectors.tolist())])}
+    assert set(ask(10000, rng.normal(size=(500, 64))).values()) == {(None, 0)}
+    assert ask(20000, x[:1500] + rng.normal(scale=0.1, size=(1500, 64))) == {20000 + i: (i, 1) for i in range(1500)}
+
+
 # --- op2 ---
 
 
