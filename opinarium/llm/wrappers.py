@@ -10,7 +10,7 @@ small wrapper for each partition, however many pages it has.
 
 The wrapper says where the article is (the region with the most text that
 isn't links, articles and main elements first) and which texts in it are the
-template's (the same on all pages). Pages give the text of their blocks in
+template's (the same on nearly all pages). Pages give the text of their blocks in
 that region, without the elements that menus, headers, footers, sidebars,
 notices, adverts, forms and comments are made of. A page that lacks its
 host's region is judged by its own tree.
@@ -56,8 +56,8 @@ TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW.replace(' ', '|')})\b[^>]*>.*?(?:
 ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+))?""", re.I)
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
-#: A text (no heading) is the template's if at least so many pages of a host have it in a slot, none has another there, and they differ in another slot.
-TEMPLATE_PAGES = 5
+#: A text (no heading) is the template's if at least so many pages of a host, and so large a share of those with the article around it, have it in a slot, none has another there, and they differ in another slot.
+TEMPLATE_PAGES, TEMPLATE_SHARE = 5, 0.9
 #: Siblings in a wrapper beyond which those of one label are taken together.
 SIBLINGS = 64
 
@@ -271,7 +271,7 @@ def region(wrapper: list) -> tuple[list[list[str]], list[list]]:
     template: list[list] = []
     varied = False
 
-    def walk(node: list, path: tuple[str, ...], inside: list[tuple[str, ...]], out: bool, repeated: bool) -> None:
+    def walk(node: list, path: tuple[str, ...], inside: list[tuple[str, ...]], out: bool, repeated: bool, pages: int) -> None:
         nonlocal varied
         for child in node[CHILDREN]:
             again = repeated or child[REPEATED]
@@ -283,7 +283,7 @@ def region(wrapper: list) -> tuple[list[list[str]], list[list]]:
                     regions[p][1] += weight
                 # Pages that differ in no slot of their own are copies, not a template's.
                 varied |= not again and child[TEXT] is None and child[PAGES] >= TEMPLATE_PAGES
-                if child[TEXT] is not None and child[PAGES] >= TEMPLATE_PAGES and not re.match(r"h[1-6]\b", path[-1] if path else ""):
+                if child[TEXT] is not None and child[PAGES] >= max(TEMPLATE_PAGES, TEMPLATE_SHARE * pages) and not re.match(r"h[1-6]\b", path[-1] if path else ""):
                     template.append([list(path), child[TEXT]])
             else:
                 at = path + (child[LABEL],)
@@ -291,9 +291,9 @@ def region(wrapper: list) -> tuple[list[list[str]], list[list]]:
                 if child[RANK] >= 0:
                     regions.setdefault(at, [child[RANK], 0])
                     here = inside + [at]
-                walk(child, at, here, out or child[OUT], again)
+                walk(child, at, here, out or child[OUT], again, child[PAGES] if here and not inside else pages)
 
-    walk(wrapper, (), [], False, False)
+    walk(wrapper, (), [], False, False, wrapper[PAGES])
     template = template if varied else []
     for rank in (0, 1):
         told = {p: w for p, (r, w) in regions.items() if r == rank and w > 0}

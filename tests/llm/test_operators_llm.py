@@ -250,6 +250,17 @@ def test_wrappers(spark):
     assert wrappers.extract(df.where("1 = 0")).count() == 0
 
 
+def test_texts_of_a_few_copies_stay():
+    """A quote, byline and note on six of 40 pages are the article's; a note on all pages is the template's."""
+    html = lambda i: f"<article><h1>t{i}</h1><p>body {i}</p>{'<blockquote>Quote</blockquote><div class=byline>By A</div>' if i < 6 else ''}<div class=end>Site</div></article>"
+    wrapper = wrappers.tree(html(0))
+    for i in range(1, 40):
+        wrapper = wrappers.merged(wrapper, wrappers.tree(html(i)))
+    found = wrappers.region(wrapper)
+    for i in range(40):
+        assert wrappers.extracted(html(i), *found) == f"t{i}\nbody {i}" + ("\nQuote\nBy A" if i < 6 else "")
+
+
 def test_wrapper_expressions():
     a, b = (wrappers.tree(f"<article><h1>t{k}</h1>{'<p>x</p>' * n}{tail}</article>") for k, n, tail in ((1, 3, ""), (2, 1, "<ul><li>z</ul>")))
     assert wrappers.expression(wrappers.merged(a, b)) == '<article><h1>#</h1>(<p>#</p>)+(<ul><li>"z"</li></ul>)?</article>'
