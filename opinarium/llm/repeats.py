@@ -175,7 +175,8 @@ def equal_windows(parts: list[bytes], window: int = WINDOW) -> tuple[np.ndarray,
     size = np.array([len(p) for p in parts], np.int64)
     base = np.concatenate([[0], np.cumsum(size)])
     raw = np.frombuffer(b"".join(parts), np.uint8)
-    order = suffix_array(raw, window)
+    # The whole order: common prefixes that are carried over need it beyond the window, too.
+    order = suffix_array(raw, max(window, len(raw)))
     lcp = common_prefixes(raw, order, window)
     group = np.cumsum(lcp < window)
     part = np.searchsorted(base, order, "right") - 1

@@ -215,6 +215,18 @@ def test_suffix_arrays():
             assert lcp[i] == n
 
 
+def test_equal_windows_beyond_the_depth_of_doubling():
+    """Contexts that share more than 512 bytes, and one of other bytes."""
+    rng = random.Random(15)
+    for _ in range(400):
+        text = lambda n: bytes(rng.choice(b"ab ") for _ in range(n))  # noqa: B023, E731
+        shared = text(560)
+        parts = [text(rng.randint(0, 40)) + shared + text(rng.randint(0, 60)), text(rng.randint(0, 40)) + shared + text(rng.randint(0, 60)), text(700)]
+        part, start, group = repeats.equal_windows(parts)
+        windows = [parts[p][s : s + 400] for p, s in zip(part.tolist(), start.tolist())]
+        assert len(set(zip(windows, group.tolist()))) == len(set(windows)) == len(set(group.tolist()))
+
+
 def test_repeats_odd_inputs(spark):
     got = by_id(repeats.digest(odd(spark)), "n_bytes", "n_removed")
     for i, t in enumerate(ODD):
