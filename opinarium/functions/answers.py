@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-RELEVANCE = "results array<struct<global_idx: int, action: string>>"
-SENTIMENT = "results array<struct<global_idx: int, label: string>>"
-CATEGORY = "results array<struct<global_idx: int, category: string>>"
+RELEVANCE = "results array<struct<global_idx: long, action: string>>"
+SENTIMENT = "results array<struct<global_idx: long, label: string>>"
+CATEGORY = "results array<struct<global_idx: long, category: string>>"
 
 
 def json_span(col: Column) -> Column:

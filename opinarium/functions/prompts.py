@@ -30,6 +30,12 @@ SYSTEM_TEMPLATE = """
 """.strip()
 RELEVANCE_HEAD = ["Для каждой строки верни action=keep|drop.", "Сохраняй global_idx как есть. Верни ровно столько results, сколько входных строк."]
 RELEVANCE_TAIL = "\nВерни JSON строго по схеме: {results: [{global_idx, action}, ...]}"
+SENTIMENT_SYSTEM = """
+Ты классификатор тональности русскоязычных отзывов/комментариев.
+Для каждого текста верни только label: negative | neutral | positive.
+Никаких пояснений и лишнего текста — только JSON по схеме.
+""".strip()
+CATEGORY_SYSTEM = "Ты — аналитик отзывов. Следуй инструкции пользователя и верни строго JSON."
 SENTIMENT_HEAD = ["Определи тональность каждого пункта.", "Верни JSON строго по схеме: {results:[{global_idx,label},...]}"]
 ALLOWED_HEAD = "Разрешённые категории (выбирай строго из списка):\n"
 CATEGORY_RULES = """ИНСТРУКЦИЯ:

@@ -104,6 +104,16 @@ def with_retries(call: Callable, retryable: tuple[type[Exception], ...], attempt
     raise RuntimeError("no answer after all attempts")
 
 
+_clients: dict = {}
+
+
+def client_of(name: str, make_client: Callable):
+    """The client kept under name in this worker, made at the first call."""
+    if name not in _clients:
+        _clients[name] = make_client()
+    return _clients[name]
+
+
 class ApiEmbedder:
     """Embeddings of an API client that make_client() makes on the executor; missing texts are empty, answers are put in order."""
 
@@ -111,7 +121,7 @@ class ApiEmbedder:
         self.make_client, self.model, self.dimensions, self.batch_size = make_client, model, dimensions, batch_size
 
     def embed(self, texts):
-        client, out = self.make_client(), []
+        client, out = client_of(f"embedder {self.model}", self.make_client), []
         more = {"dimensions": self.dimensions} if self.dimensions else {}
         for i in range(0, len(texts), self.batch_size):
             answer = client.embeddings.create(model=self.model, input=[t or "" for t in texts[i : i + self.batch_size]], **more)
@@ -122,11 +132,11 @@ class ApiEmbedder:
 class ApiClassifier:
     """Answers of a language model: make_prompt(items) is put to ask(client, prompt), parse(text) gives [(id, answer)]."""
 
-    def __init__(self, make_client: Callable, ask: Callable, make_prompt: Callable, parse: Callable, retryable: tuple = (ConnectionError, TimeoutError), attempts: int = 6):
-        self.make_client, self.ask, self.make_prompt, self.parse, self.retryable, self.attempts = make_client, ask, make_prompt, parse, retryable, attempts
+    def __init__(self, make_client: Callable, ask: Callable, make_prompt: Callable, parse: Callable, retryable: tuple = (ConnectionError, TimeoutError), attempts: int = 6, name: str = "classifier"):
+        self.name, self.make_client, self.ask, self.make_prompt, self.parse, self.retryable, self.attempts = name, make_client, ask, make_prompt, parse, retryable, attempts
 
     def classify(self, items):
-        client, prompt = self.make_client(), self.make_prompt(items)
+        client, prompt = client_of(self.name, self.make_client), self.make_prompt(items)
         return self.parse(with_retries(lambda: self.ask(client, prompt), self.retryable, self.attempts))
 
 

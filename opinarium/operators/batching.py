@@ -7,19 +7,24 @@ batches for any partitioning, through ranks within ranges of ids.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import written
 
-def _numbered(df: DataFrame, to: str) -> DataFrame:
-    """df with consecutive numbers in the order of its partitions.
+
+def _placed(df: DataFrame) -> DataFrame:
+    """df with each row's partition and its place there."""
+    return df.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)})
+
+
+def _numbered(placed: DataFrame, to: str) -> DataFrame:
+    """_placed() rows with consecutive numbers in the order of their partitions.
 
     Numbers within a partition start at the sum of the partitions before it.
     That sum is a window over counts, one row a partition, not over rows.
     """
-    placed = df.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)})
     counts = placed.groupBy("_part").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.select("_part", F.coalesce(before, F.lit(0)).alias("_base"))
@@ -31,16 +36,16 @@ def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
 
     Partitions are counted first, so they must come out alike twice, as those of a scan do.
     """
-    return _numbered(df, name)
+    return _numbered(_placed(df), name)
 
 
 def dense_rank_by_range(df: DataFrame, key: str, to: str) -> DataFrame:
     """df with the place of each row (from 0) in the order of key, by range partitions: no task sees the whole table.
 
-    The ranges come from a sample, so the ranged rows are kept: counts and rows then see the same ones.
+    The ranges come from a sample, so rows are written with their places: counts and rows then see the same ones.
     """
-    ranged = df.repartitionByRange(F.col(key)).sortWithinPartitions(key).persist(StorageLevel.MEMORY_AND_DISK)
-    return _numbered(ranged, to)
+    ranged = df.repartitionByRange(F.col(key)).sortWithinPartitions(key)
+    return _numbered(written(_placed(ranged), "ranged"), to)
 
 
 def numbered_batches(df: DataFrame, key: str, size: int, to: str = "batch_id") -> DataFrame:

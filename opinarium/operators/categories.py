@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import answers, prompts, text
 from ..functions.labels import best_allowed
 from ..functions.regexes import ustrip
-from ..plans.config import BrandProfile, CategoryConfig, require_columns
-from . import retrieval
+from ..plans.config import BrandProfile, CategoryConfig, Hook, require_columns
+from . import models, retrieval
 from .backends import Classifier, Embedder, classified, embedded
 from .merge import last_answers
 from .metrics import says
@@ -29,6 +31,25 @@ def sources(df: DataFrame, col: str, use_refs: bool, is_drop: str = "is_drop") -
     return df.withColumn(SOURCE, source(dropped, ustrip(text.given(F.col(col))) == "", use_refs))
 
 
+def fingerprint(refs: DataFrame, profile: BrandProfile, embedder: Embedder, config: CategoryConfig) -> str:
+    """A name for the index of refs: of their content (in any order), the profile, the embedder and the settings that shape it."""
+    row = F.struct(F.col(config.text), F.col(config.category))
+    sums = [F.sum(F.xxhash64(row, F.lit(seed)).cast("decimal(38,0)")) for seed in (0, 1)]
+    content = refs.agg(F.count("*"), *sums).first()
+    told = [*map(str, content), repr(profile), type(embedder).__name__, repr(sorted(vars(embedder).items())), config.truncate_chars, config.max_words]
+    return hashlib.md5("\n".join(map(str, told)).encode()).hexdigest()
+
+
+def cached_index(refs: DataFrame, ref_id: str, profile: BrandProfile, embedder: Embedder, config: CategoryConfig, folder: str) -> DataFrame:
+    """index_texts(), kept as Parquet under its fingerprint in folder: equal references are embedded once."""
+    require_columns(refs, config.text, config.category)
+    spark, path = refs.sparkSession, f"{folder}/{fingerprint(refs, profile, embedder, config)}"
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+        index_texts(refs, ref_id, profile, embedder, config).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def index_texts(refs: DataFrame, ref_id: str, profile: BrandProfile, embedder: Embedder, config: CategoryConfig = CategoryConfig()) -> DataFrame:
     """The index of labelled references: preprocessed, embedded, normalized."""
     require_columns(refs, config.text, config.category)
@@ -57,18 +78,39 @@ def vote(neighbours: Column) -> Column:
     return F.array_max(ranked)["c"]
 
 
-def tag(df: DataFrame, row_id: str, user_prompt: str, profile: BrandProfile, backend: Classifier | None = None, index: DataFrame | None = None, embedder: Embedder | None = None, config: CategoryConfig = CategoryConfig()) -> DataFrame:
+def asked_model(items: DataFrame, row_id: str, txt: str, user_prompt: str, model: models.Model, allowed: list[str] | None = None, neighbours: str | None = None, config: CategoryConfig = CategoryConfig()) -> DataFrame:
+    """(row_id, answer, pos, latency_s): a language model's category for items.
+
+    A batch's prompt has the user's prompt, the allowed categories and each
+    item's text with its neighbours (a column of items) as examples.
+    """
+    block = prompts.category_item(F.col(row_id), F.col(txt), F.col(neighbours) if neighbours else None)
+    prompt = lambda items: prompts.category_prompt(user_prompt, F.transform(items, lambda x: x["txt"]), allowed)
+    return models.answers(items.withColumn("_item", block), row_id, "_item", prompts.CATEGORY_SYSTEM, prompt, model, answers.CATEGORY, "category", config.batch_size, config.workers)
+
+
+def mapped(told: DataFrame, row_id: str, allowed: list[str]) -> DataFrame:
+    """(row_id, answer): the last answer of each row, as the allowed category that it stands for, else as it is; blank ones are null."""
+    found = last_answers(told, row_id, "answer", "pos").withColumn("answer", F.nullif(ustrip(F.col("answer")), F.lit("")))
+    return best_allowed(found, "answer", allowed, "_mapped").select(row_id, F.coalesce("_mapped", "answer").alias("answer")) if allowed else found
+
+
+def tag(df: DataFrame, row_id: str, user_prompt: str, profile: BrandProfile, backend: Classifier | models.Model | None = None, index: DataFrame | None = None, embedder: Embedder | None = None, config: CategoryConfig = CategoryConfig(), preprocess: Hook | None = None) -> DataFrame:
     """df with the predicted category and its source.
 
     Rows that are dropped or empty are skipped before any embedding. With an
-    index each item carries its neighbours; without a backend their vote
-    decides. Unanswered rows stay null but keep their source; an answer that
-    fits no allowed category stays as it is.
+    index each item carries its neighbours. A language model gets the whole
+    prompt: the user's, the index's categories and the items; a classifier
+    gets items; without either the neighbours' vote decides. Unanswered rows
+    stay null but keep their source; an answer that fits no allowed category
+    stays as it is. preprocess takes the place of the standard preprocessing.
     """
     require_columns(df, config.text)
     if not user_prompt.strip():
         raise ValueError("a prompt is needed")
-    ready = sources(df.withColumn("_text", for_model(text.prepare_comment(F.col(config.text), config.truncate_chars), profile, config.max_words)), "_text", index is not None)
+    models.require_ready(backend, embedder)
+    given = text.prepare_comment(F.col(config.text), config.truncate_chars)
+    ready = sources(df.withColumn("_text", preprocess(given) if preprocess else for_model(given, profile, config.max_words)), "_text", index is not None)
     items = ready.where(F.col(SOURCE).isin("llm", "rag_llm")).select(row_id, "_text")
     allowed = [r[0] for r in retrieval.categories(index, "category").collect()] if index is not None else []  # the categories' names
     if index is not None:
@@ -78,15 +120,12 @@ def tag(df: DataFrame, row_id: str, user_prompt: str, profile: BrandProfile, bac
     if backend is None:
         if index is None:
             raise ValueError("a backend or an index is needed")
-        answers = items.select(row_id, vote(F.col("neighbours")).alias("answer"))
+        told = items.select(row_id, vote(F.col("neighbours")).alias("answer"), F.lit(0).alias("pos"))
+    elif hasattr(backend, "ask"):
+        told = asked_model(items, row_id, "_text", user_prompt, backend, allowed, "neighbours" if index is not None else None, config)
     else:
-        from ..functions.prompts import category_item
-
-        asked = items.withColumn("_item", category_item(F.col(row_id), F.col("_text"), F.col("neighbours") if index is not None else None))
+        asked = items.withColumn("_item", prompts.category_item(F.col(row_id), F.col("_text"), F.col("neighbours") if index is not None else None))
         told = classified(asked, row_id, "_item", backend, config.batch_size).select(F.col("row_id").alias(row_id), "answer", F.struct("batch", "pos").alias("pos"))
-        answers = last_answers(told, row_id, "answer", "pos")
-    answers = answers.withColumn("answer", F.nullif(ustrip(F.col("answer")), F.lit("")))
-    if allowed:
-        answers = best_allowed(answers, "answer", allowed, "_mapped").withColumn("answer", F.coalesce("_mapped", "answer"))
-    out = ready.join(answers.select(row_id, F.col("answer").alias(PRED)), row_id, "left")
+    found = mapped(told, row_id, allowed).select(row_id, F.col("answer").alias(PRED))
+    out = ready.join(found, row_id, "left")
     return out.select(*(c for c in df.columns if c not in (PRED, SOURCE)), PRED, SOURCE)

@@ -10,12 +10,16 @@ from pyspark.sql import functions as F
 from ..functions.labels import OTHER, label_name
 from ..functions.vectors import dot, doubles, l2_normalize
 from ..plans.config import SentimentConfig
+from ..session import written
+from .retrieval import top_k
 
 CLASSES = 3
 #: The score of a class without prototypes.
 ABSENT = -1e9
 #: Prototype components up to this many become literals of the scoring expression; beyond it they are joined.
 LITERAL_COMPONENTS = 4096
+#: Beyond the literals, up to this many (32 MB) are broadcast.
+BROADCAST_COMPONENTS = 4 << 20
 
 
 def centroids(df: DataFrame, vector: str, label: str, normalize: bool = True) -> DataFrame:
@@ -65,22 +69,34 @@ def _predicted(scores: list[Column]) -> tuple[Column, Column]:
     return best, top
 
 
+def _predicted_in_blocks(df: DataFrame, vector: str, prototypes: DataFrame, normalize: bool, names: list[str]) -> DataFrame:
+    """predict() for prototypes of any number."""
+    rows = written(df.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    out = rows
+    for c, n in enumerate(names):
+        refs = prototypes.where(F.col("class_id") == c).select(F.monotonically_increasing_id().alias("ref_id"), F.col("centroid").alias("vector"))
+        near = top_k(rows, refs, "_row", vector, 1, normalize).select(F.col("query_id").alias("_row"), F.col("sim").alias(n))
+        out = out.join(near, "_row", "left").withColumn(n, F.when(F.col(vector).isNotNull(), F.coalesce(n, F.lit(ABSENT))))
+    pred, sim = _predicted([F.col(n) for n in names])
+    return out.drop("_row").withColumns({"pred": pred, "sim": sim})
+
+
 def predict(df: DataFrame, vector: str, prototypes: DataFrame, normalize: bool = True) -> DataFrame:
     """df with s_negative, s_neutral, s_positive (largest similarity to the class's prototypes), pred and sim.
 
     A model's few prototypes become literals of one expression: no join and
-    no shuffle. Larger sets are broadcast while small, else cross-joined by
-    Spark and combined with a partial maximum a row.
+    no shuffle. Larger sets are broadcast up to BROADCAST_COMPONENTS; beyond
+    it rows meet them in blocks, each class's nearest prototype by top_k().
     """
     x = l2_normalize(F.col(vector)) if normalize else doubles(F.col(vector))
     names = ["s_negative", "s_neutral", "s_positive"]
     size = prototypes.agg(F.coalesce(F.sum(F.size("centroid")), F.lit(0))).first()[0]
     if size > LITERAL_COMPONENTS:
-        small = prototypes.agg(F.collect_list(F.struct("class_id", F.col("centroid").cast("array<float>").alias("c"))).alias("_protos"))
-        if size > 4 << 20:
-            raise ValueError("over 4 million prototype components; use retrieval.top_k for reference sets")
+        if size > BROADCAST_COMPONENTS:
+            return _predicted_in_blocks(df, vector, prototypes, normalize, names)
+        small = prototypes.agg(F.collect_list(F.struct("class_id", F.col("centroid").alias("c"))).alias("_protos"))
         out = df.withColumn("_x", x).crossJoin(F.broadcast(small))  # one row
-        score = lambda c: F.coalesce(F.array_max(F.transform(F.filter("_protos", lambda p: p["class_id"] == c), lambda p: dot(F.col("_x"), doubles(p["c"])))), F.lit(ABSENT))
+        score = lambda c: F.coalesce(F.array_max(F.transform(F.filter("_protos", lambda p: p["class_id"] == c), lambda p: dot(F.col("_x"), p["c"]))), F.lit(ABSENT))
         out = out.withColumns({n: score(c) for c, n in enumerate(names)}).drop("_protos", "_x")
     else:
         rows = prototypes.select("class_id", "centroid").collect()  # LITERAL_COMPONENTS at most

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import spans, text
-from ..plans.config import BrandProfile, PipelineConfig
+from ..functions import answers, prompts, spans, text
+from ..plans.config import BrandProfile, Hook, PipelineConfig
+from . import models
 from .backends import Classifier, classified
 from .merge import merge_actions
 from .rules import sure_drop
@@ -29,17 +30,28 @@ def with_rule_columns(df: DataFrame, profile: BrandProfile, config: PipelineConf
     return out.withColumns({"rule_code": F.col("_rule.rule_code"), "pattern": F.col("_rule.pattern"), "asked": F.col("_rule").isNull()}).drop("_rule")
 
 
-def classify(df: DataFrame, row_id: str, profile: BrandProfile, backend: Classifier, config: PipelineConfig = PipelineConfig(), script: str | None = text.CYRILLIC) -> DataFrame:
+def asked_model(items: DataFrame, row_id: str, txt: str, profile: BrandProfile, model: models.Model, config: PipelineConfig = PipelineConfig(), template: str = prompts.SYSTEM_TEMPLATE) -> DataFrame:
+    """(row_id, answer, pos, latency_s): a language model's keep or drop for items, by the brand's system prompt and batches of numbered lines."""
+    found = models.answers(items, row_id, txt, profile.system_prompt(template), prompts.line_prompt, model, answers.RELEVANCE, "action", config.batch_size, config.workers)
+    return found.where(F.col("answer").isin("keep", "drop"))
+
+
+def classify(df: DataFrame, row_id: str, profile: BrandProfile, backend: Classifier | models.Model, config: PipelineConfig = PipelineConfig(), script: str | None = text.CYRILLIC, template: str = prompts.SYSTEM_TEMPLATE, preprocess: Hook | None = None) -> DataFrame:
     """df with text_rule, rule_code, pattern, asked, action (keep or drop) and is_drop (Yes or No).
 
-    Only rows that no rule drops are preprocessed and reach the backend;
-    rows it doesn't answer for are kept.
+    Only rows that no rule drops are preprocessed (by preprocess, if given)
+    and reach the backend, a classifier or a language model; rows it doesn't
+    answer for are kept.
     """
+    models.require_ready(backend)
     ruled = with_rule_columns(df, profile, config)
-    left = ruled.where("asked").select(row_id, for_model(F.col("text_rule"), profile, config.max_words, config.extra_brand_patterns, script).alias("txt"))
-    answers = classified(left, row_id, "txt", backend, config.batch_size).where(F.col("answer").isin("keep", "drop"))
-    answers = answers.select(F.col("row_id").alias(row_id), F.col("answer").alias("action"), F.struct("batch", "pos").alias("pos"))
-    out = merge_actions(ruled, answers, row_id)
+    txt = preprocess(F.col("text_rule")) if preprocess else for_model(F.col("text_rule"), profile, config.max_words, config.extra_brand_patterns, script)
+    left = ruled.where("asked").select(row_id, txt.alias("txt"))
+    if hasattr(backend, "ask"):
+        found = asked_model(left, row_id, "txt", profile, backend, config, template)
+    else:
+        found = classified(left, row_id, "txt", backend, config.batch_size).where(F.col("answer").isin("keep", "drop")).select(F.col("row_id").alias(row_id), "answer", F.struct("batch", "pos").alias("pos"))
+    out = merge_actions(ruled, found.select(row_id, F.col("answer").alias("action"), "pos"), row_id)
     return out.withColumn("is_drop", F.when(F.col("action") == "drop", "Yes").otherwise("No"))
 
 

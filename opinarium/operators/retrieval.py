@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from ..functions.regexes import ustrip
 from ..functions.text import given
-from ..functions.vectors import l2_normalize
+from ..functions.vectors import doubles, l2_normalize
 from ..session import importable
 
 #: References in a block, and queries that meet it in one task.
@@ -36,11 +36,14 @@ def categories(refs: DataFrame, category: str) -> DataFrame:
     return refs.where(ustrip(given(name)) != "").select(name.alias("category")).distinct().orderBy("category")
 
 
-def top_k(queries: DataFrame, index: DataFrame, query_id: str, vector: str, k: int = 5) -> DataFrame:
-    """query_id, ref_id, sim and rank (from 1) of the k nearest references; ties go to the smaller ref_id."""
+def top_k(queries: DataFrame, index: DataFrame, query_id: str, vector: str, k: int = 5, normalize: bool = True) -> DataFrame:
+    """query_id, ref_id, sim and rank (from 1) of the k nearest references; ties go to the smaller ref_id.
+
+    Exact, so every query meets every reference: the work is the product of their numbers.
+    """
     importable(queries.sparkSession)
     k = max(1, int(k))
-    asked = queries.where(F.col(vector).isNotNull()).select(F.col(query_id).alias("query_id"), l2_normalize(F.col(vector)).alias("vector"))
+    asked = queries.where(F.col(vector).isNotNull()).select(F.col(query_id).alias("query_id"), (l2_normalize if normalize else doubles)(F.col(vector)).alias("vector"))
     n_refs, n_queries = index.count(), asked.count()
     blocks, parts = max(1, -(-n_refs // BLOCK)), max(1, -(-n_queries // QUERIES))
     parts = max(parts, min(8, max(1, n_queries // 256)) if blocks == 1 else 1)

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from dataclasses import replace
+from types import SimpleNamespace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import answers, labels, prompts, spans, text, vectors
-from ..operators import batching, categories, merge, metrics, prototypes, relevance, retrieval, rules
-from ..operators.backends import AliasMatch, FirstToken, HashingEmbedder, embedded
-from ..sources.readers import scan
-from ..sources.writers import details, preview
+from ..operators import batching, categories, merge, metrics, models, prototypes, relevance, retrieval, rules, sentiment
+from ..operators.backends import AliasMatch, ApiEmbedder, FirstToken, HashingEmbedder, embedded
+from ..session import shared_dir
+from ..sources.readers import read_table, scan
+from ..sources.writers import details, preview, write_csv
 from . import fixtures as fx
 from .config import PipelineConfig, SentimentConfig
 
@@ -137,14 +141,14 @@ def clean_basic(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", text.basic_clean(F.col("text"), entities=False).alias("cleaned"))
 
 
-_ENTITIES = "replace(replace(replace(replace(url || ' ' || html, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;', '&')"
+# The references that the pages hold, whole and broken; &amp; last, as one pass decodes them.
+_ENTITIES = "regexp_replace(replace(replace(replace(h, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;?', '&', 'g')"
 
 
-@query(f"with t as (select page_id, url || ' ' || html as h from pages where not regexp_matches(html, '&(amp?)?($|[^;a-z])')), u as (select page_id, {_ENTITIES.replace('url || ' + chr(39) + ' ' + chr(39) + ' || html', 'h')} as x from t) select page_id, {sql_clean('x')} as cleaned from u")
+@query(f"with t as (select page_id, coalesce(url, '') || ' ' || coalesce(html, '') as h from pages), u as (select page_id, {_ENTITIES} as x from t) select page_id, {sql_clean('x')} as cleaned from u")
 def clean_markup(spark, sf_dir):
-    # Pages with a broken reference are left to the unit tests: SQL has no decoder.
-    pages = table(spark, sf_dir, "pages").where("not html rlike '&(amp?)?($|[^;a-z])'")
-    return pages.select("page_id", text.basic_clean(F.concat_ws(" ", "url", "html")).alias("cleaned"))
+    both = F.concat(F.coalesce("url", F.lit("")), F.lit(" "), F.coalesce("html", F.lit("")))
+    return scan(spark, f"{sf_dir}/pages.parquet", "page_id", "url", "html").select("page_id", text.basic_clean(both).alias("cleaned"))
 
 
 @query(f"select doc_id, {sql_noise('text', fx.LATIN_BRAND, _NOISE)} as kept from documents")
@@ -240,6 +244,54 @@ def relevance_job(spark, sf_dir):
     return _job(spark, sf_dir).select("doc_id", "action", "asked")
 
 
+@query(ORACLES["relevance_job"])
+def relevance_model(spark, sf_dir):
+    """The same job through a language model: system prompt, prompts of numbered lines, JSON answers."""
+    out = relevance.classify(cyrillic(spark, sf_dir), "doc_id", fx.PROFILE, models.PatternModel(fx.KEPT_WORDS), PipelineConfig(max_words=60))
+    return out.select("doc_id", "action", "asked")
+
+
+def sql_for_model(source: str, most: int) -> str:
+    """CTEs up to txt (doc_id, t, pre, txt): what preprocessing leaves of source (doc_id, t) for the brand, and what a model gets."""
+    return f"""p0 as ({source}),
+l0 as (select doc_id, t, string_split({sql_lettered(sql_noise(sql_clean('t'), _LITERAL, _NOISE_ALL))}, '') as cs from p0),
+r0 as (select doc_id, t, array_to_string(list_filter(cs, lambda c, i: not coalesce(i > 3 and c <> {NL} and c = cs[i - 1] and c = cs[i - 2] and c = cs[i - 3], false)), '') as x from l0),
+m0 as (select *, x <> '' and regexp_matches(x, '[А-Яа-яЁё]') and {sql_meaningful('x', _LITERAL, _NOISE_ALL, _CYR_STOP)} as good from r0),
+s0 as (select doc_id, regexp_replace(lower(x), '{_LITERAL}', '\\1⁂\\2\\3', 'g') as t from m0 where good),
+spans as (with {sql_span('s0', ['⁂'], _LITERAL, most, _CYR_STOP, 2).strip()}),
+txt as (select m0.doc_id, m0.t, m0.x, nullif(replace(spans.span, '⁂', ''), '') as pre, coalesce(nullif(replace(spans.span, '⁂', ''), ''), m0.t) as txt from m0 left join spans using (doc_id))"""
+
+
+@query(f"with {sql_for_model(_PREPARED, 250)} select doc_id, txt as text from txt")
+def category_texts(spark, sf_dir):
+    """Stripped, cut, then preprocessed or as it was."""
+    return cyrillic(spark, sf_dir).select("doc_id", relevance.for_model(text.prepare_comment(F.col("Текст")), fx.PROFILE).alias("text"))
+
+
+@query(f"with {sql_for_model(f'select doc_id, {CYR} as t from documents', 250)} select doc_id, substr({sql_strip('txt')}, 1, 800) as text from txt")
+def sentiment_prepared(spark, sf_dir):
+    """Preprocessed from the whole text, only then stripped and cut."""
+    return cyrillic(spark, sf_dir).select("doc_id", sentiment.prepared(F.col("Текст"), fx.PROFILE, SentimentConfig()).alias("text"))
+
+
+@query(f"""
+with {sql_for_model(f'select doc_id, {CYR} as t from documents', 250)}
+select coalesce(pre, lower({sql_clean('txt.t')})) as text, quality + toxic as y from txt join labels using (doc_id)
+where {sql_strip('txt.t')} <> '' and quality + toxic in (0, 1, 2) and coalesce(pre, lower({sql_clean('txt.t')})) <> ''""")
+def training_rows(spark, sf_dir):
+    """Rows with a label and a text; where preprocessing leaves nothing, the cleaned text."""
+    from .train import training_rows as rows
+
+    labelled = cyrillic(spark, sf_dir).join(table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") + F.col("toxic")).alias("y")), "doc_id")
+    return rows(labelled, "Текст", "y", SentimentConfig(), fx.PROFILE).select("text", "y")
+
+
+@query("select doc_id, case when n_chars <= 40 then 0 else greatest(least(doc_id % n_chars - 20, n_chars - 40), 0) end as first, case when n_chars <= 40 then n_chars else greatest(least(doc_id % n_chars - 20, n_chars - 40), 0) + 40 end as past from documents")
+def fixed_window(spark, sf_dir):
+    window = spans.fixed_window(F.col("doc_id") % F.col("n_chars"), F.col("n_chars"), 40)
+    return table(spark, sf_dir, "documents").select("doc_id", window["start"].cast("long").alias("first"), window["end"].cast("long").alias("past"))
+
+
 @query("select count(*) as rows, count_if(action = 'drop')::bigint as drops, count_if(action <> 'drop')::bigint as keeps from (" + ORACLES["relevance_job"] + ")")
 def relevance_summary(spark, sf_dir):
     return metrics.drop_counts(_job(spark, sf_dir))
@@ -289,7 +341,7 @@ def merge_llm_actions(spark, sf_dir):
 def json_extract(spark, sf_dir):
     told = F.concat(F.lit("Вот ответ:\n"), F.when(F.col("event_id") % 10 == 3, F.lit("{bad")).otherwise(F.concat(F.lit("{\"results\": [{\"global_idx\": "), F.get_json_object("props", "$.k"), F.lit(", \"category\": \"x\"}]}"))), F.lit("\nконец"))
     rows = answers.results(told, answers.CATEGORY)
-    return table(spark, sf_dir, "events").select("event_id", F.get(rows, 0)["global_idx"].alias("k"), rows.isNotNull().alias("valid"))
+    return table(spark, sf_dir, "events").select("event_id", F.get(rows, 0)["global_idx"].cast("int").alias("k"), rows.isNotNull().alias("valid"))
 
 
 # --- labels and categories ---
@@ -405,13 +457,13 @@ def kmeans_prototypes(spark, sf_dir):
     return found.select("proto_id", "class_id", F.size("centroid").alias("width"), F.round(vectors.norm(F.col("centroid")), 6).alias("size"))
 
 
-_KNN = f"{_CLASSES}, pairs as (select q.vec_id as query_id, r.vec_id as ref_id, list_sum(list_transform(range(1, len(q.x) + 1), lambda i: q.x[i] * r.x[i])) as sim from u q join u r on q.vec_id % 10 = 0 and r.vec_id % 10 <> 0), ranked as (select *, row_number() over (partition by query_id order by sim desc, ref_id) as rank from pairs)"
+_KNN = f"{_CLASSES}, pairs as (select q.vec_id as query_id, r.vec_id as ref_id, list_sum(list_transform(range(1, len(q.x) + 1), lambda i: q.x[i] * r.x[i])) as sim from u q join u r on q.vec_id % 50 = 0), ranked as (select *, row_number() over (partition by query_id order by sim desc, ref_id) as rank from pairs)"
 
 
 def _index(spark, sf_dir):
-    """The references (those whose id 10 doesn't divide) and the queries (the others)."""
+    """The queries (the rows whose id 50 divides), and all rows as references."""
     v = _vectors(spark, sf_dir).withColumn("text", F.concat(F.lit("ref "), "vec_id")).withColumn("category", F.concat(F.lit("cat"), "label"))
-    return v.where("vec_id % 10 = 0"), retrieval.build_index(v.where("vec_id % 10 <> 0"), "vec_id", "text", "category", "embedding")
+    return v.where("vec_id % 50 = 0"), retrieval.build_index(v, "vec_id", "text", "category", "embedding")
 
 
 @query(f"with {_KNN} select query_id, ref_id, round(sim, 6) as sim, rank from ranked where rank <= 5")
@@ -420,16 +472,41 @@ def knn_topk(spark, sf_dir):
     return retrieval.top_k(asked, index, "vec_id", "embedding", 5).withColumns({"sim": F.round("sim", 6), "rank": F.col("rank").cast("long")})
 
 
-@query(f"""
-with {_KNN},
-near as (select query_id, string_agg('[пример ' || rank || '] Категория: cat' || r.label || ' | Текст: ref ' || ref_id, {NL} order by rank) as told from ranked join embeddings r on r.vec_id = ref_id where rank <= 3 group by 1),
-d as (select doc_id, trim(replace(text, {NL}, ' ')) as t from documents where doc_id in (select query_id from near))
-select doc_id, '[ITEM ' || doc_id || ']' || {NL} || 'Текст:' || {NL} || '\"\"\"' || case when length(t) > 700 then substr(t, 1, 700) || '...' else t end || '\"\"\"' || {NL} || '{prompts.EXAMPLES_HEAD.strip()}' || {NL} || told || {NL} as block
-from d join near on query_id = doc_id""")
-def category_prompt(spark, sf_dir):
+_NEAR = f"""{_KNN},
+near as (select query_id, string_agg('[пример ' || rank || '] Категория: cat' || r.label || ' | Текст: ref ' || ref_id, {NL} order by rank) as told, arg_min('cat' || r.label, rank) as category from ranked join embeddings r on r.vec_id = ref_id where rank <= 3 group by 1),
+d as (select doc_id, trim(replace(text, {NL}, ' ')) as t from documents),
+blocks as (select doc_id, category, '[ITEM ' || doc_id || ']' || {NL} || 'Текст:' || {NL} || '\"\"\"' || case when length(t) > 700 then substr(t, 1, 700) || '...' else t end || '\"\"\"' || {NL} || '{prompts.EXAMPLES_HEAD.strip()}' || {NL} || coalesce(told, '{prompts.NO_EXAMPLES}') || {NL} as block
+  from d left join near on query_id = doc_id)"""
+WISH, TAGS = "Раздели обращения по темам", ["cat0", "cat1", "cat2", "cat3", "cat4", "Category five", "cat6"]
+
+
+def _items(spark, sf_dir):
+    """All documents; those whose id is a query's have neighbours."""
     asked, index = _index(spark, sf_dir)
     near = retrieval.neighbours(asked, index, "vec_id", "embedding", 3).withColumnRenamed("query_id", "doc_id")
-    return documents(spark, sf_dir).join(near, "doc_id").select("doc_id", prompts.category_item(F.col("doc_id"), F.col("text"), F.col("neighbours")).alias("block"))
+    return documents(spark, sf_dir).join(near, "doc_id", "left")
+
+
+@query(f"with {_NEAR} select doc_id, block from blocks")
+def category_prompt(spark, sf_dir):
+    return _items(spark, sf_dir).select("doc_id", prompts.category_item(F.col("doc_id"), F.col("text"), F.col("neighbours")).alias("block"))
+
+
+@query(f"""
+with {_NEAR},
+b as (select doc_id, block, floor((row_number() over (order by doc_id) - 1) / 10)::bigint as batch_id from blocks)
+select batch_id, '{WISH}' || {NL} || {NL} || '{prompts.ALLOWED_HEAD}' || array_to_string(list_transform({_list(TAGS)}, lambda c: '- ' || c), {NL}) || {NL} || {NL} || '{prompts.CATEGORY_RULES.replace("'", "''")}' || string_agg(block, {NL} order by doc_id) as prompt
+from b group by batch_id""")
+def category_batch_prompt(spark, sf_dir):
+    items = _items(spark, sf_dir).withColumn("block", prompts.category_item(F.col("doc_id"), F.col("text"), F.col("neighbours")))
+    return models.batches(items, "doc_id", "block", 10).select("batch_id", F.concat(prompts.category_prompt(WISH, F.transform("items", lambda x: x["txt"]), TAGS), F.lit("\n")).alias("prompt"))
+
+
+@query(f"with {_NEAR} select doc_id, case when category is null then 'cat0' when category in {tuple(TAGS)} then category when category in ('cat5', 'cat7', 'cat8', 'cat9') then 'cat0' end as category from blocks")
+def category_model(spark, sf_dir):
+    """The whole way through a language model: prompts of batches, JSON answers, allowed categories."""
+    told = categories.asked_model(_items(spark, sf_dir), "doc_id", "text", WISH, models.FirstExample(), TAGS, "neighbours")
+    return categories.mapped(told, "doc_id", TAGS).select("doc_id", F.col("answer").alias("category"))
 
 
 @query(f"""
@@ -449,17 +526,54 @@ def hashing_embedding(spark, sf_dir):
     return embedded(documents(spark, sf_dir), "doc_id", "text", HashingEmbedder(16)).select(F.col("row_id").alias("doc_id"), F.posexplode("vector").alias("pos", "v")).withColumn("v", F.col("v").cast("double"))
 
 
-@query()
+# Prototypes of 16 hashed token counts: one each for the first two classes, two for the last.
+PROTOS = [(0, 0, [1.0, 2.0, 0.5, 1.0] * 4), (1, 1, [2.0, 1.0, 1.0, 0.5] * 4), (2, 2, [1.0, 1.0, 2.0, 1.0] * 4), (3, 2, [0.5, 1.0, 1.0, 2.0] * 4)]
+LIMITS = {0: 0.9, 1: 0.85, 2: 0.88}
+_LABELS = _list(list(labels.SENTIMENTS))
+_SENTIMENT = f"""
+p as (select doc_id, substr({sql_strip('text')}, 1, 800) as text from documents),
+h as (select doc_id, text, {_HASHED} as v from p),
+u as (select doc_id, text, list_transform(v, lambda x: x / (sqrt(list_sum(list_transform(v, lambda y: y * y))) + 1e-12)) as x from h),
+s as (select doc_id, text, {', '.join(f"list_sum(list_transform(range(1, 17), lambda i: x[i] * {[v / sum(c * c for c in vector) ** 0.5 for v in vector]}[i])) as p{k}" for k, _, vector in PROTOS)} from u),
+c as (select doc_id, text, p0 as s0, p1 as s1, greatest(p2, p3) as s2 from s),
+d as (select *, case when s0 >= s1 and s0 >= s2 then 0 when s1 >= s2 then 1 else 2 end as pred, greatest(s0, s1, s2) as sim from c),
+told as (select *, sim >= {list(LIMITS.values())}[pred + 1] as passed, {_LABELS}[('0x' || substr(md5(coalesce(regexp_extract_all(lower(text), {TOK})[1], '')), 1, 8))::bigint % 3 + 1] as other from d)"""
+
+
+def _sentiments(spark, sf_dir, f, **more):
+    protos = spark.createDataFrame(PROTOS, "proto_id int, class_id int, centroid array<double>").withColumn("centroid", vectors.l2_normalize(F.col("centroid")))
+    docs = documents(spark, sf_dir)
+    return f(docs, protos, HashingEmbedder(16), SentimentConfig(thresholds=LIMITS), **more)
+
+
+@query(f"with {_SENTIMENT} select doc_id, case when passed then {_LABELS}[pred + 1] else other end as pred_label, case when passed then 'prototype' else 'llm' end as pred_source, round(sim, 4) as sim_pred, round(s0, 4) as s_negative, round(s1, 4) as s_neutral, round(s2, 4) as s_positive from told")
 def sentiment_texts(spark, sf_dir):
-    from ..operators.sentiment import predict_texts
+    """Nearest prototypes; a labeller answers for what lies below its threshold."""
+    run = lambda docs, protos, embedder, config: sentiment.predict_texts(docs, "doc_id", "text", protos, embedder, fx.PROFILE, config, FirstToken(list(labels.SENTIMENTS)), preprocess=lambda c: c)
+    return _sentiments(spark, sf_dir, run).select("doc_id", "pred_label", "pred_source", *(F.round(c, 4).alias(c) for c in ("sim_pred", *sentiment.SCORES)))
+
 
-    docs = cyrillic(spark, sf_dir)
-    labelled = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") + F.col("toxic")).alias("y"))
-    embedder = HashingEmbedder(32)
-    given = embedded(docs, "doc_id", "Текст", embedder).withColumnRenamed("row_id", "doc_id").join(labelled, "doc_id")
-    protos = prototypes.fit(given, "vector", "y", SentimentConfig(k_per_class=1))
-    out = predict_texts(docs, "doc_id", "Текст", protos, embedder, fx.PROFILE, SentimentConfig(k_per_class=1), FirstToken(list(labels.SENTIMENTS)))
-    return out.select("doc_id", "pred_label", "pred_source", F.round("sim_pred", 4).alias("sim_pred"))
+@query(f"with {_SENTIMENT} select doc_id, case when doc_id % 3 > 0 then {_LABELS}[pred + 1] end as sentiment, case when doc_id % 3 = 0 then 'skip_drop' when passed then 'prototype' else 'llm' end as sentiment_source from told")
+def sentiment_on_kept(spark, sf_dir):
+    """Only rows that aren't dropped have a sentiment."""
+    marked = lambda docs: docs.withColumn("is_drop", F.when(F.col("doc_id") % 3 == 0, "Yes").otherwise("No"))
+    run = lambda docs, protos, embedder, config: sentiment.on_kept_rows(marked(docs), "doc_id", protos, embedder, fx.PROFILE, PipelineConfig(text="text"), replace(config, enable_fallback=False), preprocess=lambda c: c)
+    return _sentiments(spark, sf_dir, run).select("doc_id", "sentiment", "sentiment_source")
+
+
+class _Shuffled:
+    """An API client whose answers come in another order than the texts."""
+
+    class embeddings:  # noqa: N801
+        @staticmethod
+        def create(model, input):  # noqa: A002
+            return SimpleNamespace(data=[SimpleNamespace(index=i, embedding=[float(len(t)), float(i)]) for i, t in reversed(list(enumerate(input)))])
+
+
+@query("select doc_id, length(text)::double as n from documents")
+def api_embedding(spark, sf_dir):
+    found = embedded(documents(spark, sf_dir), "doc_id", "text", ApiEmbedder(_Shuffled, "lengths"))
+    return found.select(F.col("row_id").alias("doc_id"), F.get("vector", 0).cast("double").alias("n"))
 
 
 # --- output ---
@@ -487,3 +601,26 @@ def counts_by_month_and_source(spark, sf_dir):
     label = F.when(F.col("value") > 20, "positive").when(F.col("value") < 5, "negative").otherwise("neutral")
     rows = table(spark, sf_dir, "events").select("event_type", "ts", label.alias("sentiment"), F.when(F.col("user_id") % 2 == 0, "Yes").otherwise("No").alias("is_drop"))
     return metrics.by_group(rows, F.trunc("ts", "month").alias("month"), F.col("event_type").alias("source"))
+
+
+# --- files ---
+
+
+@query("select doc_id::varchar as doc_id, text, md5(text) as md5 from documents where text <> ''")
+def csv_round_trip(spark, sf_dir):
+    """Written as CSV and read again: separator sniffed, line ends and quotes within fields."""
+    path = f"{shared_dir(spark)}/csv/{uuid.uuid4().hex}.csv"
+    write_csv(documents(spark, sf_dir).where("text <> ''"), path)
+    return read_table(spark, path, "doc_id", "text").withColumn("md5", F.md5("text"))
+
+
+@query(ORACLES["class_centroids_k1"])
+def artifact_round_trip(spark, sf_dir):
+    """Prototypes saved and loaded again with their settings."""
+    path = f"{shared_dir(spark)}/models/{uuid.uuid4().hex}"
+    config = SentimentConfig(k_per_class=1)
+    prototypes.save(_fitted(spark, sf_dir), config, path, rows_used=table(spark, sf_dir, "embeddings").where("label < 3").count())
+    found, again, _ = prototypes.load(spark, path)
+    if again != replace(config, enable_fallback=False):
+        raise ValueError(f"the settings came back as {again}")
+    return found.select("class_id", F.posexplode("centroid").alias("pos", "v")).withColumn("v", F.round("v", 6))

@@ -6,7 +6,7 @@ import os
 from collections.abc import Callable
 from dataclasses import dataclass, field, fields
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
 from ..functions import words
 from ..functions.prompts import SYSTEM_TEMPLATE, system_prompt
@@ -80,6 +80,10 @@ def load_brands(path: str) -> dict[str, BrandProfile]:
     return {k: BrandProfile.of(v, v.get("brand_name") or k) for k, v in sorted(data.items()) if isinstance(v, dict)}
 
 
+#: A function of a text column that takes the place of the standard preprocessing.
+Hook = Callable[[Column], Column]
+
+
 def _within(name: str, value, low, high) -> None:
     if not low <= value <= high:
         raise ValueError(f"{name} must be from {low} to {high}, not {value}")
@@ -143,6 +147,3 @@ def require_columns(df: DataFrame, *names: str) -> None:
     if missing := [n for n in names if n not in df.columns]:
         raise ValueError(f"columns {missing} are missing; there are {df.columns}")
 
-
-#: Column hooks that take the place of the standard preprocessing.
-Hook = Callable

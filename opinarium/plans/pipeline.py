@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators import categories, metrics, relevance, sentiment
 from ..operators.backends import Classifier, Embedder, KeepAll
 from ..operators.batching import with_row_id
+from ..operators.models import Model
 from .config import BrandProfile, CategoryConfig, PipelineConfig, SentimentConfig, require_columns
 
 
-def comment_job(df: DataFrame, profile: BrandProfile, backend: Classifier | None = None, prototypes: DataFrame | None = None, embedder: Embedder | None = None, config: PipelineConfig = PipelineConfig(), sentiments: SentimentConfig = SentimentConfig(enable_fallback=False), row_id: str | None = None) -> DataFrame:
+def comment_job(df: DataFrame, profile: BrandProfile, backend: Classifier | Model | None = None, prototypes: DataFrame | None = None, embedder: Embedder | None = None, config: PipelineConfig = PipelineConfig(), sentiments: SentimentConfig = SentimentConfig(enable_fallback=False), row_id: str | None = None) -> DataFrame:
     """df with is_drop and, where there are prototypes, sentiment and sentiment_source.
 
     Without a key column (row_id) rows are numbered in the order they are read.
@@ -36,20 +37,21 @@ def comment_stats(df: DataFrame, seconds: float | None = None, began: float | No
     return out | ({"total_s": seconds, "comments_per_s": out["rows"] / max(seconds, 1e-9)} if seconds is not None else {})
 
 
-def one_comment(spark: SparkSession, comment: str, profile: BrandProfile, backend: Classifier | None = None, prototypes: DataFrame | None = None, embedder: Embedder | None = None, config: PipelineConfig = PipelineConfig()) -> dict:
+def one_comment(spark: SparkSession, comment: str, profile: BrandProfile, backend: Classifier | Model | None = None, prototypes: DataFrame | None = None, embedder: Embedder | None = None, config: PipelineConfig = PipelineConfig()) -> dict:
     """Relevance and, where there are prototypes, sentiment of one comment."""
     out = {"relevance": relevance.classify_one(spark, comment, profile, backend or KeepAll(), config), "sentiment": None}
     if prototypes is not None and config.enable_sentiment and (out["relevance"]["action"] == "keep" or not config.sentiment_only_kept):
-        df = spark.createDataFrame([(0, comment)], "row_id long, comment string")
-        told = sentiment.scored_struct(sentiment.predict_texts(df, "row_id", "comment", prototypes, embedder, profile, SentimentConfig(enable_fallback=False)))
-        out["sentiment"] = told.first()["sentiment"].asDict(recursive=True)
+        out["sentiment"] = sentiment.predict_one(spark, comment, prototypes, embedder, profile)
     return out
 
 
-def category_job(df: DataFrame, user_prompt: str, profile: BrandProfile, backend: Classifier | None = None, refs: DataFrame | None = None, embedder: Embedder | None = None, config: CategoryConfig = CategoryConfig(), row_id: str | None = None) -> DataFrame:
-    """df with a category and its source; refs: labelled comments to take examples from."""
+def category_job(df: DataFrame, user_prompt: str, profile: BrandProfile, backend: Classifier | Model | None = None, refs: DataFrame | None = None, embedder: Embedder | None = None, config: CategoryConfig = CategoryConfig(), row_id: str | None = None, cache: str | None = None) -> DataFrame:
+    """df with a category and its source; refs: labelled comments to take examples from; cache: a folder that keeps their index."""
     key = row_id or "_row_id"
     rows = df if row_id else with_row_id(df, key)
-    index = categories.index_texts(with_row_id(refs, "_ref_id"), "_ref_id", profile, embedder, config) if refs is not None else None
+    index = None
+    if refs is not None:
+        numbered = with_row_id(refs, "_ref_id")
+        index = categories.cached_index(numbered, "_ref_id", profile, embedder, config, cache) if cache else categories.index_texts(numbered, "_ref_id", profile, embedder, config)
     out = categories.tag(rows, key, user_prompt, profile, backend, index, embedder, config)
     return out if row_id else out.drop(key)

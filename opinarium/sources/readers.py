@@ -59,10 +59,13 @@ def separator(sample: str, fallback: bool = True) -> str:
     return ";" if ";" in first else ","
 
 
-def read_csv(spark: SparkSession, path: str, sep: str | None = None, fallback: bool = True) -> DataFrame:
-    """All columns as text; quoted fields may hold line ends and doubled quotes; a byte-order mark is dropped."""
+def read_csv(spark: SparkSession, path: str, sep: str | None = None, fallback: bool = True, multi_line: bool = True) -> DataFrame:
+    """All columns as text; quoted fields may hold doubled quotes and, unless multi_line is off, line ends; a byte-order mark is dropped.
+
+    With line ends in fields a file is one task. Where large files have none, multi_line=False splits them.
+    """
     sep = sep or separator(_head(spark, path), fallback)
-    return spark.read.csv(path, header=True, sep=sep, quote='"', escape='"', multiLine=True, encoding="utf-8")
+    return spark.read.csv(path, header=True, sep=sep, quote='"', escape='"', multiLine=multi_line, encoding="utf-8")
 
 
 def read_excel(spark: SparkSession, path: str) -> DataFrame:
@@ -72,7 +75,7 @@ def read_excel(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(pd.read_excel(path, engine="openpyxl").astype(object).where(lambda d: d.notna(), None))
 
 
-def read_table(spark: SparkSession, path: str, *required: str, fallback: bool = True) -> DataFrame:
+def read_table(spark: SparkSession, path: str, *required: str, fallback: bool = True, multi_line: bool = True) -> DataFrame:
     """A table by its extension, with its required columns checked."""
     name = path.lower().rstrip("/")
     if name.endswith((".xlsx", ".xls")):
@@ -82,6 +85,6 @@ def read_table(spark: SparkSession, path: str, *required: str, fallback: bool =
     elif name.endswith((".json", ".jsonl", ".ndjson")):
         out = spark.read.json(path)
     else:
-        out = read_csv(spark, path, fallback=fallback)
+        out = read_csv(spark, path, fallback=fallback, multi_line=multi_line)
     require_columns(out, *required)
     return out
