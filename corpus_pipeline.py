@@ -29,7 +29,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that repeat go from the texts."""
+    """Passages of 50 words or more that repeat, in one text or several, go from the texts, all their copies."""
     return _counted(repeats.clean(docs))
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
@@ -15,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..session import written  # noqa: F401
 from ..sources.readers import scan
 
 ROOT = str(Path(__file__).resolve().parents[2])
@@ -25,31 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return scan(spark, f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (tests), one of our own."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if where:
-        return where
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="opinarium-"))
-    return jsc.getCheckpointDir().get()
-
-
-def written(df: DataFrame, name: str, level: int = 3) -> DataFrame:
-    """The rows, as a Parquet table in the shared folder: later reads survive lost executors.
-
-    The folder is removed when the application ends. level: of zstd.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).parquet(path)
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def remove(*tables: DataFrame) -> None:
     """Deletes the files of tables that written() made, once no plan reads them any more."""
     for df in tables:
@@ -91,18 +65,16 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
 # --- numpy hashing over the bytes of many texts at once ---
 
 MULTIPLIER = 0x9E3779B97F4A7C15 | 1
-INVERSE = pow(MULTIPLIER, -1, 1 << 64)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of MULTIPLIER modulo 2**64, and of its inverse."""
-    if len(_powers[0]) < n:
+def powers(n: int, factor: int = MULTIPLIER) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd factor modulo 2**64, and of its inverse."""
+    if factor not in _powers or len(_powers[factor][0]) < n:
         size = 1 << (n - 1).bit_length()
-        for k, base in enumerate((MULTIPLIER, INVERSE)):
-            with np.errstate(over="ignore"):
-                _powers[k] = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size - 1, base, np.uint64), dtype=np.uint64)])
-    return _powers[0][:n], _powers[1][:n]
+        with np.errstate(over="ignore"):
+            _powers[factor] = tuple(np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size - 1, x, np.uint64), dtype=np.uint64)]) for x in (factor, pow(factor, -1, 1 << 64)))
+    return _powers[factor][0][:n], _powers[factor][1][:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -117,18 +89,22 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
-def word_hashes(data: bytes) -> np.ndarray:
-    """A uint64 for each word of UTF-8 bytes; words end at ASCII white space."""
+def words_of(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A uint64 for each word of UTF-8 bytes, and where it starts; words end at ASCII white space."""
     raw = np.frombuffer(data, np.uint8)
     if not len(raw):
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     blank = _SPACE[raw]
     edge = np.flatnonzero(np.diff(np.concatenate([[True], blank, [True]]).astype(np.int8)))
     start, end = edge[::2], edge[1::2]
     up, down = powers(len(raw) + 1)
     with np.errstate(over="ignore"):
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], dtype=np.uint64)])
-        return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), start
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    return words_of(data)[0]
 
 
 def shingle_hashes(data: bytes, width: int = 5) -> np.ndarray:

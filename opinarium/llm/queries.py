@@ -90,6 +90,25 @@ select page_id, host, path,
 from p""",
     "op6_minhash": r"""
 with recursive t as (
+    "op4_suffix_arrays": r"""
+with t as materialized (
+  select doc_id, coalesce(text, '') as x, row_number() over () as r, hex(encode(coalesce(text, ''))) as h, octet_length(encode(coalesce(text, '')))::bigint as n from documents),
+w as (select r, unnest(range(0, n - 399)) as s, h from t where n >= 400),
+k as (select r, s, md5_number(substr(h, 2 * s + 1, 800)) as k from w),
+hit as (select r, s from (select r, s, count(*) over (partition by k) as c from k) where c > 1),
+run as (select r, s, s > lag(s, 1, -401) over (partition by r order by s) + 400 as fresh from hit),
+span as (select r, min(s) as a, max(s) + 400 as b from (select r, s, sum(fresh::int) over (partition by r order by s) as g from run) group by r, g),
+gaps as (select r, b as a, lead(a, 1, null) over (partition by r order by a) as b from span union all select r, 0, min(a) from span group by r),
+kept as (select t.r, string_agg(substr(h, 2 * gaps.a + 1, 2 * (coalesce(gaps.b, n) - gaps.a)), '' order by gaps.a) as h from gaps join t using (r) group by t.r),
+gone as (select r, sum(b - a)::bigint as n_removed, count(*) as n_spans from span group by r),
+ws as (select r, list_filter(regexp_split_to_array(x, '[ \t\n\x0b\f\r]+'), lambda w: w <> '') as w from t),
+wk as (select r, unnest(range(1, len(w) - 48)) as s, w from ws where len(w) >= 50),
+wh as (select r, s, count(*) over (partition by md5_number(array_to_string(w[s:s + 49], ' '))) as c from wk),
+wc as (select r, least(50, s - lag(s, 1, -50) over (partition by r order by s)) as more from wh where c > 1),
+wn as (select r, sum(more)::bigint as n from wc group by r)
+select doc_id, t.n as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans,
+  sha256(unhex(coalesce(kept.h, t.h))) as kept_sha256, coalesce(wn.n, 0)::bigint as n_repeated_words
+from t left join gone using (r) left join kept using (r) left join wn using (r)""",
   select text, min(doc_id) as node,
          list_filter(regexp_split_to_array(text, '[ \t\n\x0b\f\r]+'), lambda x: x <> '') as w
   from (select doc_id, coalesce(text, '') as text from documents) group by text),

@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -198,15 +199,46 @@ def test_repeats(spark, most):
     texts = ["".join(rng.choice(shared) if rng.random() < 0.5 else word() for _ in range(rng.randint(0, 9))) for _ in range(60)]
     texts += [texts[0], texts[1], "ab" * 300, "q" * 500, "q" * 99, "", None]
     df = spark.createDataFrame(list(enumerate(texts)), DOCS).withColumns({"key": F.lit(1), "anchor": F.lit(2)})
-    got = by_id(repeats.digest(df, window=100, most=most), "n_bytes", "n_removed", "n_spans", "kept_sha256")
-    assert got == dict(enumerate(brute([(t or "").encode() for t in texts], 100)))
+    units = (replace(repeats.BYTES, window=100), replace(repeats.WORDS, window=9, seed=2))
+    got = by_id(repeats.digest(df, units=units, most=most), "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_repeated_words")
+    words = [[w for w in re.split(r"[ \t\n\x0b\f\r]+", t or "") if w] for t in texts]
+    assert got == {i: (*x, n) for i, (x, n) in enumerate(zip(brute([(t or "").encode() for t in texts], 100), repeated_words(words, 9), strict=True))}
+
+
+def repeated_words(lists, window):
+    count = Counter(tuple(w[i : i + window]) for w in lists for i in range(len(w) - window + 1))
+    return [len({i + k for i in range(len(w) - window + 1) if count[tuple(w[i : i + window])] > 1 for k in range(window)}) for w in lists]
+
+
+def test_long_repeats(spark):
+    """Passages of 400 to 2000 bytes, whole or cut, at the full window."""
+    rng = random.Random(21)
+    text = lambda n: "".join(rng.choice("abcdefgh \n") for _ in range(n))
+    shared = [text(rng.randint(400, 2000)) for _ in range(12)]
+    cut = lambda p: p[rng.randint(0, 150) : len(p) - rng.randint(0, 150)]
+    texts = [text(rng.randint(0, 300)).join(rng.choice([cut, str])(rng.choice(shared)) for _ in range(rng.randint(1, 3))) + text(rng.randint(0, 500)) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    for most in (256, 2):
+        assert by_id(repeats.digest(df, most=most), "n_bytes", "n_removed", "n_spans", "kept_sha256") == dict(enumerate(brute([t.encode() for t in texts], 400)))
+
+
+def test_clean_takes_passages_of_fifty_words_out(spark):
+    """Passages of 50 words go from all texts that hold them; those of 49, and texts of their own, stay."""
+    rng = random.Random(22)
+    words = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(1, 4))) for _ in range(n))
+    long, short = words(50), words(49)
+    own = [words(rng.randint(5, 200)) for _ in range(8)]
+    texts = [f"{own[0]}\n{long}\n{own[1]}", f"{long} {own[2]}", f"{own[3]} {long}", f"{own[4]} {short} {own[5]}", f"{own[6]} {short}", own[7], None, ""]
+    cleaned = [r["text"] for r in repeats.clean(spark.createDataFrame(list(enumerate(texts)), DOCS)).orderBy("doc_id").collect()]
+    assert cleaned == [f"{own[0]}\n{own[1]}", own[2], f"{own[3]} ", *texts[3:]]
 
 
 def test_suffix_arrays():
     rng = random.Random(8)
-    for _ in range(60):
-        raw = np.array([rng.randint(97, 97 + rng.choice([0, 1, 2, 25])) for _ in range(rng.randint(1, 300))], np.uint8)
-        order, b = repeats.suffix_array(raw, 512), raw.tobytes()
+    for round_ in range(120):
+        low = rng.choice([0, 97])
+        raw = np.array([rng.randint(low, low + rng.choice([0, 1, 2, 25])) for _ in range(rng.randint(1, 300))], np.uint8 if round_ % 2 else np.uint64)
+        order, b = repeats.suffix_array(raw), tuple(raw.tolist())
         assert [b[i:] for i in order] == sorted(b[i:] for i in range(len(b)))
         lcp = repeats.common_prefixes(raw, order, 40)
         for i in range(1, len(b)):
@@ -222,7 +254,7 @@ def test_equal_windows_beyond_the_depth_of_doubling():
         text = lambda n: bytes(rng.choice(b"ab ") for _ in range(n))  # noqa: B023, E731
         shared = text(560)
         parts = [text(rng.randint(0, 40)) + shared + text(rng.randint(0, 60)), text(rng.randint(0, 40)) + shared + text(rng.randint(0, 60)), text(700)]
-        part, start, group = repeats.equal_windows(parts)
+        part, start, group = repeats.equal_windows([np.frombuffer(p, np.uint8) for p in parts])
         windows = [parts[p][s : s + 400] for p, s in zip(part.tolist(), start.tolist())]
         assert len(set(zip(windows, group.tolist()))) == len(set(windows)) == len(set(group.tolist()))
 
