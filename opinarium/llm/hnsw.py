@@ -1,14 +1,16 @@
 """Embedding near-duplicates: hierarchical navigable small-world graphs per shard.
 
-Vectors of one label (and length) are dealt by hash into shards of at most
-about SHARD vectors; each gets a graph, and every vector of the label queries
-every shard, in blocks. Graphs are built and searched in numpy for many
-vectors in step. A block's queries come in the order of a hash; brute force
-audits them, and its links count, until as many links as RECALL takes were
-found without a miss; each miss widens the beam and starts the count anew. So
-queries with few links are all audited. A query whose beam is full of links
-is searched again with a wider one. Links are verified by cosine in double
-precision.
+Vectors of one label (and length) are dealt by hash into shards; each gets a
+graph, built once and written to the shared folder, and every vector of the
+label queries every shard, in blocks. A shard has about SHARD vectors; in
+labels of more than SHARDS such shards it grows, up to SHARD_BYTES, so that
+no vector is copied to more shards than that needs. Graphs are built and
+searched in numpy for many vectors in step. A block's queries come in the
+order of a hash; brute force audits them, and its links count, until as many
+links as RECALL takes were found without a miss; each miss widens the beam and
+starts the count anew. So queries with few links are all audited. A query
+whose beam is full of links is searched again with a wider one. Links are
+verified by cosine in double precision.
 
 Equal vectors of a label are one node with a count. A task emits, for each
 query, the count of its links and one link, and a spanning forest of the
@@ -24,6 +26,7 @@ are not read.
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -34,7 +37,8 @@ from pyspark.sql import functions as F
 from .common import connected_components, importable, remove, written
 
 COSINE = 0.98
-SHARD = 8192
+#: Vectors of a shard; a label's shards beyond which they grow, and up to which size.
+SHARD, SHARDS, SHARD_BYTES = 8192, 64, 64 << 20
 #: Queries that one task puts to a shard.
 QUERIES = 32768
 #: Queries that are audited at once, and the recall of the others: their beam missed none of ENOUGH links (95 % sure; of a query's links BEAM count at most).
@@ -169,11 +173,11 @@ class Graph:
             start = self._beam(q, start, 1, k)[1][:, 0]
         return self._beam(q, start, min(beam, len(self.x)), down_to)
 
-    def within(self, q: np.ndarray, limit: float, beam: int) -> list[np.ndarray]:
-        """For each row of q the rows found with a similarity over limit; full beams are widened."""
-        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(q)
-        todo = np.arange(len(q))
-        beam = min(beam, len(self.x))
+    def within(self, q: np.ndarray, limit: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (row of q, row of the graph) found with a similarity over limit; full beams are widened."""
+        rows, hits = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        todo, n = np.arange(len(q)), len(self.x)
+        beam = min(beam, n)
         while len(todo):
             step = max(8, min(256, (1 << 24) // (beam * 16)))
             full = []
@@ -181,24 +185,48 @@ class Graph:
                 part = todo[i : i + step]
                 sims, ids = self.search(q[part], beam)
                 hit = sims >= limit
-                for row, where in enumerate(part):
-                    out[where] = ids[row][hit[row]]
-                if len(self.apart):
-                    for row, extra in zip(*np.nonzero(q[part] @ self.x[self.apart].T >= limit)):
-                        out[part[row]] = np.union1d(out[part[row]], self.apart[[extra]])
-                full.append(part[hit.all(1)])
+                wide = hit.all(1) & (beam < n)
+                full.append(part[wide])
+                a, b = np.nonzero(hit & ~wide[:, None])
+                rows.append(part[a])
+                hits.append(ids[a, b])
             todo = np.concatenate(full)
-            if beam >= len(self.x):
-                break
-            beam = min(2 * beam, len(self.x))
-        return out
+            beam = min(2 * beam, n)
+        if len(self.apart):
+            a, b = np.nonzero(q @ self.x[self.apart].T >= limit)
+            rows.append(a)
+            hits.append(self.apart[b])
+        pairs = np.unique(np.concatenate(rows) * n + np.concatenate(hits))
+        return pairs // n, pairs % n
+
+    def saved(self) -> bytes:
+        """All but the vectors; of the higher levels only rows that have neighbours."""
+        held = {"shape": np.array([len(self.x), self.levels, self.entry]), "apart": self.apart, "near0": self.near[0]}
+        for k in range(1, self.levels + 1):
+            held[f"rows{k}"] = np.flatnonzero((self.near[k] >= 0).any(1))
+            held[f"near{k}"] = self.near[k][held[f"rows{k}"]]
+        out = io.BytesIO()
+        np.savez(out, **held)
+        return out.getvalue()
+
+    @classmethod
+    def loaded(cls, x: np.ndarray, data: bytes) -> Graph:
+        held = np.load(io.BytesIO(data))
+        graph = cls.__new__(cls)
+        n, graph.levels, graph.entry = held["shape"].tolist()
+        graph.x, graph.apart, graph.near = x, held["apart"], [held["near0"]]
+        for k in range(1, graph.levels + 1):
+            near = np.full((n, M), -1, np.int32)
+            near[held[f"rows{k}"]] = held[f"near{k}"]
+            graph.near.append(near)
+        return graph
 
 
 def audited(graph: Graph, sample: np.ndarray, limit: float) -> int:
     """The beam, from BEAM on, at which the links of the sample reach RECALL of those that brute force finds."""
     truth = int((sample @ graph.x.T >= limit).sum())
     beam = BEAM
-    while beam < len(graph.x) and sum(map(len, graph.within(sample, limit, beam))) < RECALL * truth:
+    while beam < len(graph.x) and len(graph.within(sample, limit, beam)[0]) < RECALL * truth:
         beam *= 2
     return beam
 
@@ -208,81 +236,120 @@ def _units(vectors: list, d: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def shard_row(ids: list[int], counts: list[int], vectors: list) -> dict[str, bytes]:
+    """What is kept of a shard: its vectors, as units in double precision, and their graph."""
+    x = _units(vectors, len(vectors[0]))
+    return {"ids": np.array(ids, "<i8").tobytes(), "counts": np.array(counts, "<i8").tobytes(), "units": x.tobytes(), "graph": Graph(x.astype(np.float32)).saved()}
+
+
 class _Shard:
-    def __init__(self, rows: list[dict], cosine: float):
+    def __init__(self, row: dict, cosine: float):
         self.cosine = cosine
-        self.id = np.array([r["node"] for r in rows], np.int64)
-        self.copies = np.array([r["copies"] for r in rows], np.int64)
-        self.x = _units([r["vector"] for r in rows], len(rows[0]["vector"]))
-        self.graph = Graph(self.x.astype(np.float32))
+        self.id, self.copies = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["counts"], "<i8")
+        self.x = np.frombuffer(row["units"], "<f8").reshape(len(self.id), -1)
+        self.graph = Graph.loaded(self.x.astype(np.float32), row["graph"])
         self.beam, self.checked = BEAM, 0
-        self.parent = np.arange(len(rows))
-
-    def root(self, i: int) -> int:
-        while self.parent[i] != i:
-            self.parent[i] = self.parent[self.parent[i]]
-            i = self.parent[i]
-        return i
-
-    def links(self, q: np.ndarray, nodes: list[int]) -> list[np.ndarray]:
-        """The rows that each of q links to, without its own node."""
-        q32, limit = q.astype(np.float32), self.cosine - 1e-5
-        out: list[np.ndarray] = []
-        while (at := len(out)) < len(q):
-            audit = self.beam < len(self.x) and self.checked < ENOUGH
-            part = slice(at, at + AUDIT if audit else len(q))
-            own = lambda found: [h[(self.x[h] @ unit >= self.cosine) & (self.id[h] != node)] for h, unit, node in zip(found, q[part], nodes[part])]  # noqa: B023, E731
-            found = own(self.graph.within(q32[part], limit, self.beam))
-            if audit:
-                truth = own(map(np.flatnonzero, q32[part] @ self.graph.x.T >= limit))
-                if any(len(np.setdiff1d(t, f)) for t, f in zip(truth, found)):
-                    self.beam, self.checked = max(2 * self.beam, audited(self.graph, q32[part], limit)), 0
-                else:
-                    self.checked += sum(min(len(t), BEAM) for t in truth)
-                found = [np.union1d(t, f) for t, f in zip(truth, found)]
-            out += found
-        return out
+        self.component = np.arange(len(self.id))
+
+    def _verified(self, q: np.ndarray, nodes: np.ndarray, rows: np.ndarray, hits: np.ndarray) -> np.ndarray:
+        """Of pairs those that link, as row * vectors + hit, without those of a node with itself."""
+        cosine = np.concatenate([np.zeros(0), *(np.einsum("ij,ij->i", self.x[hits[i : i + 65536]], q[rows[i : i + 65536]]) for i in range(0, len(rows), 65536))])
+        ok = (cosine >= self.cosine) & (self.id[hits] != nodes[rows])
+        return rows[ok] * len(self.id) + hits[ok]
+
+    def links(self, q: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (row of q, row of the shard) that link, in order."""
+        q32, limit, n = q.astype(np.float32), self.cosine - 1e-5, len(self.id)
+        audit = self.beam < n and self.checked < ENOUGH
+        found = self._verified(q, nodes, *self.graph.within(q32, limit, self.beam))
+        if audit:
+            truth = self._verified(q, nodes, *np.nonzero(q32 @ self.graph.x.T >= limit))
+            if len(np.setdiff1d(truth, found, assume_unique=True)):
+                self.beam, self.checked = max(2 * self.beam, audited(self.graph, q32, limit)), 0
+            else:
+                self.checked += int(np.minimum(np.bincount(truth // n), BEAM).sum())
+            found = np.union1d(truth, found)
+        return found // n, found % n
 
     def ask(self, rows: list[dict]) -> list[tuple[int, int | None, int]]:
         """(node, a linked node or null, links): one for each query, and those that tie shard vectors together."""
         out = []
-        for row, hits in zip(rows, self.links(_units([r["vector"] for r in rows], self.x.shape[1]), [r["node"] for r in rows])):
-            out.append((row["node"], int(self.id[hits[0]]) if len(hits) else None, int(self.copies[hits].sum())))
-            for h in hits[1:].tolist():
-                a, b = self.root(hits[0]), self.root(h)
-                if a != b:
-                    self.parent[max(a, b)] = min(a, b)
-                    out.append((int(self.id[hits[0]]), int(self.id[h]), 0))
+        q, nodes = _units([r["vector"] for r in rows], self.x.shape[1]), np.array([r["node"] for r in rows], np.int64)
+        for at in range(0, len(rows), AUDIT):
+            own, hits = self.links(q[at : at + AUDIT], nodes[at : at + AUDIT])
+            edge = np.searchsorted(own, np.arange(min(AUDIT, len(rows) - at) + 1))
+            for node, a, b in zip(nodes[at : at + AUDIT].tolist(), edge[:-1].tolist(), edge[1:].tolist()):
+                if a == b:
+                    out.append((node, None, 0))
+                    continue
+                mine = hits[a:b]
+                first = int(self.id[mine[0]])
+                out.append((node, first, int(self.copies[mine].sum())))
+                component = self.component[mine]
+                if b - a > 1 and (component != component[0]).any():
+                    others, where = np.unique(component, return_index=True)
+                    for c, k in zip(others.tolist(), where.tolist()):
+                        if c != component[0]:
+                            out.append((first, int(self.id[mine[k]]), 0))
+                            self.component[self.component == c] = component[0]
         return out
 
 
+GRAPH = "label {label}, width int, shard int, ids binary, counts binary, units binary, graph binary"
+
+
+def _graphs(index: DataFrame) -> DataFrame:
+    """shard_row() of each shard of index (label, width, shard, node, copies, vector)."""
+    importable(index.sparkSession)
+    key, schema = ["label", "width", "shard"], GRAPH.format(label=index.schema["label"].dataType.simpleString())
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+
+        def told() -> pa.RecordBatch:
+            made = dict(zip(key, at)) | shard_row(*zip(*held))
+            kinds = [label, pa.int32(), pa.int32(), *[pa.binary()] * 4]
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(made.values(), kinds)], names=list(made))
+
+        for batch in batches:
+            label = batch.schema.field("label").type
+            for row in batch.to_pylist():
+                if (here := tuple(row[k] for k in key)) != at:
+                    if held:
+                        yield told()
+                    at, held = here, []
+                held.append((row["node"], row["copies"], row["vector"]))
+        if held:
+            yield told()
+
+    return index.select(*key, "node", "copies", "vector").repartition(*key).sortWithinPartitions(*key, "node").mapInArrow(run, schema)
+
+
 def _ask_shards(dealt: DataFrame, cosine: float) -> DataFrame:
+    """dealt: label, width, shard and block, then a shard's graph or a query."""
     importable(dealt.sparkSession)
     key = ["label", "width", "shard", "block"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, index, shard, asked = None, [], None, []
+        at, shard, asked = None, None, []
 
         def told():
-            nonlocal shard
-            shard = shard or _Shard(index, cosine)
             rows = shard.ask(asked)
             asked.clear()
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], names=["node", "other", "links"])
 
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (r for start in range(0, batch.num_rows, 512) for r in batch.slice(start, 512).to_pylist()):
                 if (here := tuple(row[k] for k in key)) != at:
                     if asked:
                         yield told()
-                    at, index, shard = here, [], None
-                if row["asks"]:
-                    if index:
-                        asked.append(row)
+                    at, shard = here, None
+                if not row["asks"]:
+                    shard = _Shard(row, cosine)
+                elif shard:
+                    asked.append(row)
                     if len(asked) >= 2048:
                         yield told()
-                else:
-                    index.append(row)
         if asked:
             yield told()
 
@@ -300,19 +367,23 @@ def link_vectors(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding
     nodes = written(nodes, "nodes")
 
     sizes = nodes.groupBy("label", "width").agg(F.count("*").alias("n"))
-    sizes = sizes.select(F.col("label").alias("l"), F.col("width").alias("w"), F.ceil(F.col("n") / SHARD).cast("int").alias("shards"), F.ceil(F.col("n") / QUERIES).cast("int").alias("blocks"))
-    sized = nodes.join(written(sizes, "sizes"), (F.col("label") == F.col("l")) & (F.col("width") == F.col("w")))
+    size = F.greatest(F.lit(SHARD), F.least(F.ceil(F.col("n") / SHARDS), F.lit(SHARD_BYTES) / (8 * F.col("width"))))
+    sizes = sizes.select(F.col("label").alias("l"), F.col("width").alias("w"), F.ceil(F.col("n") / size).cast("int").alias("shards"), F.ceil(F.col("n") / QUERIES).cast("int").alias("blocks"))
+    sizes = written(sizes, "sizes")
+    sized = nodes.join(sizes, (F.col("label") == F.col("l")) & (F.col("width") == F.col("w")))
     own = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    index = sized.withColumn("shard", own("shards", 1)).withColumn("block", each("blocks")).withColumn("asks", F.lit(False))
+    graphs = written(_graphs(sized.withColumn("shard", own("shards", 1))), "graphs")
+    index = graphs.join(sizes.select(F.col("l").alias("label"), F.col("w").alias("width"), each("blocks").alias("block")), ["label", "width"]).withColumn("asks", F.lit(False))
     asks = sized.withColumn("block", own("blocks", 2)).withColumn("shard", each("shards")).withColumn("asks", F.lit(True))
-    columns = ["label", "width", "shard", "block", "asks", "node", "copies", "vector"]
-    found = written(_ask_shards(index.select(columns).union(asks.select(columns)), cosine), "found")
+    key = ["label", "width", "shard", "block", "asks"]
+    dealt = index.select(*key, "ids", "counts", "units", "graph").unionByName(asks.select(*key, "node", "vector"), allowMissingColumns=True)
+    found = written(_ask_shards(dealt, cosine), "found")
 
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     components = connected_components(found.where("other is not null").select(F.col("node").alias("src"), F.col("other").alias("dst")), "vectors")
     told = nodes.select("digest", "node", "copies").join(counts, "node", "left").join(components, "node", "left")
     told = written(told.select("digest", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id")), "told")
-    remove(nodes, found, components)
+    remove(nodes, graphs, found, components)
     out = rows.select("vec_id", "digest").join(told, "digest", "left")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"), (F.coalesce("component_id", "vec_id").eqNullSafe(F.col("vec_id"))).alias("kept"))

@@ -93,6 +93,17 @@ def test_vectors(spark):
     assert hnsw.link_vectors(df.where("1 = 0")).count() == 0
 
 
+def test_vectors_of_several_shards_and_blocks(spark, monkeypatch):
+    """Links and components across many small shards that grow, asked in several blocks, equal brute force."""
+    for name, value in (("SHARD", 40), ("SHARDS", 4), ("QUERIES", 150), ("AUDIT", 32)):
+        monkeypatch.setattr(hnsw, name, value)
+    rng = np.random.default_rng(23)
+    base = rng.normal(size=(60, 16))
+    rows = [(i, (base[i % 60] + rng.normal(scale=0.09, size=16)).astype("f4").tolist(), int(i % 7 == 0)) for i in range(700)]
+    got = {r[0]: tuple(r)[1:] for r in hnsw.link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
+    assert got == links_of([(i, [float(np.float32(c)) for c in v], lab) for i, v, lab in rows])
+
+
 def test_graph_recall():
     rng = np.random.default_rng(5)
     centres = rng.normal(size=(40, 32))
@@ -101,15 +112,17 @@ def test_graph_recall():
     graph = hnsw.Graph(x)
     beam = hnsw.audited(graph, x[::50], 0.98)
     truth = int((x[:500] @ x.T >= 0.98).sum())
-    assert sum(map(len, graph.within(x[:500], 0.98, beam))) >= 0.999 * truth
-    assert hnsw.Graph(x[:1]).within(x[:1], 0.9, 4)[0].tolist() == [0]
+    found = [r.tolist() for r in graph.within(x[:500], 0.98, beam)]
+    assert len(found[0]) >= 0.999 * truth
+    assert [r.tolist() for r in hnsw.Graph.loaded(x, graph.saved()).within(x[:500], 0.98, beam)] == found
+    assert hnsw.Graph(x[:1]).within(x[:1], 0.9, 4)[1].tolist() == [0]
 
 
 def test_audit_of_sparse_links():
     """The first queries have no links, each of the later ones has one."""
     rng = np.random.default_rng(14)
     x = rng.normal(size=(4000, 64))
-    shard = hnsw._Shard([{"node": i, "copies": 1, "vector": v} for i, v in enumerate(x.tolist())], 0.98)
+    shard = hnsw._Shard(hnsw.shard_row(list(range(4000)), [1] * 4000, x.tolist()), 0.98)
     ask = lambda first, vectors: {n: (other, links) for n, other, links in shard.ask([{"node": first + i, "vector": v} for i, v in enumerate(vectors.tolist())])}
     assert set(ask(10000, rng.normal(size=(500, 64))).values()) == {(None, 0)}
     assert ask(20000, x[:1500] + rng.normal(scale=0.1, size=(1500, 64))) == {20000 + i: (i, 1) for i in range(1500)}
