@@ -1,27 +1,27 @@
 """Quality classifier: histogram gradient-boosted trees over document statistics.
 
-Statistics are computed once, over whole texts, and written as a narrow
-table. Trees are grown in numpy on the driver from a bounded sample of the
-labelled rows (``sample_rows``); all trees are flattened into arrays, which
-workers walk for whole batches at once.
+Trees are grown in numpy on the driver from a bounded sample of the labelled
+rows (``sample_rows``), joined to their texts before anything is computed; all
+trees are flattened into arrays, which workers walk for whole batches at once.
+Statistics are of whole texts, computed where they are used.
 
 Null texts count as empty and have statistics too; repeated rows get equal
 scores; an empty table gives an empty table; without labels of both kinds
-every score is the share of label 1 (0.5 without labels). Null or missing
+every score is the share of label 1 (0.5 without labels), and keep_good() has
+nothing to go by and keeps every row. Null or missing
 labels are not learnt from, differing labels of a document count by their
 mean. Columns of df named like a result column are replaced.
 """
 
 from __future__ import annotations
 
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, written
+from .common import add_columns
 
 THRESHOLD = 0.7
 SAMPLE_ROWS = 20_000
@@ -141,22 +141,30 @@ def grow(x: np.ndarray, y: np.ndarray, rounds: int = 60, depth: int = 4, rate: f
     return Trees(bias, depth, np.array(features), np.array(limits), np.array(outs))
 
 
+def _rows(texts: list) -> np.ndarray:
+    return np.array([statistics(t or "") for t in texts]).reshape(len(texts), len(NAMES))
+
+
 def with_statistics(df: DataFrame, text: str = "text", name: str = "statistics") -> DataFrame:
     """df with an array of the statistics of text."""
 
     def make(texts):
-        rows = np.array([statistics(t or "") for t in texts]).reshape(len(texts), len(NAMES))
-        return [pa.ListArray.from_arrays(np.arange(len(texts) + 1, dtype=np.int32) * len(NAMES), rows.ravel())]
+        return [pa.ListArray.from_arrays(np.arange(len(texts) + 1, dtype=np.int32) * len(NAMES), _rows(texts).ravel())]
 
     return add_columns(df, T.StructType([T.StructField(name, T.ArrayType(T.DoubleType()))]), make, [text], sliced=text)
 
 
+def with_score(df: DataFrame, trees: Trees, text: str = "text", name: str = "score") -> DataFrame:
+    """df with a score of text, 0 to 1."""
+    return add_columns(df, T.StructType([T.StructField(name, T.DoubleType())]), lambda texts: [pa.array(trees.score(_rows(texts)))], [text], sliced=text)
+
+
 def held_out(doc_id="doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(stats: DataFrame, labels: DataFrame, label: str = "quality", sample_rows: int = SAMPLE_ROWS) -> Trees:
-    """Trees from rows (doc_id, statistics) with a label, none of them held out.
+def fit(df: DataFrame, labels: DataFrame, text: str = "text", label: str = "quality", sample_rows: int = SAMPLE_ROWS) -> Trees:
+    """Trees from the rows of df (doc_id, text) with a label, none of them held out.
 
     Up to about sample_rows of them are taken, by a hash of doc_id.
     """
@@ -164,36 +172,24 @@ def fit(stats: DataFrame, labels: DataFrame, label: str = "quality", sample_rows
     n = told.count()
     share = min(1.0, sample_rows / max(1, n))
     told = told.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    sample = stats.select("doc_id", "statistics").join(told, "doc_id").groupBy("doc_id").agg(F.min("statistics").alias("statistics"), F.min("y").alias("y")).toArrow()
+    # About sample_rows pairs of numbers are broadcast; other texts go no further than the scan.
+    chosen = with_statistics(df.select("doc_id", text).join(F.broadcast(told), "doc_id"), text)
+    sample = chosen.groupBy("doc_id").agg(F.min("statistics").alias("statistics"), F.min("y").alias("y")).toArrow()
     order = np.argsort(sample["doc_id"].to_numpy(), kind="stable")
     x = sample["statistics"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(NAMES)) if len(order) else np.zeros((0, len(NAMES)))
     return grow(x[order], sample["y"].to_numpy()[order])
 
 
-def with_score(stats: DataFrame, trees: Trees) -> DataFrame:
-    """stats with a score of 0 to 1 in place of the statistics."""
-
-    def make(rows):
-        return [pa.array(trees.score(np.array(rows, float).reshape(-1, len(NAMES))))]
-
-    return add_columns(stats, T.StructType([T.StructField("score", T.DoubleType())]), make, ["statistics"]).drop("statistics")
-
-
 def score_documents(df: DataFrame, labels: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """doc_id, held_out, score and predicted for each row of df (doc_id, text)."""
-    stats = written(with_statistics(df.select("doc_id", text), text).select("doc_id", "statistics"), "statistics")
-    scored = with_score(stats, fit(stats, labels, sample_rows=sample_rows))
+    docs = df.select("doc_id", text)
+    scored = with_score(docs, fit(docs, labels, text, sample_rows=sample_rows), text)
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def keep_good(df: DataFrame, labels: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of df whose text scores threshold or more, with df's columns."""
-    name = "_statistics_of_text"
-    stats = written(with_statistics(df.select("doc_id", text), text).select("doc_id", "statistics"), "statistics")
-    trees = fit(stats, labels)
-
-    def make(texts):
-        x = np.array([statistics(t or "") for t in texts]).reshape(len(texts), len(NAMES))
-        return [pa.array(trees.score(x))]
-
-    return add_columns(df, T.StructType([T.StructField(name, T.DoubleType())]), make, [text], sliced=text).where(F.col(name) >= threshold).select(df.columns)
+    name, trees = "_score_of_text", fit(df, labels, text)
+    if not len(trees.feature):
+        return df
+    return with_score(df, trees, text, name).where(F.col(name) >= threshold).select(df.columns)
