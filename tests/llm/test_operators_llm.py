@@ -421,8 +421,7 @@ def test_packing(spark):
     import public_tokenizers
 
     t = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    df = odd(spark).union(spark.createDataFrame([(100 + i, "Some words, more words 123 " * (i * 7)) for i in range(60)] + [(900, "<|endoftext|> x")], DOCS).withColumns({c: F.lit("x") for c in odd(spark).columns[2:]})).dropDuplicates(["doc_id"])
+    df = odd(spark).union(spark.createDataFrame([(100 + i, "Some words, more words 123 " * (i * 7)) for i in range(60)] + [(900, "<|endoftext|> x"), (901, "a<|endoftext|><|endoftext|>  b <|endoftext"), (902, "x" * 5000 + "<|endoftext|>" + " y" * 3000)], DOCS).withColumns({c: F.lit("x") for c in odd(spark).columns[2:]})).dropDuplicates(["doc_id"])
     texts = {r["doc_id"]: r["text"] or "" for r in df.collect()}
     rows = packing.pack(df.coalesce(1)).collect()
     for i, text in texts.items():
