@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from difflib import SequenceMatcher
 from html import unescape
 
@@ -58,8 +58,11 @@ NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 #: A text (no heading) is the template's if at least so many pages of a host, and so large a share of those with the article around it, have it in a slot, none has another there, and they differ in another slot.
 TEMPLATE_PAGES, TEMPLATE_SHARE = 5, 0.9
-#: Siblings in a wrapper beyond which those of one label are taken together.
+#: Siblings in a wrapper beyond which those of one label are taken together. Only regions are sought in wrappers, by label, so this changes none; template texts
+#: are sought only where siblings are fewer.
 SIBLINGS = 64
+#: Levels that a wrapper tells apart; what lies deeper counts to the last of them, but is judged by all elements around it.
+LEVELS = 200
 
 
 def _label(tag: str, attributes: str, within: bool) -> tuple[str, bool, bool]:
@@ -91,6 +94,12 @@ def blocks(html: str) -> tuple[list[Block], dict[tuple[str, ...], int]]:
     named: dict[tuple[str, ...], int] = {}
     parts: list[str] = []
     links = linked = 0  # open links, characters in them
+    open_: dict[str, int] = {}  # how often each tag is on the stack
+
+    def close(i: int) -> None:
+        for tag, *_ in stack[i:]:
+            open_[tag] -= 1
+        del stack[i:]
 
     def flush():
         nonlocal linked
@@ -115,13 +124,10 @@ def blocks(html: str) -> tuple[list[Block], dict[tuple[str, ...], int]]:
         if m[2]:
             if tag == "a":
                 links = max(0, links - 1)
-            elif tag not in INLINE and tag not in VOID:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == tag:
-                        flush()
-                        links = 0
-                        del stack[i:]
-                        break
+            elif open_.get(tag):
+                flush()
+                links = 0
+                close(max(i for i in range(len(stack)) if stack[i][0] == tag) if stack[-1][0] != tag else len(stack) - 1)
             continue
         if tag == "br":
             parts.append(" ")
@@ -131,17 +137,12 @@ def blocks(html: str) -> tuple[list[Block], dict[tuple[str, ...], int]]:
             pass
         else:
             flush()
-            if tag in CLOSES_P:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == "p":
-                        del stack[i:]
-                        break
-                    if stack[i][0] not in INLINE:
-                        break
-            if tag in CLOSED_BY_NEXT:
+            if tag in CLOSES_P and stack[-1][0] == "p":
+                close(len(stack) - 1)
+            if any(map(open_.get, PEERS.get(tag, (tag,)))) and tag in CLOSED_BY_NEXT:
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i][0] in PEERS.get(tag, (tag,)):
-                        del stack[i:]
+                        close(i)
                         break
                     if stack[i][0] in CLOSED_BY_NEXT[tag]:
                         break
@@ -150,11 +151,12 @@ def blocks(html: str) -> tuple[list[Block], dict[tuple[str, ...], int]]:
             links = 0
             _, path, out, within = stack[-1]
             label, no, main = _label(tag, m[4], within)
-            path += (label,)
-            if main and not (out or no) and path not in named:
+            deeper = len(path) < LEVELS
+            path += (label,) if deeper else ()
+            if main and deeper and not (out or no) and path not in named:
                 named[path] = 0 if tag in ("article", "main") or "main" in (m[4] or "").lower() or "articlebody" in (m[4] or "").lower() else 1
-            if len(stack) < 200:
-                stack.append((tag, path, out or no, within or (main and tag in ("article", "main"))))
+            stack.append((tag, path, out or no, within or (main and tag in ("article", "main"))))
+            open_[tag] = open_.get(tag, 0) + 1
     flush()
     return found, named
 
@@ -265,8 +267,8 @@ def expression(node: list) -> str:
     return f"({body})+" if node[REPEATED] else f"({body})?" if node[OPTIONAL] else body
 
 
-def region(wrapper: list) -> tuple[list[list[str]], list[list]]:
-    """The paths of the article, and [path, text] of the template's texts in it."""
+def region(wrapper: list) -> tuple[list[list[str]], list[list], list[list[str]]]:
+    """The paths of the article, [path, text] of the template's texts in it, and the paths at which links are menus."""
     regions: dict[tuple[str, ...], list] = {}
     template: list[list] = []
     varied = False
@@ -299,35 +301,39 @@ def region(wrapper: list) -> tuple[list[list[str]], list[list]]:
         told = {p: w for p, (r, w) in regions.items() if r == rank and w > 0}
         if told:
             most = max(told.values())
-            return [list(p) for p, w in told.items() if 2 * w >= most], template
-    # No element is named like an article: the one whose own blocks have the most text.
+            return [list(p) for p, w in told.items() if 2 * w >= most], template, []
+    # No element is named like an article: the one whose own blocks have the most text. What is mostly links on the host's pages is a menu.
     own: dict[tuple[str, ...], int] = {}
+    menus: list[list[str]] = []
 
     def text_of(node: list, path: tuple[str, ...]) -> None:
         for child in node[CHILDREN]:
             if child[LABEL] == SLOT:
-                if not child[OUT] and 2 * child[LINKED] <= child[CHARS]:
+                if 2 * child[LINKED] > child[CHARS]:
+                    menus.append(list(path))
+                elif not child[OUT]:
                     holder = path[:-1] if path and re.match(r"(p|h[1-6]|li|ul|ol|blockquote|pre|td|tr|table|tbody|dd|dt|dl)\b", path[-1]) else path
                     own[holder] = own.get(holder, 0) + child[CHARS] - child[LINKED]
             else:
                 text_of(child, path + (child[LABEL],))
 
     text_of(wrapper, ())
-    return ([list(max(own, key=lambda p: (own[p], -len(p))))] if own else []), template
+    return ([list(max(own, key=lambda p: (own[p], -len(p))))] if own else []), template, menus
 
 
-def extracted(html: str, regions: list[list[str]], template: list[list]) -> str:
+def extracted(html: str, regions: list[list[str]], template: list[list], menus: Sequence[list[str]] = ()) -> str:
     """The text of the blocks in the regions; where there are none, by the page's own regions."""
     found, _ = blocks(html)
     drop = {(tuple(p), t) for p, t in template}
 
-    def within(where: list[list[str]]) -> list[str]:
-        paths = [tuple(p) for p in where]
-        return [b.text for b in found if not b.out and any(b.path[: len(p)] == p for p in paths) and (b.path, b.text) not in drop]
+    def within(where: list[list[str]], menus: Sequence[list[str]]) -> list[str]:
+        paths, links = [tuple(p) for p in where], set(map(tuple, menus))
+        return [b.text for b in found if not b.out and any(b.path[: len(p)] == p for p in paths) and (b.path, b.text) not in drop and not (2 * b.linked > len(b.text) and b.path in links)]
 
-    out = within(regions)
+    out = within(regions, menus)
     if not out:
-        out = within(region(tree(html))[0])
+        where, _, menus = region(tree(html))
+        out = within(where, menus)
     return "\n".join(out)
 
 
@@ -388,6 +394,6 @@ def extract(df: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     pages = df.withColumn("_host", host_of(url)).join(regions, "_host", "left")
 
     def make(texts, told):
-        return [[extracted(t or "", *json.loads(r or "[[], []]")) for t, r in zip(texts, told)]]
+        return [[extracted(t or "", *json.loads(r or "[[], [], []]")) for t, r in zip(texts, told)]]
 
     return add_columns(pages, T.StructType([T.StructField("text", T.StringType())]), make, [html, "_region"], sliced=html).select(*(c for c in df.columns if c not in (html, "text")), "text")

@@ -309,6 +309,40 @@ def test_wrappers(spark):
 
 def test_texts_of_a_few_copies_stay():
     """A quote, byline and note on six of 40 pages are the article's; a note on all pages is the template's."""
+SITES = {
+    # Article in an element of its own, menus and comments around it by element or name.
+    "news": "<body><div id=topNav><a href=/>x{n}</a></div><main><header><h1>{0}</h1><p>{1}</p></header><p>{2}<aside>more {n}</aside><figure><img src=a><figcaption>{3}</figcaption></figure><div class='related-stories'><p>see {n}</div></main><div class=cookieBanner>c</div></body>",
+    # No named region: a table of the last century.
+    "old": "<table><tr><td><a href=1>a{n}</a><br><a href=2>b</a></td><td><h2>{0}</h2><p>{1}<p>{2}<table><tr><td>{3}</td></tr></table></td></tr></table>",
+    # Lists, definitions, quotes and code in a div named like one.
+    "wiki": "<nav>m{n}</nav><div class='mw post'><h1>{0}</h1><ul><li>{1}<li>{2}</ul><dl><dt>{3}</dl></div><form><label>f</label></form><div role=contentinfo>i{n}</div>",
+    # Roles instead of elements; hidden text and templates.
+    "app": "<div role=banner>b{n}</div><div role=main><div><section><h1>{0}</h1></section><section><p>{1}</p><p hidden>h</p><template><p>t</p></template></section></div><blockquote>{2}</blockquote><pre>{3}</pre><ol class=comments><li>k{n}</ol></div><div role=navigation>v</div>",
+}
+
+
+def test_invented_sites(spark):
+    """The true text of every page of several sites, some with many pages, one with one."""
+    rng = random.Random(24)
+    words = lambda: " ".join("".join(rng.choice("abcdefgé") for _ in range(rng.randint(2, 9))) for _ in range(rng.randint(3, 40)))
+    pages, truth = [], {}
+    for site, count in (("news", 30), ("old", 12), ("wiki", 7), ("app", 1)):
+        for n in range(count):
+            blocks = [words() for _ in range(4)]
+            truth[len(pages)] = "\n".join(blocks)
+            pages.append((len(pages), f"https://{site}.example/{n}", SITES[site].format(*(b.replace(" ", rng.choice([" ", "\n", " <i>", "&nbsp;"]), 1) for b in blocks), n=n)))
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    for parts in (1, 5):  # the wrapper may be aligned in any order
+        assert {r["page_id"]: r["text"] for r in wrappers.extract(df.repartition(parts)).collect()} == truth
+
+
+def test_deep_pages():
+    deep = "<div>" * 5000
+    assert wrappers.extracted(f"{deep}<nav>menu</nav><p>text</p>", [], []) == "text"
+    assert wrappers.extracted(f"<article>{deep}<p>a</p><div class=ad><p>ad{'</div>' * 5001}<p>b</article>", [["article"]], []) == "a\nb"
+    assert len(wrappers.blocks("<li><b>" * 50000 + "</x>" * 50000 + "t")[0]) == 1
+
+
     html = lambda i: f"<article><h1>t{i}</h1><p>body {i}</p>{'<blockquote>Quote</blockquote><div class=byline>By A</div>' if i < 6 else ''}<div class=end>Site</div></article>"
     wrapper = wrappers.tree(html(0))
     for i in range(1, 40):
