@@ -16,6 +16,7 @@ from typing import Protocol
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from ..session import importable
 
@@ -180,6 +181,28 @@ def classified(df: DataFrame, row_id: str, text: str, backend: Classifier, batch
     return df.select(df[row_id].cast("long").alias("row_id"), df[text].alias("text")).mapInArrow(run, schema)
 
 
+def answered(df: DataFrame, row_id: str, text: str, backend: Classifier, batch_size: int, to: str) -> DataFrame:
+    """df with to, the backend's last answer for each row, null for rows without a text: no join, and df is evaluated once.
+
+    Rows are asked in batches within what Arrow hands over at once; answers for ids outside a batch are dropped.
+    """
+    importable(df.sparkSession)
+    schema = T.StructType([*df.schema.fields, T.StructField(to, T.StringType())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(n, item) for n, item in enumerate(zip(batch.column(row_id).to_pylist(), batch.column(text).to_pylist())) if item[1] is not None]
+            found: list[str | None] = [None] * batch.num_rows
+            for start in range(0, len(rows), batch_size):
+                part = rows[start : start + batch_size]
+                told = dict(backend.classify([item for _, item in part]))
+                for n, (i, _) in part:
+                    found[n] = told.get(i)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], names=schema.names)
+
+    return df.mapInArrow(run, schema)
+
+
 def embedded(df: DataFrame, row_id: str, text: str, backend: Embedder, batch_size: int = 128) -> DataFrame:
     """(row_id, vector) for the rows of df."""
     importable(df.sparkSession)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import answers, prompts, spans, text
 from ..plans.config import BrandProfile, Hook, PipelineConfig
 from . import models
-from .backends import Classifier, classified
+from .backends import Classifier, answered
 from .merge import merge_actions
 from .rules import sure_drop
 
@@ -46,12 +46,12 @@ def classify(df: DataFrame, row_id: str, profile: BrandProfile, backend: Classif
     models.require_ready(backend)
     ruled = with_rule_columns(df, profile, config)
     txt = preprocess(F.col("text_rule")) if preprocess else for_model(F.col("text_rule"), profile, config.max_words, config.extra_brand_patterns, script)
-    left = ruled.where("asked").select(row_id, txt.alias("txt"))
     if hasattr(backend, "ask"):
-        found = asked_model(left, row_id, "txt", profile, backend, config, template)
+        found = asked_model(ruled.where("asked").select(row_id, txt.alias("txt")), row_id, "txt", profile, backend, config, template)
+        out = merge_actions(ruled, found.select(row_id, F.col("answer").alias("action"), "pos"), row_id)
     else:
-        found = classified(left, row_id, "txt", backend, config.batch_size).where(F.col("answer").isin("keep", "drop")).select(F.col("row_id").alias(row_id), "answer", F.struct("batch", "pos").alias("pos"))
-    out = merge_actions(ruled, found.select(row_id, F.col("answer").alias("action"), "pos"), row_id)
+        told = answered(ruled.withColumn("_txt", F.when(F.col("asked"), txt)), row_id, "_txt", backend, config.batch_size, "_told")
+        out = told.withColumn("action", F.when(~F.col("asked") | (F.col("_told") == "drop"), "drop").otherwise("keep")).drop("_txt", "_told")
     return out.withColumn("is_drop", F.when(F.col("action") == "drop", "Yes").otherwise("No"))
 
 
