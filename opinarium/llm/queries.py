@@ -59,7 +59,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_embedding_graphs, op2_subword_transducer, op3_url_filter, op4_suffix_arrays, op5_wrappers, op6_minhash, op7_packing, op8_media_chunks, op9_pii, op10_quality)}
 
-_FITS = "(p.host = split_part(r.key, '/', 1) or ends_with(p.host, '.' || split_part(r.key, '/', 1))) and starts_with(p.path, substr(r.key, strpos(r.key, '/')))"
+_FITS = "({0} = split_part(r.key, '/', 1) or ends_with({0}, '.' || split_part(r.key, '/', 1))) and starts_with({1}, substr(r.key, strpos(r.key, '/')))"
+_NAMED, _LISTED = _FITS.format("p.host", "p.path"), _FITS.format("p.plain", 'p."full"')
 
 ORACLES: dict[str, str] = {
     "op1_embedding_graphs": """
@@ -78,15 +79,16 @@ low as (select node, min(other) as component_id from reach group by node)
 select e.vec_id, coalesce(c.n, 0)::bigint as n_links, l.component_id, e.vec_id = l.component_id as kept
 from embeddings e join low l on l.node = e.vec_id left join counts c on c.a = e.vec_id""",
     "op3_url_filter": f"""
-with p as (
+with u as (
   select page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
          regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) as path
   from pages),
+p as (select *, regexp_replace(host, '^.*@|\\.?(:[0-9]*)?$', '', 'g') as plain, case when path = '' then '/' else path end as "full" from u),
 r(key, action, named) as (values {', '.join([f"('{key}', '{action}', true)" for action, key in RULES] + [f"('{key}', 'block', false)" for key in LISTED])})
 select page_id, host, path,
-  (select r.key from r where named and {_FITS} order by length(r.key) desc limit 1) as rule,
-  coalesce((select r.action from r where named and {_FITS} order by length(r.key) desc limit 1),
-           (select 'block' from r where not named and {_FITS} limit 1), 'allow') as verdict
+  (select r.key from r where named and {_NAMED} order by length(r.key) desc limit 1) as rule,
+  coalesce((select r.action from r where named and {_NAMED} order by length(r.key) desc limit 1),
+           (select 'block' from r where not named and p.host <> '' and {_LISTED} limit 1), 'allow') as verdict
 from p""",
     "op6_minhash": r"""
 with recursive t as (

@@ -164,6 +164,8 @@ def test_urls(spark):
         "http://acom/en/": ("acom", "/en/", None, "allow"), "http://q.b.org": ("q.b.org", "", None, "allow"), "http://q.b.org/x": ("q.b.org", "/x", "b.org/", "block"), "http://c.org/xx": ("c.org", "/xx", "org/x", "block"),
         "http://m.spam.net/a": ("m.spam.net", "/a", None, "block"), "ftp://c.org/y": ("c.org", "/y", None, "block"), "nothing": ("", "", None, "allow"), None: ("", "", None, "allow"), "": ("", "", None, "allow"),
         "http://a.com#/en/": ("a.com", "", None, "allow"), "a://b://c.com/en/": ("b:", "//c.com/en/", None, "allow"), "http:///en/": ("", "/en/", None, "allow"), "http://ÄA.com/en/\n": ("Äa.com", "/en/\n", "com/en/", "block"),
+        "http://spam.net": ("spam.net", "", None, "block"), "http://u@M.spam.net:80?x": ("u@m.spam.net:80", "", None, "block"), "http://spam.net./": ("spam.net.", "/", None, "block"), "http://c.org:1/y": ("c.org:1", "/y", None, "block"),
+        "http://c.org:1/x": ("c.org:1", "/x", None, "allow"), "http://xspam.net/": ("xspam.net", "/", None, "allow"), "http://" + "a." * 20000 + "spam.net/": ("a." * 20000 + "spam.net", "/", None, "block"),
     }
     df = spark.createDataFrame([(i, u) for i, u in enumerate(cases)] * 2, "page_id long, url string").withColumns({"rule": F.lit(1), "key": F.lit("k"), "block": F.lit(2)})
     out = urls.judge(df, urls.entries(spark, rules, listed)).collect()
