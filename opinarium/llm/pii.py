@@ -154,8 +154,8 @@ def redact_pii(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """Counts, hash and list of the spans that find_pii() added."""
+    """Counts, hash and list of the spans that find_pii() added; n_spans counts those of all kinds."""
     told = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
-    return found.select("doc_id", *map(count, BASE), F.sha2(told(base), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *map(count, BASE), F.sha2(told(base), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))

@@ -90,8 +90,6 @@ select page_id, host, path,
   coalesce((select r.action from r where named and {_NAMED} order by length(r.key) desc limit 1),
            (select 'block' from r where not named and p.host <> '' and {_LISTED} limit 1), 'allow') as verdict
 from p""",
-    "op6_minhash": r"""
-with recursive t as (
     "op4_suffix_arrays": r"""
 with t as materialized (
   select doc_id, coalesce(text, '') as x, row_number() over () as r, hex(encode(coalesce(text, ''))) as h, octet_length(encode(coalesce(text, '')))::bigint as n from documents),
@@ -111,6 +109,8 @@ wn as (select r, sum(more)::bigint as n from wc group by r)
 select doc_id, t.n as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans,
   sha256(unhex(coalesce(kept.h, t.h))) as kept_sha256, coalesce(wn.n, 0)::bigint as n_repeated_words
 from t left join gone using (r) left join kept using (r) left join wn using (r)""",
+    "op6_minhash": r"""
+with recursive t as (
   select text, min(doc_id) as node,
          list_filter(regexp_split_to_array(text, '[ \t\n\x0b\f\r]+'), lambda x: x <> '') as w
   from (select doc_id, coalesce(text, '') as text from documents) group by text),
@@ -127,4 +127,18 @@ reach(node, other) as (
 select d.doc_id, min(r.other) as class_id, d.doc_id = min(r.other) as kept
 from documents d join t on t.text = coalesce(d.text, '') join reach r on r.node = t.node
 group by d.doc_id""",
+    "op8_media_chunks": r"""
+with tab as materialized (select list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as crc),
+t as (select doc_id, row_number() over () as r, octet_length(encode(coalesce(text, '')))::bigint as n, hex(encode(coalesce(text, ''))) as h from documents),
+p as materialized (select doc_id, r, n, greatest(64, (n + 63) // 64 * 64) as m, h || repeat('00', (greatest(64, (n + 63) // 64 * 64) - n)::bigint) as h from t),
+b as (select r, unnest(range(0, m)) as i, h from p),
+x as (select r, i, ('0x' || substr(h, 2 * i + 1, 2))::bigint - 128 as v from b),
+f as (select r, printf('mean=%.4f;rms=%.4f;crossings=%d', sum(v) / count(*)::double, sqrt(sum(v * v) / count(*)::double), count_if((v < 0) <> (before < 0))) as feature
+  from (select *, lag(v) over (partition by r order by i) as before from x) group by r),
+le as (select r, printf('%02x%02x%02x%02x', m & 255, (m >> 8) & 255, (m >> 16) & 255, m >> 24) as size, printf('%02x%02x%02x%02x', (m + 36) & 255, ((m + 36) >> 8) & 255, ((m + 36) >> 16) & 255, (m + 36) >> 24) as riff from p)
+select doc_id, n as n_bytes, m as payload_bytes, sha256(unhex(h)) as payload_sha256,
+  xor(list_reduce(list_prepend(4294967295, list_transform(range(m - 64, m), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::bigint)), lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295) as tail_crc32,
+  m + 44 as media_bytes,
+  sha256(unhex('52494646' || riff || '57415645666d7420' || '10000000' || '0100' || '0100' || '401f0000' || '401f0000' || '0100' || '0800' || '64617461' || size || h)) as media_sha256, feature
+from p join f using (r) join le using (r) cross join tab""",
 }

@@ -309,8 +309,6 @@ def test_wrappers(spark):
     assert wrappers.extract(df.where("1 = 0")).count() == 0
 
 
-def test_texts_of_a_few_copies_stay():
-    """A quote, byline and note on six of 40 pages are the article's; a note on all pages is the template's."""
 SITES = {
     # Article in an element of its own, menus and comments around it by element or name.
     "news": "<body><div id=topNav><a href=/>x{n}</a></div><main><header><h1>{0}</h1><p>{1}</p></header><p>{2}<aside>more {n}</aside><figure><img src=a><figcaption>{3}</figcaption></figure><div class='related-stories'><p>see {n}</div></main><div class=cookieBanner>c</div></body>",
@@ -345,6 +343,8 @@ def test_deep_pages():
     assert len(wrappers.blocks("<li><b>" * 50000 + "</x>" * 50000 + "t")[0]) == 1
 
 
+def test_texts_of_a_few_copies_stay():
+    """A quote, byline and note on six of 40 pages are the article's; a note on all pages is the template's."""
     html = lambda i: f"<article><h1>t{i}</h1><p>body {i}</p>{'<blockquote>Quote</blockquote><div class=byline>By A</div>' if i < 6 else ''}<div class=end>Site</div></article>"
     wrapper = wrappers.tree(html(0))
     for i in range(1, 40):
@@ -555,12 +555,12 @@ def test_pii_equals_patterns(spark):
     for t in texts:
         assert [s for s in pii.find(t) if s[0] in pii.BASE] == base_spans(t), t
     df = spark.createDataFrame(list(enumerate(texts[:300])) + [(9000, None), (9001, "")], DOCS)
-    got = by_id(pii.digest(pii.find_pii(df.withColumn("spans", F.lit(1)))), "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+    got = by_id(pii.digest(pii.find_pii(df.withColumn("spans", F.lit(1)))), "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans")
     for i, t in [*enumerate(texts[:300]), (9000, ""), (9001, "")]:
         found = base_spans(t)
         told = ",".join(f"{k}:{a}:{b}" for k, a, b in found)
         assert got[i][:5] == (*(sum(s[0] == k for s in found) for k in PATTERNS), hashlib.sha256(told.encode()).hexdigest())
-        assert set(told.split(",")) - {""} <= set(got[i][5].split(","))
+        assert set(told.split(",")) - {""} <= set(got[i][5].split(",")) and got[i][6] == len([x for x in got[i][5].split(",") if x])
 
 
 def test_pii_extra_spans_and_redaction(spark):
