@@ -1,6 +1,8 @@
 """Hand-made cases of cleaning, gating, spans and labels."""
 
 import random
+import re
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
@@ -114,3 +116,27 @@ def test_fuzzy_labels(spark):
     df = spark.createDataFrame([(0, "Доставкка"), (1, "совсем иное"), (2, None), (3, "Цены")], "i int, raw string")
     got = {r["i"]: r["cat"] for r in labels.best_allowed(df, "raw", ["Доставка", "Цены и скидки"], "cat").collect()}
     assert got == {0: "Доставка", 1: None, 2: None, 3: "Цены и скидки"}
+
+
+def test_fuzzy_query_equals_brute_force(spark, sf):
+    """The best allowed category of all part names: prefixes in list order, else the best ratio."""
+    from opinarium.plans import catalog
+
+    allowed = ["red widgets", "blue bold", "small rings", "green gear"]
+    plain = lambda s: " ".join(re.sub(r"[^0-9a-zа-я\s]+", " ", s.lower().replace("ё", "е").strip("\"'«»`*_•-— ")).split())
+
+    def best(raw):
+        name = plain(raw)
+        if raw.strip() in allowed or not name:
+            return raw.strip() if name else None
+        for c in allowed:
+            if (len(name) >= 4 and plain(c).startswith(name)) or (len(plain(c)) >= 4 and name.startswith(plain(c))):
+                return c
+        ratios = [SequenceMatcher(None, name, plain(c)).ratio() for c in allowed]
+        return allowed[ratios.index(max(ratios))] if max(ratios) >= 0.6 else None
+
+    got = {r["p_partkey"]: (r["p_name"], r["category"]) for r in catalog.QUERIES["label_map_fuzzy"](spark, sf).collect()}
+    assert len(got) == spark.read.parquet(f"{sf}/part.parquet").count()
+    assert {k: c for k, (_, c) in got.items()} == {k: best(n) for k, (n, _) in got.items()} and len({c for _, c in got.values()}) > 1
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(["red", "red widget", "blue bolt!", "gear", "Smal ring", "", None, "green gear box", " red widgets "])], "i int, raw string")
+    assert {r["i"]: r["cat"] for r in labels.best_allowed(df, "raw", allowed, "cat").collect()} == {r["i"]: best(r["raw"] or "") for r in df.collect()}
