@@ -1,14 +1,18 @@
 """Subword encoding and decoding with a weighted finite-state transducer.
 
-The model file is compiled into arcs: the normaliser (white space to its
-mark, a mark in front), the pieces, and byte arcs for characters without a
-piece. The models of this format that merge pairs keep, for each prefix of an
-input, one segmentation whose neighbouring pieces no earlier merge would have
-joined across their boundary. That is a bigram acceptor with the weights 0
-(compatible) and infinity; composed with an input's lattice it leaves one
-path of finite weight to each position, found by relaxing arcs from left to
-right in the tropical semiring. Runs of marks have pieces of equal rank; they
-take the path of fewest arcs, longest first.
+The model file is compiled into arcs of four transducers: the normaliser's
+(white space to its mark, a mark in front), the pieces', by their last
+characters and lengths, the byte fallback's for characters without a piece,
+and those of an acceptor of neighbouring pieces. The models of this format
+that merge pairs keep, for each prefix of an input, one segmentation whose
+neighbouring pieces no earlier merge would have joined across their boundary:
+the acceptor's arcs weigh 0 where that is so and infinity elsewhere. Composed
+with an input they make a lattice whose states are a position and the piece
+that ends there; its shortest path is found by relaxing arcs from left to
+right in the tropical semiring. Weights are 0 or infinity, and of the arcs
+into a position one at most keeps a finite distance, so the first that does
+is the least. Runs of marks have pieces of equal rank; their arcs weigh 1 each
+and the longest come first.
 
 No piece spans a character pair that is within no piece, so paths decompose
 at such cuts, and the shortest paths of the parts between them are cached.
@@ -33,6 +37,8 @@ from pyspark.sql import types as T
 from .common import add_columns
 
 MARK = "▁"
+#: The tropical semiring: weights add along a path, the least of all paths counts. Its one, and its zero.
+FREE, NEVER = 0.0, float("inf")
 NORMAL, BYTE = 1, 6
 #: Paths that are kept, of parts and words up to KEPT characters.
 CACHE, KEPT = 500_000, 48
@@ -102,7 +108,9 @@ class Transducer:
         self.runs = {n: self.ids[MARK * n] for n in range(1, self.longest + 1) if MARK * n in self.ids}
         self.order = {name: -score for name, score in self.rank.items()}
         self.split: dict[str, tuple[str, str]] = {}
-        self.fits: dict[tuple[str, str], bool] = {}
+        self.normal = [(" ", MARK)]
+        self.spelling: dict[str, bytes] = {}
+        self.weights: dict[tuple[str, str], float] = {}
         self.parts: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
@@ -127,22 +135,22 @@ class Transducer:
             found = self.split[piece] = (out[0], out[1])
         return found
 
-    def compatible(self, left: str, right: str) -> bool:
-        """Whether the acceptor has an arc of weight 0 from left to right.
+    def weight(self, left: str, right: str) -> float:
+        """The weight of the acceptor's arc from left to right.
 
         Merges are undone from the latest on, on either side of the boundary;
-        the arc is missing if what then meets there would have merged earlier.
+        the arc never counts if what then meets there would have merged earlier.
         """
         key = (left, right)
-        found = self.fits.get(key)
+        found = self.weights.get(key)
         if found is None:
-            if len(self.fits) > 2 * CACHE:
-                self.fits.clear()
-            order, limit, found = self.order, np.inf, True
+            if len(self.weights) > 2 * CACHE:
+                self.weights.clear()
+            order, limit, found = self.order, np.inf, FREE
             while (left[-1] + right[0]) in self.pairs:
                 joined = order.get(left + right)
                 if joined is not None and joined < limit:
-                    found = False
+                    found = NEVER
                     break
                 a, b = order[left] if len(left) > 1 else -1, order[right] if len(right) > 1 else -1
                 if a == b == -1:
@@ -152,15 +160,14 @@ class Transducer:
                     left, limit = self.halves(left)[1], a
                 else:
                     right, limit = self.halves(right)[0], b + 0.5
-            self.fits[key] = found
+            self.weights[key] = found
         return found
 
     def path(self, text: str) -> bytes:
         """Ids on the shortest path through a part that has no white space after its first character."""
-        n, live, sizes, fits, compatible = len(text), self.live, self.sizes, self.fits, self.compatible
-        back: list[str] = [""] * (n + 1)  # the last piece of the one finite path to each position
+        n, live, sizes, weights, weight = len(text), self.live, self.sizes, self.weights, self.weight
+        back: list[str] = [""] * (n + 1)  # the last arc of the shortest path to each position, whose distance is finite
         for end in range(1, n + 1):
-            # At most one arc into a position has a finite weight.
             for size in sizes.get(text[max(0, end - 3) : end], PAIR):
                 if size > end:
                     continue
@@ -170,8 +177,8 @@ class Transducer:
                         back[end] = piece
                         break
                     before = back[end - size]
-                    found = fits.get((before, piece))
-                    if found or (found is None and compatible(before, piece)):
+                    step = weights.get((before, piece))
+                    if (weight(before, piece) if step is None else step) < NEVER:
                         back[end] = piece
                         break
             else:
@@ -185,7 +192,10 @@ class Transducer:
 
     def spelt(self, character: str) -> bytes:
         """The byte arcs of a character without a piece."""
-        return b"".join(self.byte[b].to_bytes(4, "little") for b in character.encode("utf-8", "surrogatepass"))
+        found = self.spelling.get(character)
+        if found is None:
+            found = self.spelling[character] = b"".join(self.byte[b].to_bytes(4, "little") for b in character.encode("utf-8", "surrogatepass"))
+        return found
 
     def part(self, text: str) -> bytes:
         found = self.parts.get(text)
@@ -227,7 +237,8 @@ class Transducer:
         """The ids of a text, four bytes each, little-endian."""
         if not text:
             return b""
-        text = text.replace(" ", MARK)
+        for source, target in self.normal:
+            text = text.replace(source, target)
         if self.prefix:
             text = MARK + text
         first, *rest = text.split(MARK)
