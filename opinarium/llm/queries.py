@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hnsw, media, minhash, packing, pieces, pii, quality, repeats, urls, wrappers
+from . import hnsw, media, minhash, packing, pieces, pii, quality, repeats, spelling, urls, wrappers
 from .common import table
 
 # The rules of op3, and the hosts that its list blocks.
@@ -57,7 +57,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_embedding_graphs, op2_subword_transducer, op3_url_filter, op4_suffix_arrays, op5_wrappers, op6_minhash, op7_packing, op8_media_chunks, op9_pii, op10_quality)}
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_embedding_graphs, op2_subword_transducer, op3_url_filter, op4_suffix_arrays, op5_wrappers, op6_minhash, op7_packing, op8_media_chunks, op9_pii, op10_quality, op12_spelling_variants)}
 
 _FITS = "({0} = split_part(r.key, '/', 1) or ends_with({0}, '.' || split_part(r.key, '/', 1))) and starts_with({1}, substr(r.key, strpos(r.key, '/')))"
 _NAMED, _LISTED = _FITS.format("p.host", "p.path"), _FITS.format("p.plain", 'p."full"')
@@ -141,4 +145,24 @@ select doc_id, n as n_bytes, m as payload_bytes, sha256(unhex(h)) as payload_sha
   m + 44 as media_bytes,
   sha256(unhex('52494646' || riff || '57415645666d7420' || '10000000' || '0100' || '0100' || '401f0000' || '401f0000' || '0100' || '0800' || '64617461' || size || h)) as media_sha256, feature
 from p join f using (r) join le using (r) cross join tab""",
+    "op12_spelling_variants": r"""
+with recursive tab as materialized (select list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as crc),
+runs as (select coalesce(doc_id::varchar, '') as id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) as run from documents),
+each as (select id, run, count(*) as c from runs group by id, run),
+bytes as (select run, c, hex(encode(id || ':' || run)) as h from each),
+sums as (select run, c, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::bigint)), lambda a, b: xor(a >> 8, crc[(xor(a, b) & 255) + 1])), 4294967295) as h from bytes cross join tab),
+shortened as (select case when h % 97 = 0 then substr(run, 1, (h % length(run))::bigint) || substr(run, (h % length(run))::bigint + 2) else run end as word, c from sums),
+words as materialized (select word, sum(c)::bigint as n from shortened where length(word) >= 5 group by word having sum(c) >= 3),
+cut as materialized (select distinct word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) as rest from (select word, n, unnest(range(1, length(word) + 1)) as i from words)),
+pairs as materialized (
+  select a.word, b.word as other, b.n as m from cut a join cut b on a.i = b.i and a.rest = b.rest and a.word <> b.word
+  union select a.word, b.word, b.n from cut a join words b on a.rest = b.word
+  union select b.word, a.word, a.n from cut a join words b on a.rest = b.word),
+best as materialized (
+  select w.word, w.n, count(p.other) as n_near, arg_min(p.other, struct_pack(less := -p.m, other := p.other)) as other, max(p.m) as m
+  from words w left join pairs p using (word) group by w.word, w.n),
+judged as materialized (select word, n, n_near, case when m >= 2 * n then other end as form, case when m >= 2 * n then m end as form_n from best),
+led(word, root, depth) as (select word, word, 0 from judged union all select led.word, j.form, depth + 1 from led join judged j on j.word = led.root where j.form is not null),
+last as (select word, arg_max(root, depth) as root from led group by word)
+select word, form, root, n, n_near, form_n from judged join last using (word)""",
 }
