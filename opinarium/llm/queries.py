@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hnsw, media, minhash, packing, pieces, pii, quality, repeats, spelling, urls, wrappers
+from . import binpacking, hnsw, media, minhash, packing, pieces, pii, quality, repeats, spelling, urls, wrappers
 from .common import table
 
 # The rules of op3, and the hosts that its list blocks.
@@ -61,7 +61,11 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group_variants(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_embedding_graphs, op2_subword_transducer, op3_url_filter, op4_suffix_arrays, op5_wrappers, op6_minhash, op7_packing, op8_media_chunks, op9_pii, op10_quality, op12_spelling_variants)}
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binpacking.pack(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_embedding_graphs, op2_subword_transducer, op3_url_filter, op4_suffix_arrays, op5_wrappers, op6_minhash, op7_packing, op8_media_chunks, op9_pii, op10_quality, op12_spelling_variants, op13_best_fit_packing)}
 
 _FITS = "({0} = split_part(r.key, '/', 1) or ends_with({0}, '.' || split_part(r.key, '/', 1))) and starts_with({1}, substr(r.key, strpos(r.key, '/')))"
 _NAMED, _LISTED = _FITS.format("p.host", "p.path"), _FITS.format("p.plain", 'p."full"')
