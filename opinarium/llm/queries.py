@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import binpacking, hnsw, media, minhash, packing, pieces, pii, quality, repeats, spelling, urls, wrappers
+from . import binpacking, hnsw, lexical, media, minhash, packing, pieces, pii, quality, repeats, spelling, urls, wrappers
 from .common import table
 
 # The rules of op3, and the hosts that its list blocks.
@@ -57,6 +57,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group_variants(table(spark, sf_dir, "documents"))
 
@@ -65,7 +69,7 @@ def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binpacking.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_embedding_graphs, op2_subword_transducer, op3_url_filter, op4_suffix_arrays, op5_wrappers, op6_minhash, op7_packing, op8_media_chunks, op9_pii, op10_quality, op12_spelling_variants, op13_best_fit_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_embedding_graphs, op2_subword_transducer, op3_url_filter, op4_suffix_arrays, op5_wrappers, op6_minhash, op7_packing, op8_media_chunks, op9_pii, op10_quality, op11_lexical_search, op12_spelling_variants, op13_best_fit_packing)}
 
 _FITS = "({0} = split_part(r.key, '/', 1) or ends_with({0}, '.' || split_part(r.key, '/', 1))) and starts_with({1}, substr(r.key, strpos(r.key, '/')))"
 _NAMED, _LISTED = _FITS.format("p.host", "p.path"), _FITS.format("p.plain", 'p."full"')
@@ -149,6 +153,19 @@ select doc_id, n as n_bytes, m as payload_bytes, sha256(unhex(h)) as payload_sha
   m + 44 as media_bytes,
   sha256(unhex('52494646' || riff || '57415645666d7420' || '10000000' || '0100' || '0100' || '401f0000' || '401f0000' || '0100' || '0800' || '64617461' || size || h)) as media_sha256, feature
 from p join f using (r) join le using (r) cross join tab""",
+    "op11_lexical_search": r"""
+with d as (select doc_id, row_number() over () as r, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from documents),
+tf as materialized (select r, any_value(doc_id) as doc_id, term, count(*) as tf from d group by r, term),
+len as materialized (select r, sum(tf)::bigint as n from tf group by r),
+total as (select count(*)::bigint as nd, sum(n)::bigint as nt from len),
+df as (select term, count(*) as df from tf group by term),
+i as (select item_id, row_number() over () as q, unnest(list_distinct(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) as term from benchmark),
+w as (select item_id, q, term, floor(1000 * ln((2 * nd + 2)::double / (2 * df + 1)::double))::bigint as w from i join df using (term) cross join total),
+s as (
+  select q, any_value(item_id) as item_id, r, any_value(doc_id) as doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * nd) // nt))))::bigint as score
+  from w join tf using (term) join len using (r) cross join total group by q, r),
+ranked as (select *, row_number() over (partition by q order by score desc, doc_id nulls last) as rank from s where score > 0)
+select item_id, rank::int as rank, doc_id, score from ranked where rank <= 50""",
     "op12_spelling_variants": r"""
 with recursive tab as materialized (select list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as crc),
 runs as (select coalesce(doc_id::varchar, '') as id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) as run from documents),
