@@ -26,6 +26,7 @@ import bisect
 import json
 import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
@@ -43,7 +44,7 @@ BLOCK = 1 << 14
 #: What is tried: pieces longer than a share of the capacity are put into so many groups.
 TRIES = ((1 / 5, 16), (1 / 5, 64), (1 / 8, 64))
 #: Chunks and words whose ids a worker keeps, each in a fresh and an old half.
-KEPT = 300_000
+KEPT = 600_000
 
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 PIECES = SCHEMA.replace("sequence_id long, offset long", "sequence_id long, deal long")
@@ -82,7 +83,7 @@ class Words:
         found = self.words.get(word)
         if found is None:
             tokens = self.model.tokenize(word if word.isascii() and word.isprintable() else "".join([self.letters[b] for b in word.encode()]))
-            found = np.array([t.id for t in tokens], "<u4").tobytes()
+            found = array("I", [t.id for t in tokens]).tobytes()
             if len(word) <= 64:
                 if len(self.words) >= KEPT:
                     self.words.clear()
@@ -92,7 +93,7 @@ class Words:
     def chunk(self, chunk: str) -> bytes:
         found = self.old.get(chunk)
         if found is None:
-            found = b"".join(map(self.word, WORD.findall(chunk)))
+            found = self.word(chunk) if chunk.isalpha() else b"".join(map(self.word, WORD.findall(chunk)))
         if len(chunk) <= 64:
             if len(self.young) >= KEPT:
                 self.old, self.young = self.young, {}
