@@ -35,7 +35,7 @@ LEAST_LETTERS, LEAST_COUNT = 5, 3
 NOISE = 97
 LONG = 64
 #: Keys in a radix partition, about, and words whose keys are dealt to the partitions at once.
-KEYS, WORDS = 1 << 20, 1 << 17
+KEYS, WORDS = 1 << 19, 1 << 16
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RUN = "[a-zÀ-ÿ]+"
