@@ -38,7 +38,7 @@ from .common import importable, mix, powers, slices, text_column, written
 
 CLUSTER = 64
 #: A shard is closed at so many documents or distinct terms of documents.
-SHARD_DOCS, SHARD_POSTINGS = 4096, 1 << 20
+SHARD_DOCS, SHARD_POSTINGS = 2048, 1 << 19
 #: Rounds of swaps for each halving.
 ROUNDS = 5
 #: Items searched for at once, and shards visited first for each.
@@ -74,7 +74,7 @@ def postings_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     order = order[np.argsort(doc[order].astype(np.uint16 if len(texts) < 1 << 16 else np.int64), kind="stable")]
     term, doc = term[order], doc[order]
     first = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (doc[1:] != doc[:-1])]) if len(term) else [])
-    return doc[first], term[first], np.diff(np.append(first, len(term))), lengths
+    return doc[first].astype(np.int32), term[first], np.diff(np.append(first, len(term))).astype(np.int32), lengths
 
 
 def bisect(doc: np.ndarray, term: np.ndarray, n: int, cluster: int = CLUSTER, rounds: int = ROUNDS) -> np.ndarray:
@@ -180,14 +180,14 @@ def build_index(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shard
                 yield pa.RecordBatch.from_pylist([row], schema)
 
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
+            for part in slices(batch, "text", 1 << 20):
                 texts = part.column("text").cast(pa.binary()).to_pylist()
                 keys = part.column("doc_id").to_pylist()
                 for a in range(0, len(texts), shard_docs):
                     if ids and (len(ids) + len(texts[a : a + shard_docs]) > shard_docs or sum(len(x[0]) for x in held) >= SHARD_POSTINGS):
                         yield from close()
                     doc, term, count, lengths = postings_of(texts[a : a + shard_docs])
-                    held.append((doc + len(ids), term, count, lengths))
+                    held.append((doc + np.int32(len(ids)), term, count, lengths))
                     ids.extend(keys[a : a + shard_docs])
         yield from close()
 
