@@ -2,11 +2,15 @@
 
 A token of a text stays iff some centre is at most ``half`` tokens away:
 that equals merging the windows around all centres, since what is left is
-cut into tokens again.
+cut into tokens again. Matches are marked in the text, which is then cut into
+tokens once, so that the work is in proportion to the text, however many
+matches it has.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,21 +26,26 @@ def sentences(col: Column) -> Column:
     return F.filter(F.transform(parts, ustrip), lambda s: s != "")
 
 
-def match_starts(col: Column, pattern: str) -> Column:
-    """Places (from 0, code points) of all matches. The pattern must not match the empty string."""
-    regex = java(pattern, True)
-    found = F.regexp_extract_all(col, F.lit(regex), F.lit(0))
-    gaps = F.split(col, regex, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-    step = lambda acc, x: F.struct((acc["at"] + F.length(x["gap"]) + F.length(x["found"])).alias("at"), F.array_append(acc["out"], acc["at"] + F.length(x["gap"])).alias("out"))
-    # The gap after the last match has no match beside it.
-    pairs = F.filter(F.zip_with(gaps, found, lambda g, m: F.struct(g.alias("gap"), m.alias("found"))), lambda x: x["found"].isNotNull())
-    return F.aggregate(pairs, start, step)["out"]
+#: Put before each match; no character, and no part of a token.
+MARK = "\ufdd0"
+
+
+def centres(col: Column, pattern: str) -> Column:
+    """The numbers (from 0, rising) of the tokens at or before the start of a match; the first if there is none before.
+
+    The pattern must not match the empty string.
+    """
+    one = TOKEN[1:-2]
+    marked = F.regexp_replace(F.replace(col, F.lit(MARK), F.lit(" ")), java(pattern, True), f"{MARK}$0")
+    # A token, and what stands between it and the next one as far as the last mark that isn't the next one's.
+    element = f"[{one}{MARK}]*[{one}][{one}{MARK}]*(?:[^{one}]*{MARK}(?![{one}]))?"
 
+    def numbers(text: Column) -> Column:
+        places = F.transform(F.regexp_extract_all(text, F.lit(element), F.lit(0)), lambda e, i: F.when(e.contains(MARK), i))
+        before = F.when(text.rlike(rf"\A[^{one}]*{MARK}(?![{one}])"), F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
+        return F.array_union(before, F.filter(places, lambda p: p.isNotNull()))
 
-def token_index(col: Column, at: Column) -> Column:
-    """The token (from 0) at a place, or the one before; the first if there is none."""
-    return F.greatest(F.size(F.regexp_extract_all(F.substring(col, F.lit(1), at + 1), F.lit(TOKEN), F.lit(0))) - 1, F.lit(0))
+    return let(marked, numbers)
 
 
 def last(toks: Column, n: int) -> Column:
@@ -44,9 +53,18 @@ def last(toks: Column, n: int) -> Column:
 
 
 def window_tokens(toks: Column, centres: Column, most: int, half: int = HALF) -> Column:
-    """The last most of the tokens within half tokens of a centre (token numbers)."""
-    near = lambda cs: F.filter(toks, lambda t, i: F.exists(cs, lambda c: F.abs(i - c) <= half))
-    return F.array_join(last(let(centres, near), most), " ")
+    """The last most of the tokens within half tokens of a centre (token numbers, rising).
+
+    Each centre adds what no centre before it has, so windows are merged as they are cut.
+    """
+    def own(cs: Column) -> Callable[[Column, Column], Column]:
+        def cut(c: Column, i: Column) -> Column:
+            start = F.greatest(c - half, F.get(cs, i - 1) + half + 1, F.lit(0))
+            return F.slice(toks, start + 1, c + half + 1 - start)
+
+        return cut
+
+    return F.array_join(last(let(centres, lambda cs: F.flatten(F.transform(cs, own(cs)))), most), " ")
 
 
 def fixed_window(centre: Column, n: Column, most: int) -> Column:
@@ -78,11 +96,10 @@ def by_sentences(col: Column, brand: str, most: int, stop: list[str] = words.STO
 def relevant_span(col: Column, brand: str, most: int, topic: str | None = None, topics: dict[str, list[str]] = words.TOPICS, half: int = HALF) -> Column:
     """A text of up to most tokens as it is; else windows around brand (and topic) matches, else sentences."""
     def cut(text: Column, toks: Column) -> Column:
-        places = match_starts(text, brand)
+        places = centres(text, brand)
         if topic in topics:
-            places = F.array_union(places, match_starts(text, alternatives(topics[topic])))
-        centres = F.array_sort(F.array_distinct(F.transform(places, lambda p: token_index(text, p))))
-        return let(centres, lambda cs: F.when(F.size(cs) > 0, window_tokens(toks, cs, most, half)).otherwise(by_sentences(text, brand, most)))
+            places = F.sort_array(F.array_union(places, centres(text, alternatives(topics[topic]))))
+        return let(places, lambda cs: F.when(F.size(cs) > 0, window_tokens(toks, cs, most, half)).otherwise(by_sentences(text, brand, most)))
 
     def span(text: Column) -> Column:
         return let(tokens(text), lambda toks: F.when(F.size(toks) <= most, ustrip(text)).otherwise(cut(text, toks)))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .regexes import let
+
 EPSILON = 1e-12
 
 
@@ -22,4 +24,4 @@ def norm(col: Column) -> Column:
 
 def l2_normalize(col: Column) -> Column:
     """col over its length plus a tiny number, so that zero stays zero."""
-    return F.transform(doubles(col), lambda x: x / (norm(doubles(col)) + EPSILON))
+    return let(doubles(col), lambda v: let(norm(v) + EPSILON, lambda length: F.transform(v, lambda x: x / length)))

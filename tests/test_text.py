@@ -2,12 +2,13 @@
 
 import random
 import re
+import time
 from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
 
-from opinarium.functions import answers, labels, prompts, spans, text, words
+from opinarium.functions import answers, labels, prompts, spans, text, vectors, words
 from opinarium.functions.regexes import compiles, java, literal, ustrip
 
 BRAND = words.DEFAULT_BRAND[0]
@@ -81,11 +82,39 @@ def test_windows_equal_merged_intervals(spark):
         assert got[i] == " ".join(kept[-25:])
 
 
-def test_place_between_tokens(spark):
-    df = spark.createDataFrame([("аб, вг!",)], "x string")
-    at = lambda p: spans.token_index(F.col("x"), F.lit(p))
-    assert list(df.select(*(at(p) for p in (0, 2, 3, 4, 6, 50))).first()) == [0, 0, 0, 1, 1, 1]
-    assert df.select(spans.match_starts(F.col("x"), "[бг]")).first()[0] == [1, 5]
+def plain_centres(t, pattern):
+    """By tokenising each prefix."""
+    return sorted({max(0, len(re.findall(text.TOKEN, t[: m.start() + 1])) - 1) for m in re.finditer(pattern, t, re.IGNORECASE)})
+
+
+def test_places_between_tokens(spark):
+    assert column(spark, ["аб, вг!"], lambda c: spans.centres(c, "[бг]")) == [[0, 1]]
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("аб1 ,-!\n\ufdd0€B") for _ in range(rng.randrange(40))) for _ in range(300)] + ["", "-", "-б", "б-", ",-,", "а" * 50]
+    for pattern in ("б", "-", "[-,]", "-+б", r"\bа", "аб|,", "€", ".", r"(?<!а)б(?=б)"):
+        assert column(spark, texts, lambda c: spans.centres(c, pattern)) == [plain_centres(t.replace("\ufdd0", " "), pattern) for t in texts], pattern
+
+
+@pytest.mark.parametrize("mention, between", [("brand", " слово"), ("brand", ""), ("-", "а-"), ("brand", " одно два три четыре пять" * 50)])
+def test_spans_of_many_mentions_take_linear_time(spark, mention, between):
+    """8,000 mentions, also within one token; the time hardly differs from that of 1,000."""
+    df = spark.createDataFrame([(n, f"начало {mention}{between}" * n) for n in (8000 if len(between) < 50 else 800,)], "n int, x string").cache()
+    df.count()
+    out = df.select(spans.relevant_span(F.col("x"), mention, 25))
+    out.collect()
+    began = time.perf_counter()
+    out.collect()
+    assert time.perf_counter() - began < 2
+
+
+def test_long_vectors_are_normalised_in_linear_time(spark):
+    df = spark.range(2000).select(F.transform(F.sequence(F.lit(1), F.lit(1536)), lambda x: (x + F.col("id")) % 7).alias("v")).cache()
+    df.count()
+    out = df.select(F.element_at(vectors.l2_normalize(F.col("v")), 1).alias("first"))
+    out.collect()
+    began = time.perf_counter()
+    got = out.collect()
+    assert time.perf_counter() - began < 2 and abs(got[0][0] - 1 / sum(((x) % 7) ** 2 for x in range(1, 1537)) ** 0.5) < 1e-12
 
 
 def test_sentences_without_brand_keep_the_tail(spark):
