@@ -606,12 +606,12 @@ def counts_by_month_and_source(spark, sf_dir):
 # --- files ---
 
 
-@query("select doc_id::varchar as doc_id, text, md5(text) as md5 from documents where text <> ''")
+@query("select doc_id::varchar as doc_id, text, md5(text) as md5 from documents")
 def csv_round_trip(spark, sf_dir):
-    """Written as CSV and read again: separator sniffed, line ends and quotes within fields."""
+    """Written as CSV and read again by byte ranges: separator sniffed, line ends and quotes within fields, empty texts kept apart from nulls."""
     path = f"{shared_dir(spark)}/csv/{uuid.uuid4().hex}.csv"
-    write_csv(documents(spark, sf_dir).where("text <> ''"), path)
-    return read_table(spark, path, "doc_id", "text").withColumn("md5", F.md5("text"))
+    write_csv(documents(spark, sf_dir), path)
+    return read_table(spark, path, "doc_id", "text", keep_empty=True).withColumn("md5", F.md5("text"))
 
 
 @query(ORACLES["class_centroids_k1"])

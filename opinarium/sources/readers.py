@@ -7,6 +7,7 @@ import csv
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.config import require_columns
+from .records import MISSING, OPTIONS, read_split
 
 SNIFFED = 64 << 10
 SEPARATORS = ",;\t|"
@@ -59,13 +60,16 @@ def separator(sample: str, fallback: bool = True) -> str:
     return ";" if ";" in first else ","
 
 
-def read_csv(spark: SparkSession, path: str, sep: str | None = None, fallback: bool = True, multi_line: bool = True) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, sep: str | None = None, fallback: bool = True, multi_line: bool = True, keep_empty: bool = False) -> DataFrame:
     """All columns as text; quoted fields may hold doubled quotes and, unless multi_line is off, line ends; a byte-order mark is dropped.
 
-    With line ends in fields a file is one task. Where large files have none, multi_line=False splits them.
+    Files are read by byte ranges either way; where no field holds a line end, multi_line=False saves a pass over them.
+    keep_empty: quoted empty cells are empty texts, and only unquoted ones are missing.
     """
     sep = sep or separator(_head(spark, path), fallback)
-    return spark.read.csv(path, header=True, sep=sep, quote='"', escape='"', multiLine=multi_line, encoding="utf-8")
+    if multi_line:
+        return read_split(spark, path, sep, keep_empty)
+    return spark.read.csv(path, header=True, sep=sep, encoding="utf-8", **OPTIONS, **({"nullValue": MISSING} if keep_empty else {}))
 
 
 def read_excel(spark: SparkSession, path: str) -> DataFrame:
@@ -75,7 +79,7 @@ def read_excel(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(pd.read_excel(path, engine="openpyxl").astype(object).where(lambda d: d.notna(), None))
 
 
-def read_table(spark: SparkSession, path: str, *required: str, fallback: bool = True, multi_line: bool = True) -> DataFrame:
+def read_table(spark: SparkSession, path: str, *required: str, fallback: bool = True, multi_line: bool = True, keep_empty: bool = False) -> DataFrame:
     """A table by its extension, with its required columns checked."""
     name = path.lower().rstrip("/")
     if name.endswith((".xlsx", ".xls")):
@@ -85,6 +89,6 @@ def read_table(spark: SparkSession, path: str, *required: str, fallback: bool =
     elif name.endswith((".json", ".jsonl", ".ndjson")):
         out = spark.read.json(path)
     else:
-        out = read_csv(spark, path, fallback=fallback, multi_line=multi_line)
+        out = read_csv(spark, path, fallback=fallback, multi_line=multi_line, keep_empty=keep_empty)
     require_columns(out, *required)
     return out
