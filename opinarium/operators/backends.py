@@ -214,3 +214,22 @@ def embedded(df: DataFrame, row_id: str, text: str, backend: Embedder, batch_siz
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.float32()))], names=["row_id", "vector"])
 
     return df.select(df[row_id].cast("long").alias("row_id"), df[text].alias("text")).mapInArrow(run, "row_id long, vector array<float>")
+
+
+def with_vectors(df: DataFrame, text: str, backend: Embedder, to: str = "vector", batch_size: int = 128) -> DataFrame:
+    """df with to, the text's vector, null for rows without a text: no join, and df is evaluated once."""
+    importable(df.sparkSession)
+    schema = T.StructType([*df.schema.fields, T.StructField(to, T.ArrayType(T.FloatType()))])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(text).to_pylist()
+            rows = [n for n, t in enumerate(texts) if t is not None]
+            found: list = [None] * len(texts)
+            for start in range(0, len(rows), batch_size):
+                part = rows[start : start + batch_size]
+                for n, v in zip(part, backend.embed([texts[n] for n in part]), strict=True):
+                    found[n] = v
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.float32()))], names=schema.names)
+
+    return df.mapInArrow(run, schema)

@@ -12,6 +12,7 @@ from ..functions.labels import best_allowed
 from ..functions.regexes import ustrip
 from ..plans.config import BrandProfile, CategoryConfig, Hook, require_columns
 from . import models, retrieval
+from .answerlog import AnswerLog
 from .backends import Classifier, Embedder, classified, embedded
 from .merge import last_answers
 from .metrics import says
@@ -78,7 +79,7 @@ def vote(neighbours: Column) -> Column:
     return F.array_max(ranked)["c"]
 
 
-def asked_model(items: DataFrame, row_id: str, txt: str, user_prompt: str, model: models.Model, allowed: list[str] | None = None, neighbours: str | None = None, config: CategoryConfig = CategoryConfig()) -> DataFrame:
+def asked_model(items: DataFrame, row_id: str, txt: str, user_prompt: str, model: models.Model, allowed: list[str] | None = None, neighbours: str | None = None, config: CategoryConfig = CategoryConfig(), log: AnswerLog | None = None) -> DataFrame:
     """(row_id, answer, pos, latency_s): a language model's category for items.
 
     A batch's prompt has the user's prompt, the allowed categories and each
@@ -86,7 +87,7 @@ def asked_model(items: DataFrame, row_id: str, txt: str, user_prompt: str, model
     """
     block = prompts.category_item(F.col(row_id), F.col(txt), F.col(neighbours) if neighbours else None)
     prompt = lambda items: prompts.category_prompt(user_prompt, F.transform(items, lambda x: x["txt"]), allowed)
-    return models.answers(items.withColumn("_item", block), row_id, "_item", prompts.CATEGORY_SYSTEM, prompt, model, answers.CATEGORY, "category", config.batch_size, config.workers)
+    return models.answers(items.withColumn("_item", block), row_id, "_item", prompts.CATEGORY_SYSTEM, prompt, model, answers.CATEGORY, "category", config.batch_size, config.workers, log)
 
 
 def mapped(told: DataFrame, row_id: str, allowed: list[str]) -> DataFrame:
@@ -95,7 +96,7 @@ def mapped(told: DataFrame, row_id: str, allowed: list[str]) -> DataFrame:
     return best_allowed(found, "answer", allowed, "_mapped").select(row_id, F.coalesce("_mapped", "answer").alias("answer")) if allowed else found
 
 
-def tag(df: DataFrame, row_id: str, user_prompt: str, profile: BrandProfile, backend: Classifier | models.Model | None = None, index: DataFrame | None = None, embedder: Embedder | None = None, config: CategoryConfig = CategoryConfig(), preprocess: Hook | None = None) -> DataFrame:
+def tag(df: DataFrame, row_id: str, user_prompt: str, profile: BrandProfile, backend: Classifier | models.Model | None = None, index: DataFrame | None = None, embedder: Embedder | None = None, config: CategoryConfig = CategoryConfig(), preprocess: Hook | None = None, log: AnswerLog | None = None) -> DataFrame:
     """df with the predicted category and its source.
 
     Rows that are dropped or empty are skipped before any embedding. With an
@@ -122,7 +123,7 @@ def tag(df: DataFrame, row_id: str, user_prompt: str, profile: BrandProfile, bac
             raise ValueError("a backend or an index is needed")
         told = items.select(row_id, vote(F.col("neighbours")).alias("answer"), F.lit(0).alias("pos"))
     elif hasattr(backend, "ask"):
-        told = asked_model(items, row_id, "_text", user_prompt, backend, allowed, "neighbours" if index is not None else None, config)
+        told = asked_model(items, row_id, "_text", user_prompt, backend, allowed, "neighbours" if index is not None else None, config, log)
     else:
         asked = items.withColumn("_item", prompts.category_item(F.col(row_id), F.col("_text"), F.col("neighbours") if index is not None else None))
         told = classified(asked, row_id, "_item", backend, config.batch_size).select(F.col("row_id").alias(row_id), "answer", F.struct("batch", "pos").alias("pos"))

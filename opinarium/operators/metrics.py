@@ -1,8 +1,10 @@
-"""Counts and rates as one-row tables."""
+"""Counts and rates as one-row tables, or carried by the job that makes the rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.regexes import ustrip
@@ -14,6 +16,39 @@ def says(col: Column, word: str) -> Column:
     return F.coalesce(F.lower(ustrip(given(col))) == word, F.lit(False))
 
 
+class Counts:
+    """Aggregates that a job's own pass computes: what of() returns carries them, and result() has them once an action on it has ended.
+
+    Only the first action counts; nothing is computed again for them.
+    """
+
+    def __init__(self):
+        self.seen: list[Observation] = []
+
+    def of(self, df: DataFrame, *aggregates: Column) -> DataFrame:
+        self.seen.append(Observation())
+        return df.observe(self.seen[-1], *aggregates)
+
+    def result(self) -> dict:
+        """All aggregates by their names; it waits for the action."""
+        return {k: v for seen in self.seen for k, v in seen.get.items()}
+
+
+def with_job_counts(df: DataFrame, counts: Counts, sentiment: str | None = None) -> DataFrame:
+    """A finished job's rows (with is_drop and rule_code), which carry their counts: rows, drops, keeps, rule_drops and sentiments."""
+    says_drop = says(F.col("is_drop"), "yes")
+    labels = [F.count_if(F.col(sentiment) == s).alias(s) for s in ("positive", "negative", "neutral")] if sentiment else []
+    return counts.of(df, F.count("*").alias("rows"), F.count_if(says_drop).alias("drops"), F.count_if(~says_drop).alias("keeps"), F.count("rule_code").alias("rule_drops"), *labels)
+
+
+def job_counts(counts: Counts, seconds: float | None = None, batch_size: int = 6) -> dict:
+    """What counts has seen, with llm_calls and, for the seconds that the job took, rates."""
+    out = counts.result()
+    if "rule_drops" in out:
+        out["llm_calls"] = out.pop("batches", math.ceil((out["rows"] - out["rule_drops"]) / batch_size))
+    return out | ({"total_s": seconds, "comments_per_s": out["rows"] / max(seconds, 1e-9)} if seconds is not None else {})
+
+
 def rule_stats(df: DataFrame, batch_size: int = 6) -> DataFrame:
     """rows, rule_drops and llm_calls of a table with rule_code."""
     drops = F.count("rule_code")

@@ -16,8 +16,8 @@ from .retrieval import top_k
 CLASSES = 3
 #: The score of a class without prototypes.
 ABSENT = -1e9
-#: Prototype components up to this many become literals of the scoring expression; beyond it they are joined.
-LITERAL_COMPONENTS = 4096
+#: Prototypes up to so many components and rows become literals of the scoring expression; beyond it they are joined.
+LITERAL_COMPONENTS, LITERAL_ROWS = 4096, 256
 #: Beyond the literals, up to this many (32 MB) are broadcast.
 BROADCAST_COMPONENTS = 4 << 20
 
@@ -90,8 +90,9 @@ def predict(df: DataFrame, vector: str, prototypes: DataFrame, normalize: bool =
     """
     x = l2_normalize(F.col(vector)) if normalize else doubles(F.col(vector))
     names = ["s_negative", "s_neutral", "s_positive"]
-    size = prototypes.agg(F.coalesce(F.sum(F.size("centroid")), F.lit(0))).first()[0]
-    if size > LITERAL_COMPONENTS:
+    few = prototypes.select("class_id", "centroid").limit(LITERAL_ROWS + 1).collect()
+    if len(few) > LITERAL_ROWS or sum(len(r["centroid"]) for r in few) > LITERAL_COMPONENTS:
+        size = prototypes.agg(F.coalesce(F.sum(F.size("centroid")), F.lit(0))).first()[0]
         if size > BROADCAST_COMPONENTS:
             return _predicted_in_blocks(df, vector, prototypes, normalize, names)
         small = prototypes.agg(F.collect_list(F.struct("class_id", F.col("centroid").alias("c"))).alias("_protos"))
@@ -99,12 +100,11 @@ def predict(df: DataFrame, vector: str, prototypes: DataFrame, normalize: bool =
         score = lambda c: F.coalesce(F.array_max(F.transform(F.filter("_protos", lambda p: p["class_id"] == c), lambda p: dot(F.col("_x"), p["c"]))), F.lit(ABSENT))
         out = out.withColumns({n: score(c) for c, n in enumerate(names)}).drop("_protos", "_x")
     else:
-        rows = prototypes.select("class_id", "centroid").collect()  # LITERAL_COMPONENTS at most
         literal = lambda m: F.array(*(F.lit(float(v)) for v in m))
         out = df.withColumn("_x", x)
         scores = {}
         for c, n in enumerate(names):
-            sims = [dot(F.col("_x"), literal(r["centroid"])) for r in rows if r["class_id"] == c]
+            sims = [dot(F.col("_x"), literal(r["centroid"])) for r in few if r["class_id"] == c]
             scores[n] = (F.greatest(*sims) if len(sims) > 1 else sims[0]) if sims else F.lit(ABSENT)
         out = out.withColumns(scores).drop("_x")
     pred, sim = _predicted([F.col(n) for n in names])

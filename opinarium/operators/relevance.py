@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import answers, prompts, spans, text
 from ..plans.config import BrandProfile, Hook, PipelineConfig
 from . import models
+from .answerlog import AnswerLog
 from .backends import Classifier, answered
 from .merge import merge_actions
+from .metrics import Counts
 from .rules import sure_drop
 
 
@@ -30,24 +32,26 @@ def with_rule_columns(df: DataFrame, profile: BrandProfile, config: PipelineConf
     return out.withColumns({"rule_code": F.col("_rule.rule_code"), "pattern": F.col("_rule.pattern"), "asked": F.col("_rule").isNull()}).drop("_rule")
 
 
-def asked_model(items: DataFrame, row_id: str, txt: str, profile: BrandProfile, model: models.Model, config: PipelineConfig = PipelineConfig(), template: str = prompts.SYSTEM_TEMPLATE) -> DataFrame:
+def asked_model(items: DataFrame, row_id: str, txt: str, profile: BrandProfile, model: models.Model, config: PipelineConfig = PipelineConfig(), template: str = prompts.SYSTEM_TEMPLATE, log: AnswerLog | None = None, counts: Counts | None = None) -> DataFrame:
     """(row_id, answer, pos, latency_s): a language model's keep or drop for items, by the brand's system prompt and batches of numbered lines."""
-    found = models.answers(items, row_id, txt, profile.system_prompt(template), prompts.line_prompt, model, answers.RELEVANCE, "action", config.batch_size, config.workers)
+    model = models.configured(model, temperature=config.temperature)
+    found = models.answers(items, row_id, txt, profile.system_prompt(template), prompts.line_prompt, model, answers.RELEVANCE, "action", config.batch_size, config.workers, log, counts)
     return found.where(F.col("answer").isin("keep", "drop"))
 
 
-def classify(df: DataFrame, row_id: str, profile: BrandProfile, backend: Classifier | models.Model, config: PipelineConfig = PipelineConfig(), script: str | None = text.CYRILLIC, template: str = prompts.SYSTEM_TEMPLATE, preprocess: Hook | None = None) -> DataFrame:
+def classify(df: DataFrame, row_id: str, profile: BrandProfile, backend: Classifier | models.Model, config: PipelineConfig = PipelineConfig(), script: str | None = text.CYRILLIC, template: str = prompts.SYSTEM_TEMPLATE, preprocess: Hook | None = None, log: AnswerLog | None = None, counts: Counts | None = None) -> DataFrame:
     """df with text_rule, rule_code, pattern, asked, action (keep or drop) and is_drop (Yes or No).
 
     Only rows that no rule drops are preprocessed (by preprocess, if given)
     and reach the backend, a classifier or a language model; rows it doesn't
-    answer for are kept.
+    answer for are kept. log: a language model isn't asked again for what the
+    log has. counts: takes the number and latency of its batches.
     """
     models.require_ready(backend)
     ruled = with_rule_columns(df, profile, config)
     txt = preprocess(F.col("text_rule")) if preprocess else for_model(F.col("text_rule"), profile, config.max_words, config.extra_brand_patterns, script)
     if hasattr(backend, "ask"):
-        found = asked_model(ruled.where("asked").select(row_id, txt.alias("txt")), row_id, "txt", profile, backend, config, template)
+        found = asked_model(ruled.where("asked").select(row_id, txt.alias("txt")), row_id, "txt", profile, backend, config, template, log, counts)
         out = merge_actions(ruled, found.select(row_id, F.col("answer").alias("action"), "pos"), row_id)
     else:
         told = answered(ruled.withColumn("_txt", F.when(F.col("asked"), txt)), row_id, "_txt", backend, config.batch_size, "_told")

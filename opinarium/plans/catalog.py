@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 
 from ..functions import answers, labels, prompts, spans, text, vectors
 from ..operators import batching, categories, merge, metrics, models, prototypes, relevance, retrieval, rules, sentiment
+from ..operators.answerlog import AnswerLog
 from ..operators.backends import AliasMatch, ApiEmbedder, FirstToken, HashingEmbedder, embedded
-from ..session import shared_dir
+from ..session import shared_dir, written
 from ..sources.readers import read_table, scan
 from ..sources.writers import details, preview, write_csv
 from . import fixtures as fx
 from .config import PipelineConfig, SentimentConfig
+from .pipeline import comment_job, comment_stats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -297,6 +299,28 @@ def relevance_summary(spark, sf_dir):
     return metrics.drop_counts(_job(spark, sf_dir))
 
 
+@query(
+    "select count(*) as rows, count_if(action = 'drop')::bigint as drops, count_if(action <> 'drop')::bigint as keeps, count_if(not asked)::bigint as rule_drops, ceil(count_if(asked) / 6.0)::bigint as llm_calls from ("
+    + ORACLES["relevance_job"] + ")"
+)
+def job_counts(spark, sf_dir):
+    """The counts that the job's own pass makes while its rows are written: one run for results and statistics."""
+    counts = metrics.Counts()
+    backend = models.PatternModel(fx.KEPT_WORDS)
+    written(comment_job(cyrillic(spark, sf_dir), fx.PROFILE, backend, config=PipelineConfig(max_words=60), row_id="doc_id", counts=counts), "comments")
+    found = comment_stats(counts)
+    return spark.createDataFrame([tuple(found[k] for k in ("rows", "drops", "keeps", "rule_drops", "llm_calls"))], "rows long, drops long, keeps long, rule_drops long, llm_calls long")
+
+
+@query(ORACLES["relevance_job"])
+def relevance_logged(spark, sf_dir):
+    """The job with a language model whose answers go to a log: the second run takes all of them from there."""
+    log = AnswerLog(f"{shared_dir(spark)}/answers/{uuid.uuid4().hex}")
+    rows, config = cyrillic(spark, sf_dir), PipelineConfig(max_words=60)
+    written(relevance.classify(rows, "doc_id", fx.PROFILE, models.PatternModel(fx.KEPT_WORDS), config, log=log).select("doc_id"), "first-run")
+    return relevance.classify(rows, "doc_id", fx.PROFILE, models.PatternModel(fx.KEPT_WORDS), config, log=log).select("doc_id", "action", "asked")
+
+
 # --- batches, prompts, answers ---
 
 _TURNS = "select conv_id * 1000 + turn as row_id, text, role from conversations where role = 'user'"

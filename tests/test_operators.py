@@ -147,10 +147,13 @@ def test_jobs(spark, tmp_path):
     embedder = backends.HashingEmbedder(64)
     protos, stats = train.train(labelled, "t", "label", embedder, SentimentConfig(k_per_class=1))
     assert stats["rows_used"] == 3 and stats["classes"] == {0: 1, 1: 1, 2: 1} and stats["accuracy"] == 1
-    out = pipeline.comment_job(df, PROFILE, backends.KeepAll(), protos, embedder).cache()
+    counts = metrics.Counts()
+    out = pipeline.comment_job(df, PROFILE, backends.KeepAll(), protos, embedder, counts=counts).cache()
     got = {r["Текст"]: (r["is_drop"], r["sentiment"], r["sentiment_source"]) for r in out.collect()}
     assert got["вакансия"] == ("Yes", None, "skip_drop") and got["очень хорошо купил"][1] == "positive" and got["плохо плохо сервис"][1] == "negative" and len(got) == 4
-    assert pipeline.comment_stats(out, 2.0)["drops"] == 1
+    stats = pipeline.comment_stats(counts, 2.0)
+    assert stats == {"rows": 4, "drops": 1, "keeps": 3, "rule_drops": 1, "llm_calls": 1, "positive": stats["positive"], "negative": stats["negative"], "neutral": stats["neutral"], "total_s": 2.0, "comments_per_s": 2.0}
+    assert stats["positive"] + stats["negative"] + stats["neutral"] == 3
     assert pipeline.comment_job(df.where("1 = 0"), PROFILE, prototypes=protos, embedder=embedder).count() == 0
     assert "sentiment" not in pipeline.comment_job(df, PROFILE).columns
     one = pipeline.one_comment(spark, "хорошо купил", PROFILE, None, protos, embedder)

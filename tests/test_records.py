@@ -72,5 +72,5 @@ def test_empty_and_missing_cells(spark, tmp_path):
 
 
 def test_states_of_lines():
-    for line, plain, inside in [("a,b", False, True), ('a,"b', True, False), ('"', True, False), ('""', False, True), ('x"y', False, False), ('","', False, True), ('a"",b', False, True), ('","x","', True, True), ('"a""', True, True), ("", False, True)]:
+    for line, plain, inside in [("a,b", False, True), ('a,"b', True, False), ('"', True, False), ('""', False, True), ('x"y', False, False), ('","', False, True), ('a"",b', False, True), ('","x","', True, True), ('"a""', True, False), ("", False, True)]:
         assert (records.quoted_after(line, False, ","), records.quoted_after(line, True, ",")) == (plain, inside), line
