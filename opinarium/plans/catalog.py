@@ -496,6 +496,13 @@ def knn_topk(spark, sf_dir):
     return retrieval.top_k(asked, index, "vec_id", "embedding", 5).withColumns({"sim": F.round("sim", 6), "rank": F.col("rank").cast("long")})
 
 
+@query(ORACLES["knn_topk"])
+def knn_cells(spark, sf_dir):
+    """The same neighbours from an index in cells, of which a query visits those that may hold one of them."""
+    asked, index = _index(spark, sf_dir)
+    return retrieval.top_k_in_cells(asked, retrieval.build_cells(index), "vec_id", "embedding", 5).withColumns({"sim": F.round("sim", 6), "rank": F.col("rank").cast("long")})
+
+
 _NEAR = f"""{_KNN},
 near as (select query_id, string_agg('[пример ' || rank || '] Категория: cat' || r.label || ' | Текст: ref ' || ref_id, {NL} order by rank) as told, arg_min('cat' || r.label, rank) as category from ranked join embeddings r on r.vec_id = ref_id where rank <= 3 group by 1),
 d as (select doc_id, trim(replace(text, {NL}, ' ')) as t from documents),

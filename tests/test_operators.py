@@ -139,6 +139,34 @@ def test_top_k_equals_brute_force(spark):
         assert [sims[k] for k in found] == [sims[k] for k in near]
     assert retrieval.top_k(df.where("i < 0"), index, "i", "v").count() == 0
     assert len(got) == 40
+    for cells in (None, 1, 7, 300):
+        made = retrieval.build_cells(index, cells)
+        told = {(r["query_id"], r["rank"]): (r["ref_id"], r["sim"]) for r in retrieval.top_k_in_cells(df.where("i < 40"), made, "i", "v", 4).collect()}
+        assert len(told) == 160 == len({(q, ref) for (q, _), (ref, _) in told.items()})
+        for (q, rank), (ref, sim) in told.items():
+            sims = unit[40:] @ unit[q]
+            assert abs(sims[ref - 40] - sim) < 1e-9 and abs(np.sort(sims)[-rank] - sim) < 1e-9
+    assert retrieval.top_k_in_cells(df.where("i < 0"), retrieval.build_cells(index), "i", "v").count() == 0
+    assert retrieval.top_k_in_cells(df.where("i < 40"), retrieval.build_cells(index.limit(0)), "i", "v").count() == 0
+
+
+def test_cells_save_products_and_split_copies(spark, monkeypatch):
+    """On clustered vectors under a tenth of all products; a third of the references are copies of one."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(60, 24))
+    x = np.concatenate([centres[rng.integers(0, 60, 4000)] + 0.05 * rng.normal(size=(4000, 24)), np.repeat(centres[:1], 2000, 0)])
+    df = spark.createDataFrame([(i, v.tolist(), "c") for i, v in enumerate(x)], "i long, v array<double>, c string")
+    asked, index = df.where("i % 50 = 0"), retrieval.build_index(df, "i", "c", "c", "v")
+    monkeypatch.setattr(retrieval, "BLOCK", 300)
+    cells = retrieval.build_cells(index)
+    assert cells.shells.size.max() <= 300 and cells.rows.count() == 6000 and cells.rows.groupBy("block").count().agg(F.max("count")).first()[0] < 450
+    pairs = [v.groupBy("block").count().collect() for v in retrieval.visits(asked, cells, "i", "v", 5)]
+    products = sum(r["count"] * int(cells.shells.size[r["block"]]) for found in pairs for r in found)
+    ordinary = asked.where("i < 4000").where("v[0] <> " + repr(float(centres[0][0])))
+    few = sum(r["count"] * int(cells.shells.size[r["block"]]) for v in retrieval.visits(ordinary, cells, "i", "v", 5) for r in v.groupBy("block").count().collect())
+    assert few < 0.1 * ordinary.count() * 6000 and products < 0.4 * asked.count() * 6000
+    key = lambda d: sorted((r["query_id"], r["rank"], round(r["sim"], 9)) for r in d.collect())
+    assert key(retrieval.top_k_in_cells(asked, cells, "i", "v", 5)) == key(retrieval.top_k(asked, index, "i", "v", 5))
 
 
 def test_jobs(spark, tmp_path):
