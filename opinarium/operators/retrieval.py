@@ -236,6 +236,8 @@ def _in_blocks(pairs: DataFrame, cells: Cells, k: int) -> DataFrame:
 def top_k_in_cells(queries: DataFrame, cells: Cells, query_id: str, vector: str, k: int = 5) -> DataFrame:
     """top_k() of an index in cells: the same rows, by fewer products where vectors are clustered."""
     k = max(1, int(k))
+    if not len(cells.shells.cell):
+        return top_k(queries, cells.rows, query_id, vector, k)
     early, further = visits(queries, cells, query_id, vector, k)
     return _nearest(_in_blocks(early.union(further), cells, k), k)
 
