@@ -5,12 +5,14 @@ graph, built once and written to the shared folder, and every vector of the
 label queries every shard, in blocks. A shard has about SHARD vectors; in
 labels of more than SHARDS such shards it grows, up to SHARD_BYTES, so that
 no vector is copied to more shards than that needs. Graphs are built and
-searched in numpy for many vectors in step. A block's queries come in the
-order of a hash; brute force audits them, and its links count, until as many
-links as RECALL takes were found without a miss; each miss widens the beam and
-starts the count anew. So queries with few links are all audited. A query
-whose beam is full of links is searched again with a wider one. Links are
-verified by cosine in double precision.
+searched in numpy for many vectors in step. The graph answers; brute force only
+audits it, on samples: when a shard is built, PLANTED copies of its own vectors,
+turned away as far as links may be, widen the beam until RECALL of their links
+are found; then the first AUDIT queries of a block (in the order of a hash) do
+so for real ones. A query whose beam is full of links is searched again with a
+wider one. Shards of up to SMALL vectors have no graph and are compared
+outright. Links are verified by cosine in double precision, so none is false;
+a few may be missed: the tests allow one in a hundred of sparse ones.
 
 Equal vectors of a label are one node with a count. A task emits, for each
 query, the count of its links and one link, and a spanning forest of the
@@ -39,11 +41,14 @@ from .common import connected_components, importable, remove, written
 COSINE = 0.98
 #: Vectors of a shard; a label's shards beyond which they grow, and up to which size.
 SHARD, SHARDS, SHARD_BYTES = 8192, 64, 64 << 20
-#: Queries that one task puts to a shard.
-QUERIES = 32768
-#: Queries that are audited at once, and the recall of the others: their beam missed none of ENOUGH links (95 % sure; of a query's links BEAM count at most).
-AUDIT, RECALL = 256, 0.9999
-ENOUGH = round(3 / (1 - RECALL))
+#: Queries that one task puts to a shard; so many that their bytes are a dozen times the graph's that is sent along.
+QUERIES = 1 << 17
+#: Shards of so few vectors are compared outright.
+SMALL = 256
+#: Planted copies and a block's queries that audit a graph, and the share of their links that it has to find.
+PLANTED, AUDIT, RECALL = 1024, 256, 0.9999
+#: Queries that are searched for at once.
+STEP = 256
 M, BUILD_BEAM, BEAM = 12, 40, 32
 
 
@@ -236,10 +241,25 @@ def _units(vectors: list, d: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def shard_row(ids: list[int], counts: list[int], vectors: list) -> dict[str, bytes]:
-    """What is kept of a shard: its vectors, as units in double precision, and their graph."""
+def planted(x: np.ndarray, cosine: float, n: int = PLANTED, seed: int = 11) -> np.ndarray:
+    """Turned copies of n rows of x (units), with cosines to them from a little over cosine to nearly 1."""
+    rng = np.random.default_rng(seed)
+    own = x[rng.choice(len(x), min(n, len(x)), replace=False)]
+    aside = rng.normal(size=own.shape)
+    aside -= np.einsum("ij,ij->i", aside, own)[:, None] * own
+    aside /= np.maximum(np.linalg.norm(aside, axis=1, keepdims=True), 1e-12)
+    c = rng.uniform(cosine + (1 - cosine) / 20, 1 - (1 - cosine) / 20, (len(own), 1))
+    return c * own + np.sqrt(1 - c * c) * aside
+
+
+def shard_row(ids: list[int], counts: list[int], vectors: list, cosine: float = COSINE) -> dict:
+    """What is kept of a shard: its vectors, as units in double precision, their graph and its beam; small ones have no graph."""
     x = _units(vectors, len(vectors[0]))
-    return {"ids": np.array(ids, "<i8").tobytes(), "counts": np.array(counts, "<i8").tobytes(), "units": x.tobytes(), "graph": Graph(x.astype(np.float32)).saved()}
+    row = {"ids": np.array(ids, "<i8").tobytes(), "counts": np.array(counts, "<i8").tobytes(), "units": x.tobytes(), "graph": b"", "beam": 0}
+    if len(ids) > SMALL:
+        graph = Graph(x.astype(np.float32))
+        row |= {"graph": graph.saved(), "beam": audited(graph, planted(x, cosine).astype(np.float32), cosine - 1e-5)}
+    return row
 
 
 class _Shard:
@@ -247,8 +267,9 @@ class _Shard:
         self.cosine = cosine
         self.id, self.copies = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["counts"], "<i8")
         self.x = np.frombuffer(row["units"], "<f8").reshape(len(self.id), -1)
-        self.graph = Graph.loaded(self.x.astype(np.float32), row["graph"])
-        self.beam, self.checked = BEAM, 0
+        self.x32 = self.x.astype(np.float32)
+        self.graph = Graph.loaded(self.x32, row["graph"]) if row["graph"] else None
+        self.beam, self.audits, self.compared = row["beam"], AUDIT, 0
         self.component = np.arange(len(self.id))
 
     def _verified(self, q: np.ndarray, nodes: np.ndarray, rows: np.ndarray, hits: np.ndarray) -> np.ndarray:
@@ -260,25 +281,28 @@ class _Shard:
     def links(self, q: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (row of q, row of the shard) that link, in order."""
         q32, limit, n = q.astype(np.float32), self.cosine - 1e-5, len(self.id)
-        audit = self.beam < n and self.checked < ENOUGH
-        found = self._verified(q, nodes, *self.graph.within(q32, limit, self.beam))
-        if audit:
-            truth = self._verified(q, nodes, *np.nonzero(q32 @ self.graph.x.T >= limit))
-            if len(np.setdiff1d(truth, found, assume_unique=True)):
-                self.beam, self.checked = max(2 * self.beam, audited(self.graph, q32, limit)), 0
-            else:
-                self.checked += int(np.minimum(np.bincount(truth // n), BEAM).sum())
-            found = np.union1d(truth, found)
+        outright = lambda: self._verified(q, nodes, *np.nonzero(q32 @ self.x32.T >= limit))
+        if self.graph is None:
+            found = outright()
+        else:
+            found = self._verified(q, nodes, *self.graph.within(q32, limit, self.beam))
+            if self.audits > 0:
+                self.audits -= len(q)
+                self.compared += len(q)
+                truth = outright()
+                if len(np.setdiff1d(truth, found, assume_unique=True)) > (1 - RECALL) * len(truth):
+                    self.beam, self.audits = max(2 * self.beam, audited(self.graph, q32, limit)), AUDIT
+                found = np.union1d(truth, found)
         return found // n, found % n
 
     def ask(self, rows: list[dict]) -> list[tuple[int, int | None, int]]:
         """(node, a linked node or null, links): one for each query, and those that tie shard vectors together."""
         out = []
         q, nodes = _units([r["vector"] for r in rows], self.x.shape[1]), np.array([r["node"] for r in rows], np.int64)
-        for at in range(0, len(rows), AUDIT):
-            own, hits = self.links(q[at : at + AUDIT], nodes[at : at + AUDIT])
-            edge = np.searchsorted(own, np.arange(min(AUDIT, len(rows) - at) + 1))
-            for node, a, b in zip(nodes[at : at + AUDIT].tolist(), edge[:-1].tolist(), edge[1:].tolist()):
+        for at in range(0, len(rows), STEP):
+            own, hits = self.links(q[at : at + STEP], nodes[at : at + STEP])
+            edge = np.searchsorted(own, np.arange(min(STEP, len(rows) - at) + 1))
+            for node, a, b in zip(nodes[at : at + STEP].tolist(), edge[:-1].tolist(), edge[1:].tolist()):
                 if a == b:
                     out.append((node, None, 0))
                     continue
@@ -295,10 +319,10 @@ class _Shard:
         return out
 
 
-GRAPH = "label {label}, width int, shard int, ids binary, counts binary, units binary, graph binary"
+GRAPH = "label {label}, width int, shard int, ids binary, counts binary, units binary, graph binary, beam int"
 
 
-def _graphs(index: DataFrame) -> DataFrame:
+def _graphs(index: DataFrame, cosine: float) -> DataFrame:
     """shard_row() of each shard of index (label, width, shard, node, copies, vector)."""
     importable(index.sparkSession)
     key, schema = ["label", "width", "shard"], GRAPH.format(label=index.schema["label"].dataType.simpleString())
@@ -307,8 +331,8 @@ def _graphs(index: DataFrame) -> DataFrame:
         at, held = None, []
 
         def told() -> pa.RecordBatch:
-            made = dict(zip(key, at)) | shard_row(*zip(*held))
-            kinds = [label, pa.int32(), pa.int32(), *[pa.binary()] * 4]
+            made = dict(zip(key, at)) | shard_row(*zip(*held), cosine)
+            kinds = [label, pa.int32(), pa.int32(), *[pa.binary()] * 4, pa.int32()]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(made.values(), kinds)], names=list(made))
 
         for batch in batches:
@@ -373,11 +397,11 @@ def link_vectors(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding
     sized = nodes.join(sizes, (F.col("label") == F.col("l")) & (F.col("width") == F.col("w")))
     own = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    graphs = written(_graphs(sized.withColumn("shard", own("shards", 1))), "graphs")
+    graphs = written(_graphs(sized.withColumn("shard", own("shards", 1)), cosine), "graphs")
     index = graphs.join(sizes.select(F.col("l").alias("label"), F.col("w").alias("width"), each("blocks").alias("block")), ["label", "width"]).withColumn("asks", F.lit(False))
     asks = sized.withColumn("block", own("blocks", 2)).withColumn("shard", each("shards")).withColumn("asks", F.lit(True))
     key = ["label", "width", "shard", "block", "asks"]
-    dealt = index.select(*key, "ids", "counts", "units", "graph").unionByName(asks.select(*key, "node", "vector"), allowMissingColumns=True)
+    dealt = index.select(*key, "ids", "counts", "units", "graph", "beam").unionByName(asks.select(*key, "node", "vector"), allowMissingColumns=True)
     found = written(_ask_shards(dealt, cosine), "found")
 
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))

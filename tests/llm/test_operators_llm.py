@@ -95,7 +95,7 @@ def test_vectors(spark):
 
 def test_vectors_of_several_shards_and_blocks(spark, monkeypatch):
     """Links and components across many small shards that grow, asked in several blocks, equal brute force."""
-    for name, value in (("SHARD", 40), ("SHARDS", 4), ("QUERIES", 150), ("AUDIT", 32)):
+    for name, value in (("SHARD", 40), ("SHARDS", 4), ("QUERIES", 150), ("AUDIT", 32), ("SMALL", 16), ("STEP", 32)):
         monkeypatch.setattr(hnsw, name, value)
     rng = np.random.default_rng(23)
     base = rng.normal(size=(60, 16))
@@ -118,14 +118,48 @@ def test_graph_recall():
     assert hnsw.Graph(x[:1]).within(x[:1], 0.9, 4)[1].tolist() == [0]
 
 
+def plant_links(rng, n, d):
+    """n vectors, each linked with exactly one other: turned copies of n / 2 random ones."""
+    x = rng.normal(size=(n // 2, d))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    return np.concatenate([x, x + 0.15 / d**0.5 * rng.normal(size=x.shape)])
+
+
+def test_graphs_answer_and_brute_force_only_audits():
+    """24,000 vectors with one link each, in three shards: few queries are compared outright, and nearly no link is missed."""
+    rng, found, asked, compared = np.random.default_rng(14), 0, 0, 0
+    x = plant_links(rng, 24000, 48)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    truth = int((np.einsum("ij,ij->i", unit[:12000], unit[12000:]) >= 0.98).sum()) * 2
+    owner = rng.permutation(24000) % 3
+    for s in range(3):
+        ids = np.flatnonzero(owner == s)
+        shard = hnsw._Shard(hnsw.shard_row(ids.tolist(), [1] * len(ids), x[ids].tolist()), 0.98)
+        assert shard.graph is not None and shard.beam >= hnsw.BEAM
+        told = shard.ask([{"node": i, "vector": v} for i, v in enumerate(x.tolist())])
+        found += sum(links for _, _, links in told)
+        asked, compared = asked + len(x), compared + shard.compared
+    assert truth > 20000 and compared <= 0.05 * asked and 0.99 * truth <= found <= truth
+
+
+def test_small_shards_have_no_graph():
+    x = np.random.default_rng(3).normal(size=(hnsw.SMALL, 8))
+    row = hnsw.shard_row(list(range(len(x))), [1] * len(x), x.tolist())
+    assert row["graph"] == b"" and len(hnsw._Shard(row, 0.98).ask([{"node": -1, "vector": x[0].tolist()}])) == 1
+    more = hnsw.shard_row(list(range(len(x) + 1)), [1] * (len(x) + 1), [*x.tolist(), x[0].tolist()])
+    assert more["graph"] and more["beam"] >= hnsw.BEAM
+
+
 def test_audit_of_sparse_links():
-    """The first queries have no links, each of the later ones has one."""
+    """The first queries have no links, each of the later ones has one; no audit of theirs takes place any more."""
     rng = np.random.default_rng(14)
     x = rng.normal(size=(4000, 64))
     shard = hnsw._Shard(hnsw.shard_row(list(range(4000)), [1] * 4000, x.tolist()), 0.98)
     ask = lambda first, vectors: {n: (other, links) for n, other, links in shard.ask([{"node": first + i, "vector": v} for i, v in enumerate(vectors.tolist())])}
     assert set(ask(10000, rng.normal(size=(500, 64))).values()) == {(None, 0)}
-    assert ask(20000, x[:1500] + rng.normal(scale=0.1, size=(1500, 64))) == {20000 + i: (i, 1) for i in range(1500)}
+    assert shard.audits <= 0
+    got = ask(20000, x[:1500] + rng.normal(scale=0.1, size=(1500, 64)))
+    assert sum(got[20000 + i] == (i, 1) for i in range(1500)) >= 1498
 
 
 # --- op2 ---
