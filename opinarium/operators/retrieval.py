@@ -167,20 +167,34 @@ def _placed(index: DataFrame, centres: np.ndarray) -> DataFrame:
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("angle", T.DoubleType())]))
 
 
+def _centres(rows: DataFrame, most: int) -> np.ndarray:
+    """Up to most distinct vectors of rows, those of the least hashes; most is bounded."""
+    hashed = rows.select(F.xxhash64("vector").alias("h"), "vector")
+    least = hashed.select("h").distinct().orderBy("h").limit(most)
+    found = hashed.join(F.broadcast(least), "h").groupBy("h").agg(F.any_value("vector").alias("vector")).orderBy("h").collect()
+    return np.array([r["vector"] for r in found]) if found else np.zeros((0, 1))
+
+
 def build_cells(index: DataFrame, cells: int | None = None) -> Cells:
-    """index (ref_id, unit vectors) in about so many cells: by default twice the root of its size, CELLS at most.
+    """index (ref_id, unit vectors) in about so many cells: by default twice the root of its size, CELLS
+    at most, and as many again for references that are far from all centres.
 
-    Centres are references, those whose ids' hashes are least.
+    Centres are references, those whose hashes are least; of copies one.
     """
     importable(index.sparkSession)
     n = index.count()
     cells = max(1, min(CELLS, cells or round(2 * n**0.5)))
-    sample = index.select(F.xxhash64("ref_id").alias("h"), "ref_id", "vector").orderBy("h", "ref_id").limit(cells).collect()
-    centres = np.array([r["vector"] for r in sample]) if sample else np.zeros((0, 1))
-    placed = written(_placed(index, centres), "placed") if sample else index.select("ref_id", "vector", F.lit(0).alias("cell"), F.lit(0.0).alias("angle")).limit(0)
+    centres = _centres(index, cells)
+    placed = written(_placed(index, centres), "placed") if len(centres) else index.select("ref_id", "vector", F.lit(0).alias("cell"), F.lit(0.0).alias("angle")).limit(0)
+    for _ in range(2 if len(centres) > 1 else 0):  # what is far from all centres gets some of its own
+        usual = placed.agg(F.percentile_approx("angle", 0.5)).first()[0]
+        more = _centres(placed.where(F.col("angle") > 3 * usual + SLACK), cells // 2)
+        if len(more):
+            centres = np.concatenate([centres, more])
+            placed = written(_placed(index, centres), "placed")
     cuts = placed.groupBy("cell").agg(F.percentile_approx("angle", [i / SHELLS for i in range(1, SHELLS)], 1000).alias("cuts"))
-    shelled = placed.join(F.broadcast(cuts), "cell").withColumn("shell", F.col("cell") * SHELLS + F.size(F.filter("cuts", lambda c: F.col("angle") > c)))  # CELLS rows at most
-    shells = {r["shell"]: r for r in shelled.groupBy("shell").agg(F.min("angle").alias("low"), F.max("angle").alias("high"), F.count("*").alias("n")).collect()}  # CELLS x SHELLS at most
+    shelled = placed.join(F.broadcast(cuts), "cell").withColumn("shell", F.col("cell") * SHELLS + F.size(F.filter("cuts", lambda c: F.col("angle") > c)))  # a row a cell
+    shells = {r["shell"]: r for r in shelled.groupBy("shell").agg(F.min("angle").alias("low"), F.max("angle").alias("high"), F.count("*").alias("n")).collect()}  # a row a shell
     first, shares, told = {}, {}, []
     for shell in sorted(shells):
         r, share = shells[shell], -(-shells[shell]["n"] // BLOCK)
