@@ -8,12 +8,18 @@ regular expression over tokens, the host's wrapper. Alignment is associative
 enough to run in each partition first, so what is gathered for a host is one
 small wrapper for each partition, however many pages it has.
 
-The wrapper says where the article is (the region with the most text that
-isn't links, articles and main elements first) and which texts in it are the
-template's (the same on nearly all pages). Pages give the text of their blocks in
-that region, without the elements that menus, headers, footers, sidebars,
-notices, adverts, forms and comments are made of. A page that lacks its
-host's region is judged by its own tree.
+The wrapper says where the article is: all articles and main elements whose
+text isn't mostly links, or else all elements named like one, or else the
+region with the most text of its own. Pages give the text of their blocks
+there, without the elements that menus, headers, footers, sidebars, notices,
+adverts, forms and comments are made of. Of names that articles' own sections
+may have, too, those within an article count only for what is mostly links. A
+text is the template's, and left out, if nearly all of the host's pages that
+have the region share it at the region's edge, before or after all texts that
+differ; in a region that is an article by its name it must also read like a
+footer. That takes two pages that differ, and no other number matters: of
+siblings, of pages, or of characters. A page that lacks its host's region is
+judged by its own tree.
 
 Null html counts as empty; a page without such blocks has an empty text;
 null URLs, and such without a host, share the wrapper of the empty host;
@@ -25,6 +31,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
 from difflib import SequenceMatcher
 from html import unescape
@@ -44,8 +51,10 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 NOT_ARTICLE = frozenset("nav footer aside form script style noscript template svg math select button dialog menu iframe object canvas audio video head fieldset".split())
 NOT_ARTICLE_NAMES = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs footer footnav copyright sidebar aside widget rail notice notices cookie cookies consent gdpr alert popup modal overlay banner toast newsletter subscribe subscription paywall "
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion form search login signup comment comments commentlist discussion replies reply disqus share sharing social related recommended skip pagination pager toolbar masthead".split()
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion form search login signup comment comments commentlist discussion replies reply disqus share sharing social related recommended skip pagination pager toolbar masthead feedback responses".split()
 )
+# Those of them that sections of an article have as well.
+WEAK_NAMES = frozenset("menu widget rail notice notices alert banner promotion form search discussion social responses feedback skip".split())
 NOT_ARTICLE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 ARTICLE_NAMES = frozenset("article articlebody content post entry story main text".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
@@ -56,20 +65,24 @@ TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW.replace(' ', '|')})\b[^>]*>.*?(?:
 ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+))?""", re.I)
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
-#: A text (no heading) is the template's if at least so many pages of a host, and so large a share of those with the article around it, have it in a slot, none has another there, and they differ in another slot.
-TEMPLATE_PAGES, TEMPLATE_SHARE = 5, 0.9
-#: Siblings in a wrapper beyond which those of one label are taken together. Only regions are sought in wrappers, by label, so this changes none; template texts
-#: are sought only where siblings are fewer.
+FOOTER = re.compile(r"\W*(©|\(c\)|copyright\b)|.*\ball rights reserved\b", re.I | re.S)
+
+#: The share of a region's pages that have a template's text.
+TEMPLATE_SHARE = 0.9
+#: Siblings in a wrapper beyond which those of one label are taken together. Regions are sought by label, and template texts only in elements whose label no
+#: sibling has, so this changes neither.
 SIBLINGS = 64
 #: Levels that a wrapper tells apart; what lies deeper counts to the last of them, but is judged by all elements around it.
 LEVELS = 200
 
 
-def _label(tag: str, attributes: str, within: bool) -> tuple[str, bool, bool]:
-    """The element's label, whether it is no part of an article, and whether it is named like one."""
+def _label(tag: str, attributes: str, within: bool) -> tuple[str, bool, bool, bool]:
+    """The element's label, whether it is no part of an article, whether it is none if it is mostly links, and whether it is named like one."""
     found = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(attributes)} if attributes and len(attributes) > 3 else {}
     names = {x.lower() for k in ("class", "id") for x in NAME.findall(found.get(k, ""))}
-    out = tag in NOT_ARTICLE or (tag == "header" and not within) or bool(names & NOT_ARTICLE_NAMES) or found.get("role", "").lower() in NOT_ARTICLE_ROLES
+    telling = names & NOT_ARTICLE_NAMES
+    weak = within and bool(telling) and telling <= WEAK_NAMES
+    out = tag in NOT_ARTICLE or (tag == "header" and not within) or (bool(telling) and not weak) or found.get("role", "").lower() in NOT_ARTICLE_ROLES
     if {"header", "head"} & names and not within and tag not in ("body", "html", "main", "article") and not re.fullmatch("h[1-6]", tag):
         out = True
     if tag in ("html", "body") or (tag in ("article", "main") and not names & {"comment", "comments", "ad", "ads", "related", "reply", "replies", "promo", "sponsored"}):
@@ -77,7 +90,7 @@ def _label(tag: str, attributes: str, within: bool) -> tuple[str, bool, bool]:
     if "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower():
         out = True
     main = tag in ("article", "main") or found.get("role", "").lower() == "main" or "articlebody" in found.get("itemprop", "").lower()
-    return tag + "".join(sorted(f".{n}" for n in names)), out, main or (tag in ("div", "section", "td") and bool(names & ARTICLE_NAMES))
+    return tag + "".join(sorted(f".{n}" for n in names)), out, weak, main or (tag in ("div", "section", "td") and bool(names & ARTICLE_NAMES))
 
 
 class Block:
@@ -89,7 +102,7 @@ class Block:
 
 def blocks(html: str) -> tuple[list[Block], dict[tuple[str, ...], int]]:
     """Blocks with text in page order, and the paths of elements named like articles with their rank (0: article or main)."""
-    stack: list[tuple[str, tuple[str, ...], bool, bool]] = [("", (), False, False)]  # tag, path, out, within an article
+    stack: list[tuple[str, tuple[str, ...], bool, bool, bool]] = [("", (), False, False, False)]  # tag, path, out, out if mostly links, within an article
     found: list[Block] = []
     named: dict[tuple[str, ...], int] = {}
     parts: list[str] = []
@@ -106,8 +119,8 @@ def blocks(html: str) -> tuple[list[Block], dict[tuple[str, ...], int]]:
         if parts:
             text = " ".join(unescape("".join(parts)).split())
             if text:
-                _, path, out, _ = stack[-1]
-                found.append(Block(path, text, min(linked, len(text)), out))
+                _, path, out, weak, _ = stack[-1]
+                found.append(Block(path, text, min(linked, len(text)), out or (weak and 2 * linked > len(text))))
             parts.clear()
         linked = 0
 
@@ -149,13 +162,13 @@ def blocks(html: str) -> tuple[list[Block], dict[tuple[str, ...], int]]:
             if tag == "hr" or (m[4] or "").rstrip().endswith("/") and tag not in CLOSES_P:
                 continue
             links = 0
-            _, path, out, within = stack[-1]
-            label, no, main = _label(tag, m[4], within)
+            _, path, out, weak, within = stack[-1]
+            label, no, weaker, main = _label(tag, m[4], within)
             deeper = len(path) < LEVELS
             path += (label,) if deeper else ()
             if main and deeper and not (out or no) and path not in named:
                 named[path] = 0 if tag in ("article", "main") or "main" in (m[4] or "").lower() or "articlebody" in (m[4] or "").lower() else 1
-            stack.append((tag, path, out or no, within or (main and tag in ("article", "main"))))
+            stack.append((tag, path, out or no, weak or weaker, within or (main and tag in ("article", "main"))))
             open_[tag] = open_.get(tag, 0) + 1
     flush()
     return found, named
@@ -267,41 +280,61 @@ def expression(node: list) -> str:
     return f"({body})+" if node[REPEATED] else f"({body})?" if node[OPTIONAL] else body
 
 
+class Slot:
+    __slots__ = ("path", "node", "once", "inside")
+
+    def __init__(self, path: tuple[str, ...], node: list, once: bool, inside: list[tuple[str, ...]]):
+        self.path, self.node, self.once, self.inside = path, node, once, inside
+
+
+def edges(slots: list[Slot], pages: int, named: bool) -> list[list]:
+    """[path, text] of the template's texts at the edges of a region that so many pages have, of its slots in page order."""
+    if not any(s.node[TEXT] is None and s.node[PAGES] > 1 for s in slots):
+        return []  # one page, or copies of one
+
+    def shared(s: Slot) -> bool:
+        told = s.once and s.node[TEXT] is not None and s.node[PAGES] >= max(2, TEMPLATE_SHARE * pages) and not re.match(r"h[1-6]\b", s.path[-1] if s.path else "")
+        return told and (not named or FOOTER.match(s.node[TEXT]) is not None)
+
+    out = []
+    for run in (slots, slots[::-1]):
+        for s in run:
+            if not shared(s):
+                break
+            out.append([list(s.path), s.node[TEXT]])
+    return out
+
+
 def region(wrapper: list) -> tuple[list[list[str]], list[list], list[list[str]]]:
     """The paths of the article, [path, text] of the template's texts in it, and the paths at which links are menus."""
-    regions: dict[tuple[str, ...], list] = {}
-    template: list[list] = []
-    varied = False
+    regions: dict[tuple[str, ...], list] = {}  # rank, characters, those of links, pages
+    slots: list[Slot] = []
 
-    def walk(node: list, path: tuple[str, ...], inside: list[tuple[str, ...]], out: bool, repeated: bool, pages: int) -> None:
-        nonlocal varied
+    def walk(node: list, path: tuple[str, ...], inside: list[tuple[str, ...]], once: bool) -> None:
+        count = Counter(c[LABEL] for c in node[CHILDREN])
         for child in node[CHILDREN]:
-            again = repeated or child[REPEATED]
+            alone = once and count[child[LABEL]] == 1 and not child[REPEATED]
             if child[LABEL] == SLOT:
-                if child[OUT]:
-                    continue
-                weight = child[CHARS] - child[LINKED]
-                for p in inside:
-                    regions[p][1] += weight
-                # Pages that differ in no slot of their own are copies, not a template's.
-                varied |= not again and child[TEXT] is None and child[PAGES] >= TEMPLATE_PAGES
-                if child[TEXT] is not None and child[PAGES] >= max(TEMPLATE_PAGES, TEMPLATE_SHARE * pages) and not re.match(r"h[1-6]\b", path[-1] if path else ""):
-                    template.append([list(path), child[TEXT]])
+                if not child[OUT]:
+                    slots.append(Slot(path, child, alone, inside))
+                    for p in inside:
+                        regions[p][1] += child[CHARS]
+                        regions[p][2] += child[LINKED]
             else:
                 at = path + (child[LABEL],)
                 here = inside
                 if child[RANK] >= 0:
-                    regions.setdefault(at, [child[RANK], 0])
+                    regions.setdefault(at, [child[RANK], 0, 0, 0])[3] += child[PAGES]
                     here = inside + [at]
-                walk(child, at, here, out or child[OUT], again, child[PAGES] if here and not inside else pages)
+                walk(child, at, here, alone)
 
-    walk(wrapper, (), [], False, False, wrapper[PAGES])
-    template = template if varied else []
+    walk(wrapper, (), [], True)
     for rank in (0, 1):
-        told = {p: w for p, (r, w) in regions.items() if r == rank and w > 0}
+        told = {p: r for p, r in regions.items() if r[0] == rank and r[1] > r[2]}
+        told = {p: r for p, r in told.items() if r[1] >= 2 * r[2]} or told
         if told:
-            most = max(told.values())
-            return [list(p) for p, w in told.items() if 2 * w >= most], template, []
+            outer = {p: r for p, r in told.items() if not any(p[:n] in told for n in range(len(p)))}
+            return [list(p) for p in told], [t for p, r in outer.items() for t in edges([s for s in slots if p in s.inside], r[3], True)], []
     # No element is named like an article: the one whose own blocks have the most text. What is mostly links on the host's pages is a menu.
     own: dict[tuple[str, ...], int] = {}
     menus: list[list[str]] = []
@@ -318,7 +351,11 @@ def region(wrapper: list) -> tuple[list[list[str]], list[list], list[list[str]]]
                 text_of(child, path + (child[LABEL],))
 
     text_of(wrapper, ())
-    return ([list(max(own, key=lambda p: (own[p], -len(p))))] if own else []), template, menus
+    if not own:
+        return [], [], menus
+    best = max(own, key=lambda p: (own[p], -len(p)))
+    links = set(map(tuple, menus))
+    return [list(best)], edges([s for s in slots if s.path[: len(best)] == best and s.path not in links], wrapper[PAGES], False), menus
 
 
 def extracted(html: str, regions: list[list[str]], template: list[list], menus: Sequence[list[str]] = ()) -> str:

@@ -336,8 +336,7 @@ def test_wrappers(spark):
     for r in out:
         i = r["page_id"]
         if i < 50:
-            # The quote is the same on six pages of a host: its template's.
-            assert r["text"] == f"Title w{i} & more\nOne two three é w{i}\nSecond w{i}" + ("\nQuote" if i == 12 else "")
+            assert r["text"] == f"Title w{i} & more\nOne two three é w{i}\nSecond w{i}\nQuote"
         else:
             assert r["text"] == {50: "", 51: "", 52: "plain words & so on", 53: "<", 54: "x" * 5000}[i]
     assert wrappers.extract(df.where("1 = 0")).count() == 0
@@ -377,15 +376,49 @@ def test_deep_pages():
     assert len(wrappers.blocks("<li><b>" * 50000 + "</x>" * 50000 + "t")[0]) == 1
 
 
-def test_texts_of_a_few_copies_stay():
-    """A quote, byline and note on six of 40 pages are the article's; a note on all pages is the template's."""
-    html = lambda i: f"<article><h1>t{i}</h1><p>body {i}</p>{'<blockquote>Quote</blockquote><div class=byline>By A</div>' if i < 6 else ''}<div class=end>Site</div></article>"
-    wrapper = wrappers.tree(html(0))
-    for i in range(1, 40):
-        wrapper = wrappers.merged(wrapper, wrappers.tree(html(i)))
+def extracted_from(pages):
+    wrapper = wrappers.tree(pages[0])
+    for p in pages[1:]:
+        wrapper = wrappers.merged(wrapper, wrappers.tree(p))
     found = wrappers.region(wrapper)
-    for i in range(40):
-        assert wrappers.extracted(html(i), *found) == f"t{i}\nbody {i}" + ("\nQuote\nBy A" if i < 6 else "")
+    return [wrappers.extracted(p, *found) for p in pages]
+
+
+@pytest.mark.parametrize("siblings", [1, 5, 63, 80, 500])
+@pytest.mark.parametrize("count", [2, 4, 5, 60])
+def test_texts_are_judged_alike_at_any_number(siblings, count):
+    """A quote, a byline and a closing note that all pages share stay, a closing line of copyright goes: with any number of siblings and pages."""
+    body = lambda i: "".join(f"<p>body {i} {k}</p>" for k in range(siblings))
+    html = lambda i: f"<article><h1>t{i}</h1><div class=byline>By A</div>{body(i)}<blockquote>Quote</blockquote><ul><li>z{i}</ul><div class=end>Site</div><div class=fine>&copy; 2024 Site</div></article>"
+    want = lambda i: "\n".join([f"t{i}", "By A", *(f"body {i} {k}" for k in range(siblings)), "Quote", f"z{i}", "Site"])
+    assert extracted_from([html(i) for i in range(count)]) == [want(i) for i in range(count)]
+    # Where no element is named like an article, what all pages share at the edges of the region is the template's.
+    plain = lambda i: f"<div class=top>Site</div><div><div class=lead>Lead</div>{body(i)}<blockquote>Quote</blockquote><pre>z{i}</pre><div class=end>End</div></div>"
+    want = lambda i: "\n".join([*(f"body {i} {k}" for k in range(siblings)), "Quote", f"z{i}"])
+    assert extracted_from([plain(i) for i in range(count)]) == [want(i) for i in range(count)]
+
+
+def test_texts_of_one_page_or_of_copies_of_one_stay():
+    html = "<article><h1>t</h1><p>body</p><div class=fine>&copy; Site</div></article>"
+    assert extracted_from([html]) == ["t\nbody\n© Site"] and extracted_from([html] * 7) == ["t\nbody\n© Site"] * 7
+    few = lambda i: f"<article><h1>t{i}</h1><p>body {i}</p>{'<blockquote>© Quote</blockquote>' if i < 6 else ''}</article>"
+    assert extracted_from([few(i) for i in range(40)]) == [f"t{i}\nbody {i}" + ("\n© Quote" if i < 6 else "") for i in range(40)]
+
+
+def test_regions_of_any_size_stay():
+    """A main element beside a shorter article, a post beside a shorter content: both count; lists of links in either don't."""
+    long, short = "long words here " * 40, "short"
+    assert extracted_from([f"<main><p>{long}{i}</main><article><p>{short}{i}</article>" for i in range(6)]) == [f"{long}{i}\n{short}{i}" for i in range(6)]
+    assert extracted_from([f"<div class=post><p>{long}{i}</div><div class=content><p>{short}{i}</div>" for i in range(6)]) == [f"{long}{i}\n{short}{i}" for i in range(6)]
+    assert extracted_from([f"<article><p>{short}{i}</article><article class=teaser><a href=x>{long}{i}</a></article>" for i in range(6)]) == [f"{short}{i}" for i in range(6)]
+
+
+def test_names_within_an_article_are_evidence_only():
+    """Sections whose names articles have, too, stay unless they are mostly links; adverts and comments go by name."""
+    for name in ("form", "menu", "rail", "widget", "discussion", "social", "promotion", "notice"):
+        page = f"<article><h1>t</h1><section class={name}><p>told in words</p><p><a href=x>link link</a></p></section><div class=ads>buy</div><div class=comments>nice</div></article><div class={name}>outside</div>"
+        assert extracted_from([page]) == ["t\ntold in words"], name
+    assert extracted_from(["<article><p>t</p></article><div class=feedback><p>nice one</p></div>"]) == ["t"]
 
 
 def test_wrapper_expressions():
