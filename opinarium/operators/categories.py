@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,10 +11,11 @@ from ..functions.regexes import ustrip
 from ..plans.config import BrandProfile, CategoryConfig, Hook, require_columns
 from . import models, retrieval
 from .answerlog import AnswerLog
-from .backends import Classifier, Embedder, classified, embedded
+from .backends import Classifier, Embedder, classified, embedded, with_vectors
 from .merge import last_answers
 from .metrics import says
 from .relevance import for_model
+from .vectorstore import VectorStore
 
 PRED, SOURCE = "Категория_pred", "Категория_source"
 
@@ -32,32 +31,20 @@ def sources(df: DataFrame, col: str, use_refs: bool, is_drop: str = "is_drop") -
     return df.withColumn(SOURCE, source(dropped, ustrip(text.given(F.col(col))) == "", use_refs))
 
 
-def fingerprint(refs: DataFrame, profile: BrandProfile, embedder: Embedder, config: CategoryConfig) -> str:
-    """A name for the index of refs: of their content (in any order), the profile, the embedder and the settings that shape it."""
-    row = F.struct(F.col(config.text), F.col(config.category))
-    sums = [F.sum(F.xxhash64(row, F.lit(seed)).cast("decimal(38,0)")) for seed in (0, 1)]
-    content = refs.agg(F.count("*"), *sums).first()
-    told = [*map(str, content), repr(profile), type(embedder).__name__, repr(sorted(vars(embedder).items())), config.truncate_chars, config.max_words]
-    return hashlib.md5("\n".join(map(str, told)).encode()).hexdigest()
+def cached_index(refs: DataFrame, ref_id: str, profile: BrandProfile, embedder: Embedder, config: CategoryConfig, folder: str) -> DataFrame:
+    """index_texts() with vectors that are kept in folder by content: only prepared texts that it lacks are embedded."""
+    ready = _prepared_refs(refs, profile, config)
+    return retrieval.build_index(VectorStore(folder).of(ready, "_text", embedder), ref_id, "_text", config.category, "vector")
 
 
-def cached_index(refs: DataFrame, ref_id: str, profile: BrandProfile, embedder: Embedder, config: CategoryConfig, folder: str) -> DataFrame:
-    """index_texts(), kept as Parquet under its fingerprint in folder: equal references are embedded once."""
+def _prepared_refs(refs: DataFrame, profile: BrandProfile, config: CategoryConfig) -> DataFrame:
     require_columns(refs, config.text, config.category)
-    spark, path = refs.sparkSession, f"{folder}/{fingerprint(refs, profile, embedder, config)}"
-    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
-        index_texts(refs, ref_id, profile, embedder, config).write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return refs.withColumn("_text", for_model(text.prepare_comment(F.col(config.text), config.truncate_chars), profile, config.max_words))
 
 
 def index_texts(refs: DataFrame, ref_id: str, profile: BrandProfile, embedder: Embedder, config: CategoryConfig = CategoryConfig()) -> DataFrame:
     """The index of labelled references: preprocessed, embedded, normalized."""
-    require_columns(refs, config.text, config.category)
-    ready = refs.withColumn("_text", for_model(text.prepare_comment(F.col(config.text), config.truncate_chars), profile, config.max_words))
-    vectors = embedded(ready, ref_id, "_text", embedder)
-    joined = ready.join(vectors, ready[ref_id] == vectors["row_id"])
-    return retrieval.build_index(joined, ref_id, "_text", config.category, "vector")
+    return retrieval.build_index(with_vectors(_prepared_refs(refs, profile, config), "_text", embedder), ref_id, "_text", config.category, "vector")
 
 
 class NeighbourVote:

@@ -37,30 +37,66 @@ def centroids(df: DataFrame, vector: str, label: str, normalize: bool = True) ->
 def fit(df: DataFrame, vector: str, label: str, config: SentimentConfig = SentimentConfig()) -> DataFrame:
     """proto_id, class_id, centroid: up to k prototypes for each class 0 to 2.
 
-    k = 1 is the mean; more come from seeded k-means over each class.
+    k = 1 is the mean; more come from k_means() of all classes at once.
     """
     rows = df.where(F.col(label).between(0, CLASSES - 1) & F.col(vector).isNotNull()).withColumn(label, F.col(label).cast("int"))
     if config.k_per_class == 1:
         found = centroids(rows, vector, label, config.normalize)
         return found.select(F.col("class_id").alias("proto_id"), "class_id", "centroid")
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    spark = df.sparkSession
-    counts = {r[label]: r["count"] for r in rows.groupBy(label).count().collect()}  # three rows at most
-    made = []
     x = l2_normalize(F.col(vector)) if config.normalize else doubles(F.col(vector))
-    for c, n in sorted(counts.items()):
-        k = min(config.k_per_class, n)
-        part = rows.where(F.col(label) == c).select(array_to_vector(x).alias("features"))
-        if k == 1:
-            made += [(c, r["centroid"]) for r in centroids(rows.where(F.col(label) == c), vector, label, config.normalize).collect()]
-        else:
-            made += [(c, [float(v) for v in m]) for m in KMeans(k=k, seed=config.seed).fit(part).clusterCenters()]
-    out = spark.createDataFrame([(i, c, m) for i, (c, m) in enumerate(made)], "proto_id int, class_id int, centroid array<double>")
+    made = k_means(rows.select(F.col(label).alias("class_id"), x.alias("x")), config.k_per_class)
+    out = df.sparkSession.createDataFrame([(i, c, m) for i, (c, m) in enumerate(made)], "proto_id int, class_id int, centroid array<double>")
     return out.withColumn("centroid", l2_normalize(F.col("centroid"))) if config.normalize else out
 
 
+#: Rounds of k-means after which it ends, settled or not.
+ROUNDS = 20
+
+
+def k_means(points: DataFrame, k: int, rounds: int = ROUNDS) -> list[tuple[int, list[float]]]:
+    """(class_id, centre): up to k centres for each class of points (class_id, x), all classes in the same jobs.
+
+    The first seed of a class is its least vector, each next one the vector
+    farthest from its seeds (the least of equals); a class with fewer distinct
+    vectors has fewer centres. Then vectors go to their nearest centre (the
+    first of equals) and centres to their means, until none moves. The driver
+    holds the centres only; means are partial sums, so no class meets in a task.
+    """
+    points = written(points, "points")
+
+    def distance(centres: list[list[float]]):
+        """To each centre, squared."""
+        literal = lambda m: F.array(*(F.lit(float(v)) for v in m))
+        return [F.aggregate(F.zip_with("x", literal(m), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v) for m in centres]
+
+    def by_class(found: dict[int, list[list[float]]], value):
+        """value of the class's centres, for each row."""
+        out = F.lit(None)
+        for c, centres in found.items():
+            out = F.when(F.col("class_id") == c, value(distance(centres))).otherwise(out)
+        return out
+
+    least = lambda d: F.least(*d) if len(d) > 1 else d[0]
+    found = {r["class_id"]: [r["x"]] for r in points.groupBy("class_id").agg(F.min("x").alias("x")).orderBy("class_id").collect()}
+    for _ in range(k - 1) if found else ():
+        far = points.withColumn("far", by_class(found, least)).where("far > 0").groupBy("class_id").agg(F.min(F.struct((-F.col("far")).alias("near"), "x")).alias("top"))
+        more = {r["class_id"]: r["x"] for r in far.select("class_id", "top.x").collect()}
+        for c, x in more.items():
+            found[c].append(x)
+        if not more:
+            break
+    for _ in range(rounds if k > 1 and found else 0):
+        own = points.withColumn("own", by_class(found, lambda d: (F.array_position(F.array(*d), least(d)) - 1).cast("int")))
+        sums = own.select("class_id", "own", F.posexplode("x").alias("pos", "v")).groupBy("class_id", "own", "pos").agg(F.avg("v").alias("v"))
+        means = sums.groupBy("class_id", "own").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "v"))), lambda p: p["v"]).alias("x")).collect()
+        before = {c: list(m) for c, m in found.items()}
+        for r in means:
+            found[r["class_id"]][r["own"]] = r["x"]
+        if all(max(abs(a - b) for a, b in zip(p, q)) < 1e-12 for c in found for p, q in zip(found[c], before[c])):
+            break
+    return [(c, [float(v) for v in m]) for c in sorted(found) for m in found[c]]
+
+
 def _predicted(scores: list[Column]) -> tuple[Column, Column]:
     """The class of the highest score (ties: the lowest class) and that score."""
     best, top = F.lit(0), scores[0]

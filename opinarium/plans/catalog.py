@@ -11,14 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import answers, labels, prompts, spans, text, vectors
-from ..operators import batching, categories, merge, metrics, models, prototypes, relevance, retrieval, rules, sentiment
+from ..operators import batching, catalogue, categories, merge, metrics, models, prototypes, relevance, retrieval, rules, sentiment
 from ..operators.answerlog import AnswerLog
 from ..operators.backends import AliasMatch, ApiEmbedder, FirstToken, HashingEmbedder, embedded
 from ..session import shared_dir, written
 from ..sources.readers import read_table, scan
 from ..sources.writers import details, preview, write_csv
 from . import fixtures as fx
-from .config import PipelineConfig, SentimentConfig
+from .config import BrandProfile, PipelineConfig, SentimentConfig
 from .pipeline import comment_job, comment_stats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -223,6 +223,18 @@ def rule_stats(spark, sf_dir):
     return metrics.rule_stats(rule_drop(spark, sf_dir))
 
 
+@query(r"""
+with words as (select item_id, regexp_extract_all(lower(text), '[a-z]{4,}') as w from benchmark),
+b as (select 'brand ' || lpad(item_id::varchar, 6, '0') as brand, w[1] as name, w[2] as alias, w[3] as rule from words where len(w) >= 3),
+m as (select d.doc_id, b.*, lower(d.text) as t from documents d join b on regexp_matches(lower(d.text), '(^|[^\p{L}\p{N}_])(' || name || '|' || alias || ')($|[^\p{L}\p{N}_])'))
+select doc_id, brand, case when contains(t, rule) then 'hiring' when contains(t, substr(rule, 1, 3) || 'er') then 'homonym_noise' end as rule_code, case when contains(t, rule) or contains(t, substr(rule, 1, 3) || 'er') then 'Yes' else 'No' end as is_drop from m""".replace("\\\\", "\\"))
+def brand_catalogue(spark, sf_dir):
+    """A catalogue with a brand for each item, all in one job: which brands each text mentions, and what their rules say."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{4,})")).alias("w")).where("size(w) >= 3")
+    profiles = {f"brand {r['item_id']:06}": BrandProfile(r["w"][0], aliases=[r["w"][1]], sure_drop_patterns=[r["w"][2]], brand_sure_drop=[], homonym_noise=[r["w"][2][:3] + "er"]) for r in items.collect()}  # the catalogue
+    return catalogue.mentioned_brands(documents(spark, sf_dir), "text", profiles).select("doc_id", "brand", "rule_code", "is_drop")
+
+
 def _job(spark, sf_dir):
     return relevance.classify(cyrillic(spark, sf_dir), "doc_id", fx.PROFILE, AliasMatch(fx.KEPT_WORDS), PipelineConfig(max_words=60))
 
@@ -475,10 +487,21 @@ def accuracy_coverage(spark, sf_dir):
     return metrics.accuracy_coverage(_scored(spark, sf_dir).where("label < 3"), "label", "pred", "passed")
 
 
-@query()
+_APART = "list_sum(list_transform(range(1, len(p.x) + 1), lambda i: (p.x[i] - c.x[i]) * (p.x[i] - c.x[i])))"
+_SEED = "s{n} as materialized (select * from s{m} union all select cls, {m}, arg_min(x, struct_pack(near := -far, x := x)) from (select p.cls, p.vec_id, any_value(p.x) as x, min({apart}) as far from pts p join s{m} c on p.cls = c.cls group by p.cls, p.vec_id) where far > 0 group by cls)"
+_STEP = """a{n} as materialized (select p.cls, p.vec_id, arg_min(c.k, struct_pack(d := {apart}, k := c.k)) as k from pts p join k{m} c on p.cls = c.cls group by p.cls, p.vec_id),
+k{n} as materialized (select cls, k, list(v order by pos) as x from (select a.cls, a.k, pos, avg(v) as v from a{n} a join parts using (cls, vec_id) group by all) group by cls, k)"""
+_KMEANS = (
+    f"{_CLASSES}, pts as materialized (select label as cls, vec_id, x from u where label < 3), parts as materialized (select cls, vec_id, unnest(x) as v, generate_subscripts(x, 1) as pos from pts), s1 as materialized (select cls, 0 as k, min(x) as x from pts group by cls), "
+    + ", ".join(_SEED.format(n=n, m=n - 1, apart=_APART) for n in (2, 3)) + ", k0 as materialized (select * from s3), " + ", ".join(_STEP.format(n=n, m=n - 1, apart=_APART) for n in range(1, prototypes.ROUNDS + 1))
+)
+
+
+@query(f"with {_KMEANS}, z as (select row_number() over (order by cls, k) - 1 as proto_id, cls::bigint as class_id, x, sqrt(list_sum(list_transform(x, lambda y: y * y))) + 1e-12 as n from k{prototypes.ROUNDS}) select proto_id::int as proto_id, class_id, generate_subscripts(x, 1) - 1 as pos, round(unnest(x) / n, 6) as v from z")
 def kmeans_prototypes(spark, sf_dir):
+    """Three prototypes a class by farthest-first seeds and Lloyd's rounds."""
     found = prototypes.fit(_vectors(spark, sf_dir), "embedding", "label", SentimentConfig(k_per_class=3))
-    return found.select("proto_id", "class_id", F.size("centroid").alias("width"), F.round(vectors.norm(F.col("centroid")), 6).alias("size"))
+    return found.select("proto_id", F.col("class_id").cast("long").alias("class_id"), F.posexplode("centroid").alias("pos", "v")).select("proto_id", "class_id", F.col("pos").cast("long").alias("pos"), F.round("v", 6).alias("v"))
 
 
 _KNN = f"{_CLASSES}, pairs as (select q.vec_id as query_id, r.vec_id as ref_id, list_sum(list_transform(range(1, len(q.x) + 1), lambda i: q.x[i] * r.x[i])) as sim from u q join u r on q.vec_id % 50 = 0), ranked as (select *, row_number() over (partition by query_id order by sim desc, ref_id) as rank from pairs)"

@@ -114,16 +114,30 @@ def test_workers_ask_at_once(spark):
     assert models.told(df, "", F.lit("p"), Slow(), 2).select("told").distinct().count() == 2
 
 
-def test_index_cache(spark, tmp_path):
-    refs = spark.createDataFrame([(0, "быстрая доставка", "A"), (1, "цена товара", "B")], "i long, `Текст` string, `Категория` string")
-    folder, embedder, config = str(tmp_path / "c"), backends.HashingEmbedder(8), CategoryConfig()
-    first = categories.cached_index(refs, "i", PROFILE, embedder, config, folder)
-    assert first.count() == 2 and len(list((tmp_path / "c").iterdir())) == 1
-    categories.cached_index(refs.orderBy(F.desc("i")), "i", PROFILE, embedder, config, folder)
-    assert len(list((tmp_path / "c").iterdir())) == 1
-    for more in ((refs.where("i = 0"), PROFILE, embedder, config), (refs, BrandProfile("B"), embedder, config), (refs, PROFILE, backends.HashingEmbedder(9), config), (refs, PROFILE, embedder, CategoryConfig(max_words=9))):
-        categories.cached_index(more[0], "i", *more[1:], folder)
-    assert len(list((tmp_path / "c").iterdir())) == 5
+def test_index_is_kept_row_by_row(spark, tmp_path):
+    """The embedder sees only texts that the store lacks: each once, whatever changes around it."""
+    seen = tmp_path / "seen"
+
+    class Noting(backends.HashingEmbedder):
+        def embed(self, texts):
+            with open(seen, "a") as f:
+                f.writelines(f"{t}\n" for t in texts)
+            return super().embed(texts)
+
+    schema = "i long, `Текст` string, `Категория` string"
+    refs = spark.createDataFrame([(0, "быстрая доставка", "A"), (1, "цена товара", "B"), (2, "цена товара", "A"), (3, None, "A")], schema)
+    folder, config = str(tmp_path / "c"), CategoryConfig()
+    embedder = Noting(8)
+    fresh = lambda refs, embedder=embedder, profile=PROFILE: (seen.unlink(missing_ok=True), categories.cached_index(refs, "i", profile, embedder, config, folder).count(), sorted(seen.read_text().splitlines()) if seen.exists() else [])[1:]
+    assert fresh(refs) == (4, ["", "быстрая доставка", "цена товара"])
+    assert fresh(refs.orderBy(F.desc("i"))) == (4, [])
+    changed = refs.where("i <> 1").union(spark.createDataFrame([(1, "новый текст", "B"), (4, "быстрая доставка", "C")], schema))
+    assert fresh(changed) == (5, ["новый текст"])
+    assert fresh(refs.where("i = 0"), profile=BrandProfile("B")) == (1, [])
+    assert fresh(refs.where("i = 0"), Noting(9)) == (1, ["быстрая доставка"])
+    assert fresh(refs.where("i < 0")) == (0, [])
+    plain = {r["ref_id"]: r["vector"] for r in categories.index_texts(refs, "i", PROFILE, embedder, config).collect()}
+    assert {r["ref_id"]: r["vector"] for r in categories.cached_index(refs, "i", PROFILE, embedder, config, folder).collect()} == plain
     df = spark.createDataFrame([("цена",)], "`Текст` string")
     told = pipeline.category_job(df, "Раздели", PROFILE, None, refs, embedder, config, cache=folder).first()
     assert told[categories.PRED] in ("A", "B")
