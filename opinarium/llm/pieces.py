@@ -1,18 +1,21 @@
 """Subword encoding and decoding with a weighted finite-state transducer.
 
-The model file is compiled into arcs of four transducers: the normaliser's
-(white space to its mark, a mark in front), the pieces', by their last
-characters and lengths, the byte fallback's for characters without a piece,
-and those of an acceptor of neighbouring pieces. The models of this format
-that merge pairs keep, for each prefix of an input, one segmentation whose
-neighbouring pieces no earlier merge would have joined across their boundary:
-the acceptor's arcs weigh 0 where that is so and infinity elsewhere. Composed
-with an input they make a lattice whose states are a position and the piece
-that ends there; its shortest path is found by relaxing arcs from left to
-right in the tropical semiring. Weights are 0 or infinity, and of the arcs
-into a position one at most keeps a finite distance, so the first that does
-is the least. Runs of marks have pieces of equal rank; their arcs weigh 1 each
-and the longest come first.
+A model file is compiled into arcs: the normaliser's (one state: white space
+to its mark, a mark in front), the pieces' (a tree of states by characters; the
+arc that leaves a piece's last character gives its id and weight), the byte
+fallback's (a character without a piece gives its bytes' ids), and those of a
+machine that remembers the last piece and weighs each pair of neighbours.
+Composed with an input they make a lattice; its states are a position and,
+where pairs have weights, the piece that ends there. path() relaxes all arcs
+from left to right in the tropical semiring: a distance is the least sum of
+weights, of all arcs into a state.
+
+Models of the unigram kind weigh a piece by its negative score, and pairs by
+nothing. Models that merge pairs weigh pieces by nothing, and a pair of
+neighbours by 0 or infinity: infinity where merging would have joined
+characters across their boundary first. So the only path of a finite distance
+is what merging makes. Runs of marks have pieces of equal rank there; for them
+the least number of pieces counts, the longest first.
 
 No piece spans a character pair that is within no piece, so paths decompose
 at such cuts, and the shortest paths of the parts between them are cached.
@@ -37,12 +40,15 @@ from pyspark.sql import types as T
 from .common import add_columns
 
 MARK = "▁"
-#: The tropical semiring: weights add along a path, the least of all paths counts. Its one, and its zero.
+#: Of the tropical semiring (sums along paths, the least of all paths) the one and the zero.
 FREE, NEVER = 0.0, float("inf")
+#: What a character without a piece weighs more than the worst piece of a unigram model.
+UNKNOWN = 10.0
+UNIGRAM = 1
 NORMAL, BYTE = 1, 6
 #: Paths that are kept, of parts and words up to KEPT characters.
 CACHE, KEPT = 500_000, 48
-PAIR = (2,)
+END = ""  # under a state of the tree: the piece that ends there
 
 
 def fields(data: bytes):
@@ -76,7 +82,7 @@ class Transducer:
         self.rank: dict[str, float] = {}
         self.byte: dict[int, int] = {}
         self.ids: dict[str, int] = {}
-        self.prefix = True
+        self.prefix, self.merges = True, True
         kinds = []
         for number, value in model:
             if number == 1:
@@ -88,6 +94,8 @@ class Transducer:
                     self.byte[int(name[3:5], 16)] = len(self.pieces)
                 kinds.append(kind)
                 self.pieces.append(name)
+            elif number == 2:
+                self.merges = dict(fields(value)).get(3, UNIGRAM) != UNIGRAM
             elif number == 3:
                 spec = dict(fields(value))
                 if spec.get(2) or spec.get(4, 1):
@@ -99,20 +107,26 @@ class Transducer:
         self.pairs = {name[i : i + 2] for name in self.rank for i in range(len(name) - 1)}
         self.known = {name: i.to_bytes(4, "little") for name, i in self.ids.items()}
         self.longest = max(map(len, self.rank))
-        # The pieces of several characters that merging makes, and the lengths, descending, of those that may end with three characters (two: for any).
-        self.live = {name for name in self.rank if len(name) > 1 and name[1] != MARK and self.merged(name) == [name]}
-        lengths: dict[str, set[int]] = {}
-        for name in self.live:
-            lengths.setdefault(name[-3:], {2}).add(len(name))
-        self.sizes = {tail: tuple(sorted(found, reverse=True)) for tail, found in lengths.items()}
         self.runs = {n: self.ids[MARK * n] for n in range(1, self.longest + 1) if MARK * n in self.ids}
         self.order = {name: -score for name, score in self.rank.items()}
         self.split: dict[str, tuple[str, str]] = {}
-        self.normal = [(" ", MARK)]
         self.spelling: dict[str, bytes] = {}
         self.weights: dict[tuple[str, str], float] = {}
         self.parts: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.unknown = FREE if self.merges else UNKNOWN - min(self.rank.values())
+        self.tree: dict = {}
+        for name, score in self.rank.items():
+            # Of a model that merges: the pieces that merging makes; runs of marks are met apart from words.
+            if not self.merges or len(name) == 1 or (name[1] != MARK and self.merged(name) == [name]):
+                self.arc(name, FREE if self.merges else -score)
+
+    def arc(self, piece: str, weight: float) -> None:
+        """The states and arcs of a piece."""
+        state = self.tree
+        for character in piece:
+            state = state.setdefault(character, {})
+        state[END] = (piece, weight)
 
     def merged(self, text: str) -> list[str]:
         """The segmentation of a short text by its definition: best pair first, leftmost of equals."""
@@ -135,11 +149,11 @@ class Transducer:
             found = self.split[piece] = (out[0], out[1])
         return found
 
-    def weight(self, left: str, right: str) -> float:
-        """The weight of the acceptor's arc from left to right.
+    def pair(self, left: str, right: str) -> float:
+        """The weight of neighbours in a model that merges.
 
         Merges are undone from the latest on, on either side of the boundary;
-        the arc never counts if what then meets there would have merged earlier.
+        it is infinite if what then meets there would have merged earlier.
         """
         key = (left, right)
         found = self.weights.get(key)
@@ -164,29 +178,39 @@ class Transducer:
         return found
 
     def path(self, text: str) -> bytes:
-        """Ids on the shortest path through a part that has no white space after its first character."""
-        n, live, sizes, weights, weight = len(text), self.live, self.sizes, self.weights, self.weight
-        back: list[str] = [""] * (n + 1)  # the last arc of the shortest path to each position, whose distance is finite
-        for end in range(1, n + 1):
-            for size in sizes.get(text[max(0, end - 3) : end], PAIR):
-                if size > end:
+        """Ids on the shortest path through a part."""
+        n, tree, merges, weights, pair, unknown = len(text), self.tree, self.merges, self.weights, self.pair, self.unknown
+        # At each position the states that are reached: distance, and the arc it came by (start, state there, piece).
+        reached: list[dict[str, tuple]] = [{} for _ in range(n + 1)]
+        reached[0][END] = (FREE, 0, END, END)
+        for start in range(n):
+            here = reached[start]
+            if not here:
+                continue
+            state, end = tree, start
+            while end < n and (state := state.get(text[end])) is not None:
+                end += 1
+                if END not in state:
                     continue
-                piece = text[end - size : end]
-                if piece in live:
-                    if end == size:
-                        back[end] = piece
-                        break
-                    before = back[end - size]
-                    step = weights.get((before, piece))
-                    if (weight(before, piece) if step is None else step) < NEVER:
-                        back[end] = piece
-                        break
-            else:
-                back[end] = text[end - 1]  # a single character, by its piece or its bytes
-        out, at = [], n
+                piece, weight = state[END]
+                there, own = reached[end], piece if merges else END
+                least = there[own][0] if own in there else NEVER
+                for before, (distance, *_) in here.items():
+                    step = FREE if before == END else weights.get((before, piece))
+                    total = distance + weight + (pair(before, piece) if step is None else step)
+                    if total < least:
+                        there[own] = (total, start, before, piece)
+                        least = total
+            if END not in tree.get(text[start], tree):  # by its bytes
+                there, own = reached[start + 1], text[start] if merges else END
+                before, (distance, *_) = min(here.items(), key=lambda x: x[1][0])
+                if distance + unknown < (there[own][0] if own in there else NEVER):
+                    there[own] = (distance + unknown, start, before, text[start])
+        out: list[str] = []
+        at, own = n, min(reached[n], key=lambda x: reached[n][x][0])
         while at:
-            out.append(back[at])
-            at -= len(back[at])
+            _, at, own, piece = reached[at][own]
+            out.append(piece)
         known = self.known
         return b"".join([known[p] if p in known else self.spelt(p) for p in reversed(out)])
 
@@ -237,10 +261,11 @@ class Transducer:
         """The ids of a text, four bytes each, little-endian."""
         if not text:
             return b""
-        for source, target in self.normal:
-            text = text.replace(source, target)
+        text = text.replace(" ", MARK)
         if self.prefix:
             text = MARK + text
+        if not self.merges:
+            return self.word(text)
         first, *rest = text.split(MARK)
         out = [self.word(first)] if first else []
         if "" not in rest:

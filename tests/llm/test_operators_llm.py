@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import struct
 import zlib
 from collections import Counter
 from dataclasses import replace
@@ -187,6 +188,62 @@ def test_pieces(spark):
     assert pieces.digest(odd(spark).where("1 = 0")).count() == 0
 
 
+def varint(n):
+    out = b""
+    while n > 127:
+        out, n = out + bytes([n & 127 | 128]), n >> 7
+    return out + bytes([n])
+
+
+def unigram_file(path, scores):
+    """A model file of the unigram kind with byte fallback."""
+    field = lambda number, data: varint(number << 3 | 2) + varint(len(data)) + data
+    number = lambda number, value: varint(number << 3) + varint(value)
+    piece = lambda name, score, kind: field(1, field(1, name.encode()) + varint(2 << 3 | 5) + struct.pack("<f", score) + number(3, kind))
+    made = piece("<unk>", 0, 2) + piece("<s>", 0, 3) + piece("</s>", 0, 3) + b"".join(piece(f"<0x{b:02X}>", 0, 6) for b in range(256)) + b"".join(piece(k, v, 1) for k, v in scores.items())
+    made += field(2, number(3, 1) + number(35, 1)) + field(3, field(1, b"identity") + number(3, 1) + number(4, 0) + number(5, 1))
+    path.write_bytes(made)
+    return str(path)
+
+
+def segmentations(text, pieces):
+    if not text:
+        yield []
+    for n in range(1, len(text) + 1):
+        if n == 1 or text[:n] in pieces:
+            for rest in segmentations(text[n:], pieces):
+                yield [text[:n], *rest]
+
+
+def test_shortest_paths_of_real_weights(tmp_path):
+    """Invented weights: the least of all segmentations' sums, by enumeration, and the library's ids."""
+    rng = random.Random(31)
+    scores = {c: -rng.uniform(1, 12) for c in "abc▁"} | {"".join(rng.choices("abc▁", k=rng.randint(2, 5))): -rng.uniform(1, 16) for _ in range(60)}
+    path = unigram_file(tmp_path / "m", scores)
+    t = pieces.Transducer(path)
+    assert not t.merges
+    worst = 10 - min(scores.values())
+    weigh = lambda parts: sum(-scores.get(p, -worst) for p in parts)
+    library = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=path)
+    for _ in range(400):
+        text = "".join(rng.choices("abc xé", k=rng.randint(1, 9)))
+        ids, marked = t.encode(text), "▁" + text.replace(" ", "▁")
+        best = min(segmentations(marked, scores), key=weigh)
+        want = [i for p in best for i in ([t.ids[p]] if p in t.ids else [t.byte[b] for b in p.encode()])]
+        assert ids == want == library.encode(text), text
+        assert t.decode(ids) == text
+
+
+def test_only_one_path_of_a_merging_model_is_finite():
+    """By enumeration over the arcs: of all segmentations into pieces that merging makes one has no forbidden neighbours."""
+    t, rng = pieces.Transducer(pieces.model_file()), random.Random(32)
+    live = {p for p in t.rank if len(p) > 1 and p[1] != "▁" and t.merged(p) == [p]}
+    for _ in range(150):
+        text = "".join(rng.choices(["the", "ing", "a", "er", "s", "on", "re", "t"], k=rng.randint(1, 4)))[:9]
+        finite = [s for s in segmentations(text, live) if all(t.pair(a, b) < pieces.NEVER for a, b in zip(s, s[1:]))]
+        assert finite == [t.merged(text)] and t.path(text) == b"".join(t.known[p] for p in finite[0])
+
+
 # --- op3 ---
 
 
