@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from dataclasses import replace
+from functools import reduce
 from types import SimpleNamespace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,7 @@ from ..operators.answerlog import AnswerLog
 from ..operators.backends import AliasMatch, ApiEmbedder, FirstToken, HashingEmbedder, embedded
 from ..session import shared_dir, written
 from ..sources.readers import read_table, scan
-from ..sources.writers import details, preview, write_csv
+from ..sources.writers import details, preview, write_csv, write_sheets
 from . import fixtures as fx
 from .config import BrandProfile, PipelineConfig, SentimentConfig
 from .pipeline import comment_job, comment_stats
@@ -226,7 +227,10 @@ def rule_stats(spark, sf_dir):
 @query(r"""
 with words as (select item_id, regexp_extract_all(lower(text), '[a-z]{4,}') as w from benchmark),
 b as (select 'brand ' || lpad(item_id::varchar, 6, '0') as brand, w[1] as name, w[2] as alias, w[3] as rule from words where len(w) >= 3),
-m as (select d.doc_id, b.*, lower(d.text) as t from documents d join b on regexp_matches(lower(d.text), '(^|[^\p{L}\p{N}_])(' || name || '|' || alias || ')($|[^\p{L}\p{N}_])'))
+t as materialized (select doc_id, lower(text) as t from documents),
+w as (select distinct doc_id, unnest(regexp_extract_all(t, '[\p{L}\p{N}_]+')) as word from t),
+named as (select distinct doc_id, brand from w join (select brand, name as word from b union select brand, alias from b) using (word)),
+m as (select * from named join t using (doc_id) join b using (brand))
 select doc_id, brand, case when contains(t, rule) then 'hiring' when contains(t, substr(rule, 1, 3) || 'er') then 'homonym_noise' end as rule_code, case when contains(t, rule) or contains(t, substr(rule, 1, 3) || 'er') then 'Yes' else 'No' end as is_drop from m""".replace("\\\\", "\\"))
 def brand_catalogue(spark, sf_dir):
     """A catalogue with a brand for each item, all in one job: which brands each text mentions, and what their rules say."""
@@ -668,6 +672,22 @@ def csv_round_trip(spark, sf_dir):
     return read_table(spark, path, "doc_id", "text", keep_empty=True).withColumn("md5", F.md5("text"))
 
 
+@query("select part.p_partkey::varchar as p_partkey, p_name, p_retailprice::double as p_retailprice, p_size from part")
+def sheet_round_trip(spark, sf_dir):
+    """Written as sheets by all tasks and each read again by ranges of rows."""
+    path = f"{shared_dir(spark)}/sheets/{uuid.uuid4().hex}"
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_name", F.col("p_retailprice").cast("double"), "p_size")
+    write_sheets(rows.repartition(4), path.removeprefix("file:"))
+    files = [str(f.getPath()) for f in _listed(spark, path)]
+    found = reduce(DataFrame.union, [read_table(spark, f.removeprefix("file:"), "p_partkey") for f in files])
+    return found.select("p_partkey", "p_name", F.col("p_retailprice").cast("double").alias("p_retailprice"), F.col("p_size").cast(rows.schema["p_size"].dataType).alias("p_size"))
+
+
+def _listed(spark, folder):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return [f for f in where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(where) if f.getPath().getName().endswith(".xlsx")]
+
+
 @query(ORACLES["class_centroids_k1"])
 def artifact_round_trip(spark, sf_dir):
     """Prototypes saved and loaded again with their settings."""

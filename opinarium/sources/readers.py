@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.config import require_columns
 from .records import MISSING, OPTIONS, read_split
+from .sheets import read_sheet
 
 SNIFFED = 64 << 10
 SEPARATORS = ",;\t|"
@@ -73,16 +74,16 @@ def read_csv(spark: SparkSession, path: str, sep: str | None = None, fallback: b
 
 
 def read_excel(spark: SparkSession, path: str) -> DataFrame:
-    """The first sheet, its first row as header. Needs pandas with openpyxl on the driver."""
-    import pandas as pd
-
-    return spark.createDataFrame(pd.read_excel(path, engine="openpyxl").astype(object).where(lambda d: d.notna(), None))
+    """The first sheet, its first row as header, all columns as text; read by ranges of rows (see sheets)."""
+    return read_sheet(spark, path)
 
 
 def read_table(spark: SparkSession, path: str, *required: str, fallback: bool = True, multi_line: bool = True, keep_empty: bool = False) -> DataFrame:
     """A table by its extension, with its required columns checked."""
     name = path.lower().rstrip("/")
-    if name.endswith((".xlsx", ".xls")):
+    if name.endswith(".xls"):
+        raise ValueError("the binary format of old sheets isn't read; save as .xlsx")
+    if name.endswith(".xlsx"):
         out = read_excel(spark, path)
     elif name.endswith(".parquet"):
         out = spark.read.parquet(path)

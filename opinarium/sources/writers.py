@@ -7,6 +7,8 @@ import io
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .sheets import write_book, write_sheets  # noqa: F401
+
 #: Rows of a file that is made on the driver.
 DOWNLOAD_ROWS = 1_000_000
 
@@ -18,17 +20,14 @@ def write_csv(df: DataFrame, path: str) -> None:
 def download_bytes(df: DataFrame, kind: str = "csv") -> tuple[bytes, str]:
     """A file with a byte-order mark (csv) or one sheet named result (xlsx), and its media type.
 
-    It is made on the driver: over DOWNLOAD_ROWS rows are an error, not cut.
+    It is made on the driver: over DOWNLOAD_ROWS rows are an error, not cut; write_csv() and write_sheets() have no such limit.
     """
     table = df.limit(DOWNLOAD_ROWS + 1).toPandas()
     if len(table) > DOWNLOAD_ROWS:
         raise ValueError(f"over {DOWNLOAD_ROWS} rows; use write_csv()")
     if kind == "xlsx":
-        import pandas as pd
-
         buffer = io.BytesIO()
-        with pd.ExcelWriter(buffer, engine="openpyxl") as writer:
-            table.to_excel(writer, index=False, sheet_name="result")
+        write_book(buffer, list(table.columns), iter(table.astype(object).where(table.notna(), None).itertuples(index=False)))
         return buffer.getvalue(), "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet"
     return table.to_csv(index=False).encode("utf-8-sig"), "text/csv"
 
