@@ -231,7 +231,7 @@ t as materialized (select doc_id, lower(text) as t from documents),
 w as (select distinct doc_id, unnest(regexp_extract_all(t, '[\p{L}\p{N}_]+')) as word from t),
 named as (select distinct doc_id, brand from w join (select brand, name as word from b union select brand, alias from b) using (word)),
 m as (select * from named join t using (doc_id) join b using (brand))
-select doc_id, brand, case when contains(t, rule) then 'hiring' when contains(t, substr(rule, 1, 3) || 'er') then 'homonym_noise' end as rule_code, case when contains(t, rule) or contains(t, substr(rule, 1, 3) || 'er') then 'Yes' else 'No' end as is_drop from m""".replace("\\\\", "\\"))
+select doc_id, brand, case when contains(t, rule) then 'hiring' when contains(t, substr(rule, 1, 3) || 'er') then 'homonym_noise' end as rule_code, case when contains(t, rule) or contains(t, substr(rule, 1, 3) || 'er') then 'Yes' else 'No' end as is_drop from m""")
 def brand_catalogue(spark, sf_dir):
     """A catalogue with a brand for each item, all in one job: which brands each text mentions, and what their rules say."""
     items = table(spark, sf_dir, "benchmark").select("item_id", F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{4,})")).alias("w")).where("size(w) >= 3")
