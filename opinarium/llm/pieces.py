@@ -5,8 +5,7 @@ to its mark, a mark in front), the pieces' (a tree of states by characters; the
 arc that leaves a piece's last character gives its id and weight), the byte
 fallback's (a character without a piece gives its bytes' ids), and those of a
 machine that remembers the last piece and weighs each pair of neighbours.
-Composed with an input they make a lattice; its states are a position and,
-where pairs have weights, the piece that ends there. path() relaxes all arcs
+Composed with an input they make a lattice of positions and last pieces. path() relaxes all arcs
 from left to right in the tropical semiring: a distance is the least sum of
 weights, of all arcs into a state.
 
@@ -48,7 +47,7 @@ UNIGRAM = 1
 NORMAL, BYTE = 1, 6
 #: Paths that are kept, of parts and words up to KEPT characters.
 CACHE, KEPT = 500_000, 48
-END = ""  # under a state of the tree: the piece that ends there
+END = ""  # no piece ends in a state, or before a position
 
 
 def fields(data: bytes):
@@ -115,7 +114,7 @@ class Transducer:
         self.parts: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
         self.unknown = FREE if self.merges else UNKNOWN - min(self.rank.values())
-        self.tree: dict = {}
+        self.tree: dict = {}  # by character: the states after it, the piece that ends here and its weight
         for name, score in self.rank.items():
             # Of a model that merges: the pieces that merging makes; runs of marks are met apart from words.
             if not self.merges or len(name) == 1 or (name[1] != MARK and self.merged(name) == [name]):
@@ -123,10 +122,10 @@ class Transducer:
 
     def arc(self, piece: str, weight: float) -> None:
         """The states and arcs of a piece."""
-        state = self.tree
-        for character in piece:
-            state = state.setdefault(character, {})
-        state[END] = (piece, weight)
+        children = self.tree
+        for character in piece[:-1]:
+            children = children.setdefault(character, ({}, END, FREE))[0]
+        children[piece[-1]] = (children[piece[-1]][0] if piece[-1] in children else {}, piece, weight)
 
     def merged(self, text: str) -> list[str]:
         """The segmentation of a short text by its definition: best pair first, leftmost of equals."""
@@ -178,41 +177,44 @@ class Transducer:
         return found
 
     def path(self, text: str) -> bytes:
-        """Ids on the shortest path through a part."""
-        n, tree, merges, weights, pair, unknown = len(text), self.tree, self.merges, self.weights, self.pair, self.unknown
-        # At each position the states that are reached: distance, and the arc it came by (start, state there, piece).
-        reached: list[dict[str, tuple]] = [{} for _ in range(n + 1)]
-        reached[0][END] = (FREE, 0, END, END)
+        """Ids on the shortest path through a part.
+
+        A position is one state: pairs have no weights in unigram models, and of
+        the pieces that end at a position of a merging model one at most has a
+        finite distance.
+        """
+        n, tree, merges, weights, pair = len(text), self.tree, self.merges, self.weights, self.pair
+        distance, start_of, last = [FREE] + [NEVER] * n, [0] * (n + 1), [END] * (n + 1)
         for start in range(n):
-            here = reached[start]
-            if not here:
+            here, before = distance[start], last[start]
+            if here == NEVER:
                 continue
-            state, end = tree, start
-            while end < n and (state := state.get(text[end])) is not None:
+            children, end, known = tree, start, False
+            for character in text[start:]:
+                state = children.get(character)
+                if state is None:
+                    break
                 end += 1
-                if END not in state:
-                    continue
-                piece, weight = state[END]
-                there, own = reached[end], piece if merges else END
-                least = there[own][0] if own in there else NEVER
-                for before, (distance, *_) in here.items():
-                    step = FREE if before == END else weights.get((before, piece))
-                    total = distance + weight + (pair(before, piece) if step is None else step)
-                    if total < least:
-                        there[own] = (total, start, before, piece)
-                        least = total
-            if END not in tree.get(text[start], tree):  # by its bytes
-                there, own = reached[start + 1], text[start] if merges else END
-                before, (distance, *_) = min(here.items(), key=lambda x: x[1][0])
-                if distance + unknown < (there[own][0] if own in there else NEVER):
-                    there[own] = (distance + unknown, start, before, text[start])
+                children, piece, weight = state
+                if piece:
+                    if before and merges:
+                        step = weights.get((before, piece))
+                        if step is None:
+                            step = pair(before, piece)
+                        total = here + weight + step
+                    else:
+                        total = here + weight
+                    if total < distance[end]:
+                        distance[end], start_of[end], last[end] = total, start, piece
+                    known = known or end == start + 1
+            if not known and here + self.unknown < distance[start + 1]:  # by its bytes
+                distance[start + 1], start_of[start + 1], last[start + 1] = here + self.unknown, start, text[start]
         out: list[str] = []
-        at, own = n, min(reached[n], key=lambda x: reached[n][x][0])
-        while at:
-            _, at, own, piece = reached[at][own]
-            out.append(piece)
-        known = self.known
-        return b"".join([known[p] if p in known else self.spelt(p) for p in reversed(out)])
+        while n:
+            out.append(last[n])
+            n = start_of[n]
+        ids = self.known
+        return b"".join([ids[p] if p in ids else self.spelt(p) for p in reversed(out)])
 
     def spelt(self, character: str) -> bytes:
         """The byte arcs of a character without a piece."""
