@@ -39,6 +39,8 @@ from .common import importable, mix, powers, slices, text_column, written
 CLUSTER = 64
 #: A shard is closed at so many documents or distinct terms of documents.
 SHARD_DOCS, SHARD_POSTINGS = 2048, 1 << 19
+#: Bytes whose terms are found at once; longer texts go in parts.
+SEGMENT = 1 << 20
 #: Rounds of swaps for each halving.
 ROUNDS = 5
 #: Items searched for at once, and shards visited first for each.
@@ -64,11 +66,45 @@ def terms_of(data: bytes) -> tuple[np.ndarray, np.ndarray]:
         return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), start
 
 
+def segments(text: bytes) -> Iterator[bytes]:
+    """Parts of a text of about SEGMENT bytes, cut where no term is; a longer term stays whole."""
+    at = 0
+    while len(text) - at > SEGMENT:
+        end = at + SEGMENT
+        while end < len(text):
+            gap = np.flatnonzero(~_TERM[np.frombuffer(text, np.uint8, min(SEGMENT, len(text) - end), end)])
+            if len(gap):
+                end += int(gap[0])
+                break
+            end = min(len(text), end + SEGMENT)
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
 def postings_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(document, term, occurrences), by document and term, and each document's length in terms."""
-    base = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
-    term, start = terms_of(b"\n".join(texts))
-    doc = np.searchsorted(base, start, "right") - 1
+    terms, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    held: list[tuple[int, bytes]] = []
+
+    def flush() -> None:
+        base = np.concatenate([[0], np.cumsum([len(part) + 1 for _, part in held])])
+        term, start = terms_of(b"\n".join([part for _, part in held]))
+        terms.append(term)
+        docs.append(np.array([i for i, _ in held], np.int64)[np.searchsorted(base, start, "right") - 1])
+        held.clear()
+
+    size = 0
+    for i, text in enumerate(texts):
+        for part in segments(text):
+            held.append((i, part))
+            size += len(part)
+            if size >= SEGMENT:
+                flush()
+                size = 0
+    if held:
+        flush()
+    term, doc = np.concatenate(terms), np.concatenate(docs)
     lengths = np.bincount(doc, minlength=len(texts))
     order = np.argsort(term)
     order = order[np.argsort(doc[order].astype(np.uint16 if len(texts) < 1 << 16 else np.int64), kind="stable")]

@@ -74,6 +74,16 @@ def test_tokens():
         assert len(found) == len(want) and len(set(found.tolist())) == len(set(want))
 
 
+def test_long_texts_go_in_parts(monkeypatch):
+    rng = random.Random(7)
+    texts = ["".join(rng.choices(["a", "bc", " ", "-", "é", "1", " x "], k=n)).encode() for n in (0, 1, 50, 400, 3)] + [b"z" * 300 + b" y", b"", b" " * 90]
+    want = [x.tolist() for x in lexical.postings_of(texts)]
+    for size in (1, 7, 64):
+        monkeypatch.setattr(lexical, "SEGMENT", size)
+        assert [x.tolist() for x in lexical.postings_of(texts)] == want
+        assert all(b"".join(lexical.segments(t)) == t for t in texts) and max(map(len, lexical.segments(texts[3]))) < size + 40
+
+
 def sharded(seed=1, topics=16, per=64):
     """Documents of some topics, dealt at random: (doc, term) postings and each document's topic."""
     rng = np.random.default_rng(seed)
