@@ -9,6 +9,7 @@ from ..functions import answers, prompts, text
 from ..functions.labels import best_allowed
 from ..functions.regexes import ustrip
 from ..plans.config import BrandProfile, CategoryConfig, Hook, require_columns
+from ..session import written
 from . import models, retrieval
 from .answerlog import AnswerLog
 from .backends import Classifier, Embedder, classified, embedded, with_vectors
@@ -43,8 +44,8 @@ def _prepared_refs(refs: DataFrame, profile: BrandProfile, config: CategoryConfi
 
 
 def index_texts(refs: DataFrame, ref_id: str, profile: BrandProfile, embedder: Embedder, config: CategoryConfig = CategoryConfig()) -> DataFrame:
-    """The index of labelled references: preprocessed, embedded, normalized."""
-    return retrieval.build_index(with_vectors(_prepared_refs(refs, profile, config), "_text", embedder), ref_id, "_text", config.category, "vector")
+    """The index of labelled references: preprocessed, embedded, normalized; a table in the shared folder, so that references are embedded once."""
+    return written(retrieval.build_index(with_vectors(_prepared_refs(refs, profile, config), "_text", embedder), ref_id, "_text", config.category, "vector"), "index")
 
 
 class NeighbourVote:
@@ -102,7 +103,7 @@ def tag(df: DataFrame, row_id: str, user_prompt: str, profile: BrandProfile, bac
     items = ready.where(F.col(SOURCE).isin("llm", "rag_llm")).select(row_id, "_text")
     allowed = [r[0] for r in retrieval.categories(index, "category").collect()] if index is not None else []  # the categories' names
     if index is not None:
-        vectors = embedded(items, row_id, "_text", embedder)
+        vectors = written(embedded(items, row_id, "_text", embedder), "vectors")  # read more than once; texts are embedded once
         near = retrieval.neighbours(vectors, index, "row_id", "vector", config.top_k).withColumnRenamed("query_id", row_id)
         items = items.join(near, row_id, "left")
     if backend is None:

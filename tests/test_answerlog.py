@@ -126,6 +126,13 @@ def test_fallback_embeds_once(spark, tmp_path):
         assert out.where("pred_source = 'llm' and pred_label <> 'neutral'").count() == 0 and len(noted(path)) == 40
 
 
+def test_categories_embed_once(spark, tmp_path):
+    """References and comments: each text is embedded once in a whole job."""
+    refs = spark.createDataFrame([("быстрая доставка", "A"), ("цена товара", "B")], "`Текст` string, `Категория` string")
+    out = pipeline.category_job(comments(spark, 20), "Раздели", PROFILE, None, refs, CountingEmbedder(str(tmp_path / "e")), row_id="row_id")
+    assert out.count() == 20 and len(noted(tmp_path / "e")) == 22
+
+
 def test_settings_reach_the_model(spark, tmp_path):
     seen = str(tmp_path / "seen")
 
