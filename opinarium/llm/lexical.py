@@ -5,16 +5,17 @@ Within a shard, recursive graph bisection reorders documents: every set is
 halved, and pairs of documents swap halves while that lowers the estimated cost
 of the logarithmic gaps between the documents of a term; halves are halved in
 turn until they are clusters of CLUSTER documents at most. The index is one row
-a shard: its dictionary with document frequencies, a bound for each term and
-cluster (the highest count, the shortest document; no score falls with the one
-or rises with the other, so the bound holds whatever the corpus' totals are),
-and the clusters' postings. It covers all documents, and can be added to.
+a cluster: its terms, a bound for each (the highest count, the shortest
+document; no score falls with the one or rises with the other, so the bound
+holds whatever the corpus' totals are), and their postings. Rows are short and
+row groups small, so a reader holds little of it whatever its size. It covers
+all documents, and can be added to.
 
-A search sums the shards' totals and frequencies, visits the shards whose best
+A search sums the clusters' totals and frequencies, visits the shards whose best
 cluster promises most for an item, takes its k-th score as a threshold, and
 then visits, in all shards, the clusters by their bounds, highest first, but
 none whose bound is below the threshold or below the k-th score within the
-shard: what is left out has fewer points than k documents, so the result is
+shard (or the part of it that a batch has): what is left out has fewer points than k documents, so the result is
 exact. Places go back to doc_id, by which ties are told apart.
 
 Terms are told apart by 64 bits of a hash; only a collision with an item's own
@@ -40,7 +41,9 @@ CLUSTER = 64
 #: A shard is closed at so many documents or distinct terms of documents.
 SHARD_DOCS, SHARD_POSTINGS = 2048, 1 << 19
 #: Bytes whose terms are found at once; longer texts go in parts.
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
+#: Bytes of a row group of the index; a row is looked at after each cluster.
+ROW_GROUP = 4 << 20
 #: Rounds of swaps for each halving.
 ROUNDS = 5
 #: Items searched for at once, and shards visited first for each.
@@ -158,12 +161,12 @@ def bisect(doc: np.ndarray, term: np.ndarray, n: int, cluster: int = CLUSTER, ro
     return part
 
 
-CLUSTERS = "array<struct<doc_ids: array<bigint>, lengths: binary, terms: binary, starts: binary, docs: binary, counts: binary>>"
-INDEX = f"shard bigint, n_docs bigint, n_terms bigint, terms binary, frequencies binary, bound_starts binary, bound_clusters binary, bound_counts binary, bound_lengths binary, clusters {CLUSTERS}"
+CLUSTER_PARTS = ("lengths", "terms", "starts", "docs", "counts", "peaks", "least")
+INDEX = f"shard bigint, n_docs bigint, n_terms bigint, doc_ids array<bigint>, {', '.join(f'{x} binary' for x in CLUSTER_PARTS)}"
 
 
 def shard_row(number: int, doc_ids: list, doc: np.ndarray, term: np.ndarray, count: np.ndarray, lengths: np.ndarray, cluster: int = CLUSTER) -> dict:
-    """The index of one shard's documents."""
+    """The index of one shard's documents: its totals and clusters."""
     names, term = np.unique(term, return_inverse=True)
     df = np.bincount(term, minlength=len(names)).astype(np.int32)
     many = (df > 1)[term]
@@ -175,7 +178,6 @@ def shard_row(number: int, doc_ids: list, doc: np.ndarray, term: np.ndarray, cou
     of_term, of_part = term[first], part[doc[first]]
     peak = np.maximum.reduceat(count, first) if len(first) else np.zeros(0, np.int32)
     least = np.minimum.reduceat(lengths[doc], first).astype(np.int32) if len(first) else np.zeros(0, np.int32)
-    by_term = np.argsort(of_term, kind="stable")
     ends = np.append(first, len(doc))
     cuts = np.searchsorted(of_part, np.arange(n_parts + 1))
     clusters = []
@@ -184,22 +186,17 @@ def shard_row(number: int, doc_ids: list, doc: np.ndarray, term: np.ndarray, cou
         a, b = cuts[p], cuts[p + 1]
         own = slice(ends[a], ends[b])
         clusters.append({
-            "doc_ids": [doc_ids[i] for i in members], "lengths": lengths[members].astype(np.int32).tobytes(), "terms": of_term[a:b].astype(np.int32).tobytes(),
-            "starts": (ends[a : b + 1] - ends[a]).astype(np.int32).tobytes(), "docs": np.searchsorted(members, doc[own]).astype(np.uint8).tobytes(), "counts": count[own].tobytes(),
+            "n_docs": int((lengths[members] > 0).sum()), "n_terms": int(lengths[members].sum()), "doc_ids": [doc_ids[i] for i in members], "lengths": lengths[members].astype(np.int32).tobytes(),
+            "terms": names[of_term[a:b]].tobytes(), "starts": (ends[a : b + 1] - ends[a]).astype(np.int32).tobytes(), "docs": np.searchsorted(members, doc[own]).astype(np.uint8).tobytes(),
+            "counts": count[own].tobytes(), "peaks": peak[a:b].tobytes(), "least": least[a:b].tobytes(),
         })
-    return {
-        "shard": number, "n_docs": int((lengths > 0).sum()), "n_terms": int(lengths.sum()), "terms": names.tobytes(), "frequencies": df.tobytes(),
-        "bound_starts": np.searchsorted(of_term[by_term], np.arange(len(names) + 1)).astype(np.int32).tobytes(), "bound_clusters": of_part[by_term].astype(np.int32).tobytes(),
-        "bound_counts": peak[by_term].tobytes(), "bound_lengths": least[by_term].tobytes(), "clusters": clusters,
-    }
+    return {"shard": number, "n_docs": int((lengths > 0).sum()), "n_terms": int(lengths.sum()), "clusters": clusters}
 
 
 def build_index(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shard_docs: int = SHARD_DOCS, cluster: int = CLUSTER) -> DataFrame:
     """INDEX of all rows, a table in the shared folder. cluster: 256 at most."""
     importable(df.sparkSession)
-    kinds = [("shard", pa.int64()), ("n_docs", pa.int64()), ("n_terms", pa.int64())] + [(x, pa.binary()) for x in ("terms", "frequencies", "bound_starts", "bound_clusters", "bound_counts", "bound_lengths")]
-    inner = pa.struct([("doc_ids", pa.list_(pa.int64()))] + [(x, pa.binary()) for x in ("lengths", "terms", "starts", "docs", "counts")])
-    schema = pa.schema([*kinds, ("clusters", pa.list_(inner))])
+    schema = pa.schema([("shard", pa.int64()), ("n_docs", pa.int64()), ("n_terms", pa.int64()), ("doc_ids", pa.list_(pa.int64())), *((x, pa.binary()) for x in CLUSTER_PARTS)])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
@@ -213,7 +210,8 @@ def build_index(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shard
                 number += 1
                 ids.clear()
                 held.clear()
-                yield pa.RecordBatch.from_pylist([row], schema)
+                for cluster_row in row["clusters"]:
+                    yield pa.RecordBatch.from_pylist([{"shard": row["shard"], **cluster_row}], schema)
 
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
@@ -227,7 +225,7 @@ def build_index(df: DataFrame, text: str = "text", doc_id: str = "doc_id", shard
                     ids.extend(keys[a : a + shard_docs])
         yield from close()
 
-    return written(df.select(F.col(doc_id).cast("long").alias("doc_id"), text_column(text).alias("text")).mapInArrow(run, INDEX), "lexical-index")
+    return written(df.select(F.col(doc_id).cast("long").alias("doc_id"), text_column(text).alias("text")).mapInArrow(run, INDEX), "lexical-index", row_group=ROW_GROUP)
 
 
 class Items:
@@ -285,36 +283,41 @@ def _spread(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return row, np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - start, size)
 
 
-def bounds(row: dict, items: Items) -> tuple[np.ndarray, np.ndarray]:
-    """(items x clusters) of a shard: what no document of the cluster exceeds; and each item term's place in the dictionary, or -1."""
-    at, which = _found(_numbers(row["terms"], np.uint64), items)
-    starts, clusters = _numbers(row["bound_starts"], np.int32), _numbers(row["bound_clusters"], np.int32)
-    term, place = _spread(starts[at].astype(np.int64), starts[at + 1].astype(np.int64))
-    table = np.zeros((len(at), int(clusters.max(initial=-1)) + 1), np.int64)
-    table[term, clusters[place]] = items.points(which[term], _numbers(row["bound_counts"], np.int32)[place], _numbers(row["bound_lengths"], np.int32)[place])
-    in_shard = np.full(len(items.terms), -1)
-    row_of = in_shard.copy()
-    in_shard[which], row_of[which] = at, np.arange(len(at))
-    return items.summed(table, row_of), in_shard
+def shards_in(batch: pa.RecordBatch) -> Iterator[dict]:
+    """The clusters of each shard that a batch has rows of, their bytes not copied; a shard may go on in another batch."""
+    number = batch.column("shard").to_numpy()
+    columns = {x: batch.column(x) for x in batch.schema.names if x != "shard"}
+    edges = np.flatnonzero(np.diff(number)) + 1
+    for a, b in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows] if batch.num_rows else []):
+        yield {"shard": int(number[a]), "clusters": [{x: column[i].as_py() if x == "doc_ids" else column[i].as_buffer() for x, column in columns.items()} for i in range(a, b)]}
+
+
+def bounds(row: dict, items: Items) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """(items x clusters) of a shard: what no document of the cluster exceeds; and where each cluster has items' terms, and which."""
+    found = [_found(_numbers(cluster["terms"], np.uint64), items) for cluster in row["clusters"]]
+    which = np.concatenate([w for _, w in found])
+    names, term = np.unique(which, return_inverse=True)
+    peaks, least = (np.concatenate([_numbers(cluster[x], np.int32)[at] for cluster, (at, _) in zip(row["clusters"], found)]) for x in ("peaks", "least"))
+    table = np.zeros((len(names), len(found)), np.int64)
+    table[term, np.repeat(np.arange(len(found)), [len(w) for _, w in found])] = items.points(which, peaks, least)
+    row_of = np.full(len(items.terms), -1)
+    row_of[names] = np.arange(len(names))
+    return items.summed(table, row_of), found
 
 
 def visit(row: dict, items: Items, least: np.ndarray, k: int) -> tuple[list[tuple], int]:
     """(item, doc_id, score) of each item's k best documents of a shard that reach its least score, and how many clusters were scored."""
-    bound, in_shard = bounds(row, items)
+    bound, found = bounds(row, items)
     n, ids, scores, visited = len(items.ids), [], [], 0
     best = np.zeros((n, k), np.int64)
-    known = np.flatnonzero(in_shard >= 0)
     for c in np.argsort(-bound.sum(0), kind="stable").tolist():
         ask = (bound[:, c] > 0) & (bound[:, c] >= np.maximum(least, best.min(1)))
         if not ask.any():
             continue
         visited += 1
         cluster = row["clusters"][c]
-        names, starts = _numbers(cluster["terms"], np.int32), _numbers(cluster["starts"], np.int32).astype(np.int64)
-        at = np.searchsorted(names, in_shard[known])
-        here = at < len(names)
-        here[here] = names[at[here]] == in_shard[known][here]
-        at, which = at[here], known[here]
+        at, which = found[c]
+        starts = _numbers(cluster["starts"], np.int32).astype(np.int64)
         term, place = _spread(starts[at], starts[at + 1])
         docs = _numbers(cluster["docs"], np.uint8)[place]
         table = np.zeros((len(at), len(cluster["doc_ids"])), np.int64)
@@ -345,12 +348,12 @@ FOUND = "item int, doc_id bigint, score bigint"
 def _visits(index: DataFrame, items: Items, least: np.ndarray, k: int) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                rows, _ = visit(batch.slice(i, 1).to_pylist()[0], items, least, k)
+            for shard in shards_in(batch):
+                rows, _ = visit(shard, items, least, k)
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int64()))], names=["item", "doc_id", "score"])
 
-    return index.select("shard", *[c for c in index.columns if c not in ("shard", "n_docs", "n_terms", "frequencies")]).mapInArrow(run, FOUND)
+    return index.select("shard", "doc_ids", *CLUSTER_PARTS).mapInArrow(run, FOUND)
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
@@ -364,8 +367,7 @@ def _promising(index: DataFrame, items: Items, first: int) -> list[int]:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, list[tuple[int, int]]] = {}
         for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
+            for row in shards_in(batch):
                 highest = bounds(row, items)[0].max(1, initial=0)
                 for item in np.flatnonzero(highest).tolist():
                     best[item] = sorted([*best.get(item, ()), (int(highest[item]), row["shard"])], reverse=True)[:first]
@@ -373,7 +375,7 @@ def _promising(index: DataFrame, items: Items, first: int) -> list[int]:
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.int64()))], names=["item", "bound", "shard"])
 
-    found = index.select("shard", "terms", "bound_starts", "bound_clusters", "bound_counts", "bound_lengths").mapInArrow(run, "item int, bound bigint, shard bigint")
+    found = index.select("shard", "terms", "peaks", "least").mapInArrow(run, "item int, bound bigint, shard bigint")
     order = Window.partitionBy("item").orderBy(F.col("bound").desc(), "shard")
     return [r["shard"] for r in found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= first).select("shard").distinct().collect()]
 
@@ -382,13 +384,14 @@ def _frequencies(index: DataFrame, items: Items) -> dict[int, int]:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(items.terms), np.int64)
         for batch in batches:
-            for names, df in zip(batch.column("terms").to_pylist(), batch.column("frequencies").to_pylist()):
-                at, which = _found(_numbers(names, np.uint64), items)
-                total[which] += _numbers(df, np.int32)[at]
+            for names, starts in zip(batch.column("terms"), batch.column("starts")):
+                at, which = _found(_numbers(names.as_buffer(), np.uint64), items)
+                starts = _numbers(starts.as_buffer(), np.int32)
+                total[which] += starts[at + 1] - starts[at]
         there = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(items.terms.view(np.int64)[there]), pa.array(total[there])], names=["term", "df"])
 
-    found = index.select("terms", "frequencies").mapInArrow(run, "term bigint, df bigint")
+    found = index.select("terms", "starts").mapInArrow(run, "term bigint, df bigint")
     return {r["term"]: r["df"] for r in found.groupBy("term").agg(F.sum("df").alias("df")).collect()}  # one row for each of the items' terms
 
 

@@ -35,14 +35,17 @@ def shared_dir(spark: SparkSession) -> str:
     return jsc.getCheckpointDir().get()
 
 
-def written(df: DataFrame, name: str, level: int = 3) -> DataFrame:
+def written(df: DataFrame, name: str, level: int = 3, row_group: int | None = None) -> DataFrame:
     """The rows, as a Parquet table in the shared folder: later reads survive lost executors.
 
-    The folder is removed when the application ends. level: of zstd.
+    The folder is removed when the application ends. level: of zstd. row_group: bytes after which a row group ends, however few its rows.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).parquet(path)
+    writer = df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level)
+    if row_group:
+        writer = writer.option("parquet.block.size", row_group).option("parquet.page.size.row.check.min", 1)
+    writer.parquet(path)
     jvm = spark.sparkContext._jvm
     hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
     hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)

@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from opinarium.llm import lexical
@@ -118,3 +119,22 @@ def test_bounds_hold_and_clusters_are_left_out():
         assert max((score.get(d, 0) for d in cluster["doc_ids"]), default=0) <= bound[c]
     assert len(found) == 50 and visited <= 4 < len(row["clusters"])
     assert sorted(score.items(), key=lambda x: (-x[1], x[0]))[:50] == [(d, s) for _, d, s in found]
+
+
+def test_index_is_read_in_small_parts(spark, monkeypatch):
+    """A row is a cluster, a row group ends after few of them, and shards that several batches share are ranked alike."""
+    monkeypatch.setattr(lexical, "ROW_GROUP", 1 << 14, raising=False)
+    docs, items = corpus(5, 500)
+    index = lexical.build_index(spark.createDataFrame(docs, DOCS).coalesce(1), cluster=8)
+    rows = index.collect()
+    assert len(rows) >= len(docs) / 8
+    assert max(len(r["doc_ids"]) for r in rows) <= 8 and sorted(x for r in rows for x in r["doc_ids"]) == sorted(i for i, _ in docs)
+    assert len({r["shard"] for r in rows}) == 1 and sum(r["n_docs"] for r in rows) == len(docs)
+    groups = [file.row_group(i) for file in (pq.ParquetFile(x.removeprefix("file://")).metadata for x in index.inputFiles()) for i in range(file.num_row_groups)]
+    assert len(groups) > 5 and max(g.num_rows for g in groups) < 30 and max(g.total_byte_size for g in groups) < 1 << 15
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        got = sorted(map(tuple, lexical.search(index, spark.createDataFrame(items, ITEMS), k=20).collect()), key=str)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == plain(docs, items, 20)
