@@ -36,7 +36,6 @@ def centres(col: Column, pattern: str) -> Column:
     The pattern must not match the empty string.
     """
     one = TOKEN[1:-2]
-    marked = F.regexp_replace(F.replace(col, F.lit(MARK), F.lit(" ")), java(pattern, True), f"{MARK}$0")
     # A token, and what stands between it and the next one as far as the last mark that isn't the next one's.
     element = f"[{one}{MARK}]*[{one}][{one}{MARK}]*(?:[^{one}]*{MARK}(?![{one}]))?"
 
@@ -45,7 +44,11 @@ def centres(col: Column, pattern: str) -> Column:
         before = F.when(text.rlike(rf"\A[^{one}]*{MARK}(?![{one}])"), F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
         return F.array_union(before, F.filter(places, lambda p: p.isNotNull()))
 
-    return let(marked, numbers)
+    def found(text: Column) -> Column:
+        marked = F.regexp_replace(text, java(pattern, True), f"{MARK}$0")
+        return F.when(matches(text, pattern), let(marked, numbers)).otherwise(F.when(text.isNotNull(), F.array().cast("array<int>")))
+
+    return let(F.replace(col, F.lit(MARK), F.lit(" ")), found)
 
 
 def last(toks: Column, n: int) -> Column:

@@ -122,15 +122,20 @@ def preprocess_base(col: Column, brand: str, script: str | None = CYRILLIC, enti
     return let(script_gate(out, script), lambda x: F.when(x.isNotNull() & is_meaningful(x, brand), F.lower(x)))
 
 
+def _nonempty(col: Column) -> Column:
+    """Null for the empty text. A plain nullif within a condition computes its text twice."""
+    return let(col, lambda x: F.when(x != "", x))
+
+
 def or_fallback(preprocessed: Column, text: Column) -> Column:
     """The preprocessed text, or the given one where that is null or empty: no row is lost."""
-    return F.coalesce(F.nullif(preprocessed, F.lit("")), text)
+    return F.coalesce(_nonempty(preprocessed), text)
 
 
 def preprocess_for_training(preprocessed: Column, text: Column) -> Column:
     """Null for blank texts; else the preprocessed, else the cleaned lower-cased text, else null."""
     fallback = F.lower(ustrip(basic_clean(text)))
-    return F.when(ustrip(given(text)) != "", F.coalesce(F.nullif(preprocessed, F.lit("")), F.nullif(fallback, F.lit(""))))
+    return F.when(ustrip(given(text)) != "", F.coalesce(_nonempty(preprocessed), _nonempty(fallback)))
 
 
 def norm_label(col: Column) -> Column:
