@@ -43,8 +43,9 @@ def dense_rank_by_range(df: DataFrame, key: str, to: str) -> DataFrame:
     """df with the place of each row (from 0) in the order of key, by range partitions: no task sees the whole table.
 
     The ranges come from a sample, so rows are written with their places: counts and rows then see the same ones.
+    Taking the sample runs all of its input, so rows are written before, too: what made them is computed once.
     """
-    ranged = df.repartitionByRange(F.col(key)).sortWithinPartitions(key)
+    ranged = written(df, "unranked").repartitionByRange(F.col(key)).sortWithinPartitions(key)
     return _numbered(written(_placed(ranged), "ranged"), to)
 
 

@@ -51,7 +51,9 @@ def classify(df: DataFrame, row_id: str, profile: BrandProfile, backend: Classif
     ruled = with_rule_columns(df, profile, config)
     txt = preprocess(F.col("text_rule")) if preprocess else for_model(F.col("text_rule"), profile, config.max_words, config.extra_brand_patterns, script)
     if hasattr(backend, "ask"):
-        found = asked_model(ruled.where("asked").select(row_id, txt.alias("txt")), row_id, "txt", profile, backend, config, template, log, counts)
+        # Exploded: a filter would be pushed below (also below where a table is dealt out) and try the rules on texts of its own.
+        left = ruled.select(row_id, F.explode(F.when(F.col("asked"), F.array("text_rule")).otherwise(F.array().cast("array<string>"))).alias("text_rule"))
+        found = asked_model(left.select(row_id, txt.alias("txt")), row_id, "txt", profile, backend, config, template, log, counts)
         out = merge_actions(ruled, found.select(row_id, F.col("answer").alias("action"), "pos"), row_id)
     else:
         told = answered(ruled.withColumn("_txt", F.when(F.col("asked"), txt)), row_id, "_txt", backend, config.batch_size, "_told")

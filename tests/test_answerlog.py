@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from opinarium.operators import backends, metrics, models, relevance, sentiment
 from opinarium.operators.answerlog import AnswerLog
-from opinarium.plans import pipeline
+from opinarium.plans import catalog, pipeline
 from opinarium.plans.config import BrandProfile, PipelineConfig, SentimentConfig
 
 # Workers can't import this module.
@@ -118,6 +118,31 @@ def test_equal_prompts_are_asked_once_and_models_apart(spark, tmp_path):
     assert models.told(none, "s", F.lit("p"), counting(str(tmp_path / "d")), log=AnswerLog(str(tmp_path / "empty"))).count() == 0
 
 
+def test_texts_of_a_model_are_preprocessed_once(spark, tmp_path):
+    """Neither the sample for their ranges nor the filter of sure drops runs over them again."""
+    seen = str(tmp_path / "seen")
+
+    @F.udf("string")
+    def noting(t):
+        note(seen, t.split()[-1])
+        return t
+
+    out = relevance.classify(comments(spark, 200), "row_id", PROFILE, counting(str(tmp_path / "asked")), PipelineConfig(batch_size=4), preprocess=noting)
+    assert out.count() == 200 and out.where("action = 'drop'").count() == 80
+    assert sorted(map(int, noted(tmp_path / "seen"))) == [i for i in range(200) if i % 10 != 9]
+
+
+def test_first_run_of_the_logged_query_asks_all(spark, sf, monkeypatch):
+    """When the query hands over its second run, the log has every answer; that run asks for none."""
+    logs = []
+    monkeypatch.setattr(catalog, "AnswerLog", lambda folder: logs.append(AnswerLog(folder)) or logs[0])
+    out = catalog.QUERIES["relevance_logged"](spark, sf)
+    asked = out.where("asked").count()
+    assert logs[0].answers(spark).count() == -(-asked // 6) > 0
+    before = sorted(os.listdir(logs[0].folder.removeprefix("file:")))
+    assert out.where("action = 'keep'").count() and sorted(os.listdir(logs[0].folder.removeprefix("file:"))) == before
+
+
 def test_fallback_embeds_once(spark, tmp_path):
     protos = spark.createDataFrame([(0, 0, [1.0] + [0.0] * 7)], "proto_id int, class_id int, centroid array<double>")
     for fallback in (backends.FirstToken(["neutral"]), counting(str(tmp_path / "asked"))):
