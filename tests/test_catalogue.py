@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from opinarium.functions.regexes import matches
+from opinarium.functions.regexes import java, matches
 from opinarium.operators import catalogue, prototypes, rules
 from opinarium.plans.config import BrandProfile
 
@@ -46,6 +46,30 @@ def test_brands_of_texts_equal_brand_by_brand(spark):
     assert catalogue.mentioned_brands(df.where("i < 0"), "t", profiles).count() == 0
 
 
+def test_plain_words_are_decided_as_patterns_are(spark, monkeypatch):
+    """Words alone need no search of the text; all letters and neighbours count as they do in Java's patterns."""
+    letters = "abcdefghijklmnopqrstuvwxyzабвгдеёжзийклмнопрстуфхцчшщъыьэюя0129"
+    chars = [(c, chr(c)) for c in range(1, 0x30000) if not 0xD800 <= c < 0xE000]
+    alike = F.array_compact(F.array(*[F.when(F.col("x").rlike(java(a, True)), F.lit(a)) for a in letters]))
+    for r in spark.createDataFrame(chars, "c int, x string").repartition(4).select("x", alike.alias("a")).where("size(a) > 0").collect():
+        assert r["a"] == [catalogue.plain_folded(r["x"])], r
+    rng = random.Random(4)
+    odd = ["k", "K", "\u212a", "s", "ſ", "i", "ı", "İ", "ß", "é", "e\u0301", "²", "Ⅷ", "Ⓐ", "_", "-", "–", "«", "\u200d", "‿", " ", "\n", "ка", "Ка", "ёж", "ᲂ", "о", "О", "5", "٣", "汉", "😀", "𝒌", "™", "ª", "ˆ", "´", "\u00ad"]
+    rows = [(i, "".join(rng.choices(odd, k=rng.randrange(1, 9)))) for i in range(3000)] + [(9000, ""), (9001, None)]
+    df = spark.createDataFrame(rows, "i long, t string").repartition(4).cache()
+    profiles = {f"b{n}": BrandProfile(n, "", [a], [d, "(?i)" + a, r"\bk"], [a + "k"], homonym_noise=["s"]) for n, a, d in (("k", "ks", "Si"), ("о", "KА", "i"), ("5", "ik", "ЁЖ"), ("s-i", "к", "k5"), ("sk", "ёж", "К"))}
+    got = sorted(map(tuple, catalogue.mentioned_brands(df, "t", profiles).select("i", "brand", "rule_code", "pattern", "is_drop").collect()), key=str)
+    want = []
+    for name, p in profiles.items():
+        want += [(r["i"], name, r["rule_code"], r["pattern"], r["is_drop"]) for r in rules.with_rules(df.where(matches(F.col("t"), p.brand())), "t", p).collect()]
+    assert got == sorted(want, key=str) and len(got) > 300
+    # Brands and rules that are words: no pattern is tried, even one that would fail.
+    words = {"b": BrandProfile("k", "", ["ks"], ["si"], ["ik"])}
+    monkeypatch.setattr(catalogue, "java", lambda pattern, ignore_case=False: "(")
+    told = catalogue.mentioned_brands(spark.createDataFrame([("a k: si",), ("ks",), ("kso",)], "t string"), "t", words)
+    assert sorted(told.select("t", "rule_code").collect(), key=str) == [("a k: si", "hiring"), ("ks", None)]
+
+
 def test_rules_by_a_column(spark):
     profiles, df = brands(12), texts(spark, 60)
     named = df.withColumn("b", F.format_string("b%04d", F.col("i") % 14))
